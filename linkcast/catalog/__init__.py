@@ -1,0 +1,8 @@
+"""Registered queries with the SQL that checks them."""
+
+from linkcast.catalog import (  # noqa: F401
+    datasets, models, precompensation, reports, signals, statistics, windows,
+)
+from linkcast.catalog.common import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkcast.config import ValidationConfig
 from linkcast.functions.scalar import pearson
@@ -173,7 +174,7 @@ def density(df: DataFrame, keys: Sequence[str], col: str, bins: int = 150_000, f
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     inv = NormalDist().inv_cdf
     return p.map(inv)

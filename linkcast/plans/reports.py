@@ -124,15 +124,18 @@ def horizon_trend(df: DataFrame) -> DataFrame:
     ).withColumn("rmse_change_pct", increase_pct("first_rmse", "last_rmse"))
 
 
+def near_best(df: DataFrame, metric: str = "test_rmse", within: float = 1.1) -> DataFrame:
+    """Rows whose metric is at most ``within`` times the best one."""
+    limit = df.groupBy(*_group(df)).agg((F.min(metric) * within).alias("_limit"))
+    return _attach(df, limit, _group(df)).where(F.col(metric) <= F.col("_limit")).select(df.columns)
+
+
 def recommendations(df: DataFrame, within: float = 1.1) -> DataFrame:
     """(criterion, model, horizon, value): accuracy, trade-off, inference, stability."""
     group = _group(df)
     accurate = _best(df, group, "test_rmse")
-    top = accurate.select(*group, (F.col("test_rmse") * within).alias("_limit"))
     timed = df.groupBy(*group).agg((F.max("training_time") > 0).alias("_timed"))
-    near = _attach(_attach(df, top, group), timed, group).where(
-        (F.col("test_rmse") <= F.col("_limit")) & F.col("_timed")
-    )
+    near = _attach(near_best(df, "test_rmse", within), timed, group).where("_timed")
     fast = _best(near.select(df.columns), group, "training_time")
     quick = _best(df, group, "inference_time_per_sample_ms")
     steady = stability(df).where(F.col("rmse_std").isNotNull())
