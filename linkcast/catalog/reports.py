@@ -78,9 +78,9 @@ def best_per_horizon(spark, sf):
 
 
 @query("rank_models", f"""WITH {RESULTS}, a AS (
-  SELECT model_name, avg(test_rmse) AS ar, avg(test_mae) AS am, avg(test_r2) AS a2, avg(training_time) AS at,
+  SELECT model_name, avg(test_rmse) AS ar, avg(test_mae) AS am, avg(test_r2) AS a2, avg(training_time) AS tt,
          avg(inference_time_per_sample_ms) AS ai FROM res GROUP BY model_name)
-SELECT model_name, {r('ar', 'avg_rmse')}, {r('am', 'avg_mae')}, {r('a2', 'avg_r2')}, {r('at', 'avg_training_time')},
+SELECT model_name, {r('ar', 'avg_rmse')}, {r('am', 'avg_mae')}, {r('a2', 'avg_r2')}, {r('tt', 'avg_training_time')},
        {r('ai', 'avg_inference_time_ms')}, CAST(row_number() OVER (ORDER BY ar, model_name) AS INT) AS rank,
        {r('(0.2234 - ar) / 0.2234 * 100', 'vs_baseline_pct')} FROM a""")
 def rank_models(spark, sf):

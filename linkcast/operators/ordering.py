@@ -24,7 +24,9 @@ from linkcast.session import stage
 
 SHORT_SERIES = 1_000_000  # rows one window task may hold
 RANGE_ROWS = 1_000_000  # rows per range partition
-BLOCK_ROWS = 32_768  # rows per block
+BLOCK_ROWS = 32_768  # rows per block, at most (longer only for a longer reach)
+MIN_BLOCK_ROWS = 2_048
+TASK_ROWS = 4_000_000  # rows per task of a window stage, at most
 SMALL_TABLE = 200_000  # rows of a table that may be broadcast
 
 
@@ -126,8 +128,8 @@ class Frame:
         self.part = list(part)
         self.base = Window.partitionBy(*part).orderBy(*order)
 
-    def lag(self, col: Column | str, k: int) -> Column:
-        return (F.lag if k >= 0 else F.lead)(col, abs(k)).over(self.base)
+    def lag(self, col: Column | str, k: int, default=None) -> Column:
+        return (F.lag if k >= 0 else F.lead)(col, abs(k), default).over(self.base)
 
     def over(self, agg: Column, lo: int, hi: int) -> Column:
         """``agg`` over the rows ``lo`` .. ``hi`` relative to the current one."""
@@ -159,17 +161,29 @@ def spread(sig: Signal, back: int, ahead: int, run_rows: int | None = None):
     (``floor(seq / run_rows)``); it leads the sort order so that frames per run
     and frames per block share one sort.
     """
-    size = max(sig.block_rows, 8 * (back + ahead))
+    # Blocks shrink on small inputs so that every core gets some of them.
+    tasks = window_tasks(sig)
+    even = min(sig.block_rows, max(MIN_BLOCK_ROWS, sig.rows // (4 * tasks)))
+    size = max(even, 4 * (back + ahead))
     df, part, own = sig.df, list(sig.keys), F.lit(True)
-    if sig.longest > size:
-        home = F.floor(F.col("seq") / size)
-        first = F.greatest(F.floor((F.col("seq") - ahead) / size), F.lit(0))
-        last = F.floor((F.col("seq") + back) / size)
-        df = df.withColumn("_block", F.explode(F.sequence(first, last)))
-        part, own = [*part, "_block"], F.col("_block") == home
-    order = ["seq"]
     if run_rows:
         df = df.withColumn("_run", F.floor(F.col("seq") / run_rows))
-        order = ["_run", "seq"]
-    # One exchange serves every window below, whatever it is partitioned by.
-    return df.repartition(*part), Frame(part, order), own
+    order = ["_run", "seq"] if run_rows else ["seq"]
+    if sig.longest <= size:
+        # One exchange serves every window below, whatever it is partitioned by;
+        # the one that numbered the rows is reused where it still holds.
+        return df.repartition(*part), Frame(part, order), own
+    home = F.floor(F.col("seq") / size)
+    first = F.greatest(F.floor((F.col("seq") - ahead) / size), F.lit(0))
+    last = F.floor((F.col("seq") + back) / size)
+    df = df.withColumn("_block", F.explode(F.sequence(first, last)))
+    part, own = [*part, "_block"], F.col("_block") == home
+    # A stated number keeps adaptive execution from merging the few bytes of a
+    # small signal into one task, although its windows are all computation.
+    return df.repartition(tasks, *part), Frame(part, order), own
+
+
+def window_tasks(sig: Signal) -> int:
+    spark = sig.df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, ceil(sig.rows / TASK_ROWS))

@@ -20,8 +20,13 @@ from linkcast.operators.ordering import Frame, Signal, spread
 Levels = list[dict[str, Column]]
 
 
-def _sum(c: Column) -> Column:
-    return F.sum(c)
+def shifted(f: Frame, name: str, offsets, default=None) -> dict[str, Column]:
+    """One column per offset of ``name``; families of one call share them."""
+    return {_at(name, k): f.lag(name, k, default) for k in sorted(set(offsets)) if k}
+
+
+def _at(name: str, k: int) -> str:
+    return f"_{name}_at{k}" if k else name
 
 
 @dataclass(frozen=True)
@@ -40,13 +45,10 @@ class Lags:
         return [f"{stem}_lag{k}" for k in self.lags]
 
     def levels(self, f: Frame) -> Levels:
-        x = F.col(self.base)
-        value = lambda k: f.lag(x, k) if k else x
-        if self.use_diff:
-            cols = [value(k) - f.lag(x, k + 1) for k in self.lags]
-        else:
-            cols = [value(k) for k in self.lags]
-        return [dict(zip(self.names(), cols))]
+        at = lambda k: F.col(_at(self.base, k))
+        near = shifted(f, self.base, [k + i for k in self.lags for i in range(1 + self.use_diff)])
+        cols = [at(k) - at(k + 1) if self.use_diff else at(k) for k in self.lags]
+        return [near, dict(zip(self.names(), cols))]
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,10 @@ class Diff:
         return [f"{self.base}_diff"]
 
     def levels(self, f: Frame) -> Levels:
-        return [{self.names()[0]: F.col(self.base) - f.lag(self.base, 1)}]
+        return [
+            shifted(f, self.base, [1]),
+            {self.names()[0]: F.col(self.base) - F.col(_at(self.base, 1))},
+        ]
 
 
 @dataclass(frozen=True)
@@ -88,13 +93,15 @@ class Targets:
 
     def levels(self, f: Frame) -> Levels:
         x, cols = F.col(self.base), {}
-        for h in self.horizons:
+        offsets = [-h if self.ahead else h for h in self.horizons]
+        for h, k in zip(self.horizons, offsets):
+            there = F.col(_at(self.base, k))
             if self.ahead:
-                cols[f"target_{h}"] = f.lag(x, -h) - x
+                cols[f"target_{h}"] = there - x
             else:
-                cols[f"{self.base}_lag{h}"] = f.lag(x, h)
-                cols[f"target_{h}"] = x - f.lag(x, h)
-        return [cols]
+                cols[f"{self.base}_lag{h}"] = there
+                cols[f"target_{h}"] = x - there
+        return [shifted(f, self.base, offsets), cols]
 
 
 @dataclass(frozen=True)
@@ -249,45 +256,59 @@ class RollingAcf:
 
     def levels(self, f: Frame) -> Levels:
         n, zero = self.window, F.lit(0.0)
-        x, c = F.col(self.base), F.col("_acf_c")
-        products = {f"_acf_p{k}": (c, k) for k in self.lags}
+        x, c, m0 = F.col(self.base), F.col("_acf_c"), F.col("_acf_m")
+        products = {f"_acf_p{k}": k for k in self.lags}
         if self.mode == "wrapped":
-            products |= {f"_acf_w{k}": (c, n - k) for k in self.lags}
+            products |= {f"_acf_w{k}": n - k for k in self.lags}
+        pairs = sorted(set(products.values()))
+        centre = {"_acf_m": f.whole(F.avg(x))} | shifted(f, self.base, [1, *pairs])
+        at = lambda k: F.col(_at(self.base, k))
+        local = {"_acf_c": x - m0, "_acf_step": F.when(x != at(1), 1.0).otherwise(zero)}
+        local |= {f"_acf_l{k}": F.coalesce((x - m0) * (at(k) - m0), zero) for k in pairs}
+        sums = {
+            "_acf_s": f.running(F.sum(c)),
+            "_acf_q": f.running(F.sum(c * c)),
+            "_acf_d": f.running(F.sum("_acf_step")),
+        }
+        sums |= {name: f.running(F.sum(f"_acf_l{k}")) for name, k in products.items()}
+        reads: dict[str, Column] = {}
 
         def total(name: str, lo: int, hi: int) -> Column:
             """Sum over the rows i-lo .. i-hi (lo >= hi >= 1) from running sums."""
-            return F.coalesce(f.lag(name, hi), zero) - F.coalesce(f.lag(name, lo + 1), zero)
-
-        sums, ends = {}, {}
-        sums["_acf_s"] = f.running(F.sum(c))
-        sums["_acf_q"] = f.running(F.sum(c * c))
-        sums["_acf_d"] = f.running(F.sum(F.col("_acf_step")))
-        for name, (_, k) in products.items():
-            sums[name] = f.running(F.sum(F.coalesce(c * F.col(f"_acf_l{k}"), zero)))
+            reads.update(shifted(f, name, (hi, lo + 1), 0.0))
+            return F.col(_at(name, hi)) - F.col(_at(name, lo + 1))
+
+        parts, spreads, ends = {}, {}, {}
         for k in self.lags:
-            m = n - k
             if self.mode == "wrapped":
-                sa, qa = total("_acf_s", n, k + 1), total("_acf_q", n, k + 1)
-                sb = total("_acf_s", k, 1) + total("_acf_s", n, 2 * k + 1)
-                qb = total("_acf_q", k, 1) + total("_acf_q", n, 2 * k + 1)
-                ab = total(f"_acf_w{k}", k, 1) + total(f"_acf_p{k}", n - k, k + 1)
-                steps = total("_acf_d", n - 1, k + 1)
+                frames = {
+                    "sa": total("_acf_s", n, k + 1),
+                    "qa": total("_acf_q", n, k + 1),
+                    "sb": total("_acf_s", k, 1) + total("_acf_s", n, 2 * k + 1),
+                    "qb": total("_acf_q", k, 1) + total("_acf_q", n, 2 * k + 1),
+                    "ab": total(f"_acf_w{k}", k, 1) + total(f"_acf_p{k}", n - k, k + 1),
+                    "steps": total("_acf_d", n - 1, k + 1),
+                }
             else:
-                sa, qa = total("_acf_s", n - k, 1), total("_acf_q", n - k, 1)
-                sb, qb = total("_acf_s", n, k + 1), total("_acf_q", n, k + 1)
-                ab = total(f"_acf_p{k}", n - k, 1)
-                steps = total("_acf_d", n - k - 1, 1)
-            va, vb = qa - sa * sa / m, qb - sb * sb / m
+                frames = {
+                    "sa": total("_acf_s", n - k, 1),
+                    "qa": total("_acf_q", n - k, 1),
+                    "sb": total("_acf_s", n, k + 1),
+                    "qb": total("_acf_q", n, k + 1),
+                    "ab": total(f"_acf_p{k}", n - k, 1),
+                    "steps": total("_acf_d", n - k - 1, 1),
+                }
+            parts |= {f"_acf_{name}{k}": col for name, col in frames.items()}
+            of, m = (lambda name, k=k: F.col(f"_acf_{name}{k}")), n - k
+            spreads[f"_acf_va{k}"] = of("qa") - of("sa") * of("sa") / m
+            spreads[f"_acf_vb{k}"] = of("qb") - of("sb") * of("sb") / m
             floor = F.col("_acf_q") * 1e-14
+            known = (F.col("seq") >= n) & (of("steps") > 0) & (of("va") > floor) & (of("vb") > floor)
+            cov = of("ab") - of("sa") * of("sb") / m
             ends[f"{self.base}_acf_lag{k}"] = F.when(
-                (F.col("seq") < n) | (steps == 0) | (va <= floor) | (vb <= floor), zero
-            ).otherwise(F.coalesce(F.try_divide(ab - sa * sb / m, F.sqrt(va * vb)), zero))
-        shifts = sorted({k for _, k in products.values()})
-        centre = {"_acf_m": f.whole(F.avg(x))} | {f"_acf_x{k}": f.lag(x, k) for k in {1, *shifts}}
-        m = F.col("_acf_m")
-        local = {"_acf_c": x - m, "_acf_step": (x != F.col("_acf_x1")).cast("int")}
-        local |= {f"_acf_l{k}": F.col(f"_acf_x{k}") - m for k in shifts}
-        return [centre, local, sums, ends]
+                known, cov / F.sqrt(of("va") * of("vb"))
+            ).otherwise(zero)
+        return [centre, local, sums, reads, parts, spreads, ends]
 
 
 @dataclass(frozen=True)
@@ -384,12 +405,17 @@ def add_features(sig: Signal, families: Sequence, arrow=None, keep: Sequence[str
         raise ValueError("averages of one call must share a run length; call twice")
     df, frame, own = spread(sig, back, ahead, run)
     plans = [fam.levels(frame) for fam in families]
-    for i in range(max((len(p) for p in plans), default=0)):
+    # Families that end in arithmetic go first and the rest as late as possible:
+    # rows stay narrow, and no generated method holds all of the expressions.
+    early = lambda fam: isinstance(fam, (Ema, RollingAcf))
+    depth = max((len(p) + early(fam) for fam, p in zip(families, plans)), default=0)
+    for i in range(depth):
         level = {}
-        for p in plans:
-            if i < len(p):
-                level |= p[i]
-        df = df.withColumns(level)
+        for fam, p in zip(families, plans):
+            j = i if early(fam) else i - (depth - len(p))
+            if 0 <= j < len(p):
+                level |= p[j]
+        df = df.withColumns({n: c for n, c in level.items() if n not in df.columns})
     names = [n for fam in families for n in fam.names()]
     first = [*sig.keys, "seq", *keep]
     if arrow:

@@ -30,6 +30,10 @@ class Dataset:
     def part(self, split: str) -> DataFrame:
         return self.df.where(F.col("split") == split)
 
+    def written(self) -> "Dataset":
+        """Write the rows once, in a folder per split, for repeated passes of a fit."""
+        return replace(self, df=stage(self.df, f"set{self.horizon}", ("split",)))
+
 
 @dataclass
 class Prepared:
@@ -68,12 +72,14 @@ def prepare(
     cfg: Config = Config(),
     check: bool = True,
     to_db: bool = True,
+    write_sets: bool = True,
     **index,
 ) -> Prepared:
     """Load, validate, build features once, then split and scale every horizon.
 
-    The wide table is written once: the split, the scaler and every model fit
-    read columns of it instead of computing windows again.
+    The wide table is written once, so that the split, the scaler and the scaled
+    rows read columns of it instead of computing windows again. ``write_sets``
+    also writes the scaled rows, which fits read many times.
     """
     uncentred = replace(cfg, signal=replace(cfg.signal, center="none"))
     raw = load_signal(df, value, order, keys, uncentred, to_db, **index)
@@ -84,6 +90,8 @@ def prepare(
     out = Prepared(sig, metadata(raw, cfg), wide, cfg)
     for h in cfg.features.horizons:
         ds = horizon_dataset(sig, wide, h, cfg)
+        if write_sets:
+            ds = ds.written()
         if check:
             validate(ds.part("train"), [*ds.features, "y"], f"train set, horizon {h}", cfg.validation)
         out.sets[h] = ds

@@ -100,11 +100,26 @@ def _forest(ds: Dataset, params, seed) -> Fitted:
 
 
 def _boosting(ds: Dataset, params, seed) -> Fitted:
-    defaults = dict(learning_rate=0.1, n_estimators=300, max_depth=5)
-    settings = gbt_settings(defaults | dict(params))
-    est = GBTRegressor(labelCol="y", seed=seed, validationIndicatorCol="is_val", **settings)
-    rows = ds.df.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
-    model = Pipeline(stages=[_assemble(ds.features), est]).fit(rows)
+    """Boosted trees with early stopping.
+
+    ``early_stopping_rounds`` (default 50) grows all trees, reads the validation
+    error after each and grows again only as many as were best. 0 leaves the
+    stopping to MLlib, which ends at the first tree that gains too little.
+    """
+    settings = dict(learning_rate=0.1, n_estimators=300, max_depth=5) | dict(params)
+    patience = settings.pop("early_stopping_rounds", 50)
+    est = GBTRegressor(labelCol="y", seed=seed, **gbt_settings(settings))
+    assemble, trained = _assemble(ds.features), ds.part("train")
+    if not patience:
+        est.setValidationIndicatorCol("is_val")
+        trained = ds.df.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
+    model = Pipeline(stages=[assemble, est]).fit(trained)
+    if patience:
+        val = assemble.transform(ds.part("val")).select("features", "y")
+        errors = model.stages[-1].evaluateEachIteration(val, "squared")
+        best = best_tree_count(errors, patience)
+        if best < len(errors):
+            model = Pipeline(stages=[assemble, est.copy({est.maxIter: best})]).fit(trained)
     return Fitted("Gradient Boosting", model, ds.features, model.stages[-1].totalNumNodes, 0.0)
 
 
@@ -306,13 +321,13 @@ class EarlyStopping:
         return self.misses >= self.patience
 
 
-def best_tree_count(errors: DataFrame, patience: int = 50, min_delta: float = 0.0) -> int:
+def best_tree_count(errors: Sequence[float], patience: int = 50, min_delta: float = 0.0) -> int:
     """Trees to keep when the per-tree errors are read with a patience rule."""
     rule = EarlyStopping(patience, min_delta)
-    for row in errors.orderBy("trees").collect():  # one row per tree
-        if rule.stop_after(row.trees, row.mse):
+    for trees, error in enumerate(errors, 1):
+        if rule.stop_after(trees, error):
             break
-    return rule.best_step
+    return rule.best_step or 1
 
 
 def sequence_dataset(windows: DataFrame, keys, lookback: int, horizon: int) -> Dataset:

@@ -39,7 +39,8 @@ def sweep_sets(
             *keys, "seq", F.col(cfg.base).alias("level"), F.col(f"{cfg.base}_lag{h}").alias("level_lag"),
             *names, F.col(f"target_{h}").alias("y"),
         )
-        out[h] = Dataset(count_split(rows, keys, n_train, sig.n_series), None, names, h, sig.keys)
+        rows = count_split(rows, keys, n_train, sig.n_series)
+        out[h] = Dataset(rows, None, names, h, sig.keys)
     return out
 
 

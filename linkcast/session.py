@@ -37,8 +37,8 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once as Parquet and read it back.
+def stage(df: DataFrame, name: str = "stage", by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once as Parquet, in folders per ``by``, and read it back.
 
     Cuts the lineage at a shuffle whose result must not change between two
     actions, survives the loss of executors, and lets later readers prune
@@ -46,5 +46,6 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/linkcast-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
