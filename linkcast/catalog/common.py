@@ -17,6 +17,7 @@ from linkcast.functions.scalar import r_squared, rmse
 from linkcast.operators.ordering import Signal, index_series
 from linkcast.operators.splits import ratio_split
 from linkcast.operators.windows import Rolling, Targets, add_features
+from linkcast.session import stage
 from linkcast.sources.signals import load_signal
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +127,7 @@ def baseline_rows(spark: SparkSession, sf: str) -> DataFrame:
     wide = add_features(
         sig, [Rolling((5, 10, 20, 50), ("mean",), 1, "x"), Targets(REPORT_HORIZONS, True, "x")], keep=["x"]
     )
+    wide = stage(wide, "levels")
     levels = [c for _, c, _ in BASELINES]
     per_horizon = F.array(
         *[
@@ -156,7 +158,7 @@ def baseline_results(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("y") - F.col("prediction")
     on = lambda s, c: F.when(F.col("split") == s, c)
     test_e, test_y = on("test", e), on("test", F.col("y"))
-    return rows.groupBy("model_name", "horizon", "model_complexity").agg(
+    results = rows.groupBy("model_name", "horizon", "model_complexity").agg(
         rmse(on("train", e)).alias("train_rmse"),
         rmse(on("val", e)).alias("val_rmse"),
         rmse(test_e).alias("test_rmse"),
@@ -169,6 +171,7 @@ def baseline_results(spark: SparkSession, sf: str) -> DataFrame:
         F.count(on("train", e)).alias("n_train_samples"),
         F.count(test_e).alias("n_test_samples"),
     )
+    return stage(results, "results")
 
 
 _LEVELS = ",\n         ".join(f"avg(x) OVER {back(n)} AS m{n}" for n in (5, 10, 20, 50))

@@ -157,17 +157,21 @@ def horizon_summary(spark, sf):
     )
 
 
+def _sweep(sig, latencies):
+    rows = pre.sweep_rows(sig, latencies, 1_000, CFG)
+    fitted = pre.sweep_residuals(pre.sweep_sets(rows, sig, latencies, CFG), {"linear": {}})
+    return pre.naive_residuals(rows, ["series"]).unionByName(fitted)
+
+
 @query("latency_sweep_models")
 def latency_sweep_models(spark, sf):
     """Variance after pre-compensation with trained models."""
-    done = pre.sweep_sets(db_signal(spark, sf), (1, 5, 10), 1_000, CFG)
-    res = pre.sweep_residuals(done, {"naive": {}, "linear": {}})
+    res = _sweep(db_signal(spark, sf), (1, 5, 10))
     return pre.variance_reduction(res, ["series"])
 
 
 @query("prediction_table")
 def prediction_table(spark, sf):
     """The actual level next to one column per model."""
-    done = pre.sweep_sets(db_signal(spark, sf), (5,), 1_000, CFG)
-    res = pre.sweep_residuals(done, {"naive": {}, "linear": {}})
+    res = _sweep(db_signal(spark, sf), (5,))
     return pre.prediction_table(res, ["series"], 5, ["Naive", "Linear Regression"])

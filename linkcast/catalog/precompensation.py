@@ -23,8 +23,8 @@ t AS (SELECT *, x - p AS residual FROM k WHERE i >= {N_TRAIN})"""
 
 def naive_residuals(spark, sf):
     """Residuals of the naive forecast at every latency."""
-    sets = pre.sweep_sets(db_signal(spark, sf), SWEEP_LATENCIES, N_TRAIN, CFG)
-    return pre.sweep_residuals(sets, {"naive": {}})
+    rows = pre.sweep_rows(db_signal(spark, sf), SWEEP_LATENCIES, N_TRAIN, CFG)
+    return pre.naive_residuals(rows, ["series"])
 
 
 @query("naive_forecast_error", f"""WITH {SIG}, p AS (

@@ -26,12 +26,15 @@ def split_points(
 
     ``first`` and ``second`` are ranks stated over a column ``_total`` (rows of
     the series). Rows may be missing anywhere, so ranks are counted: rows per
-    cell of positions, then row numbers inside the cells that hold a rank.
+    cell of positions first. In a cell without gaps a rank is a position; only
+    the rows of cells with gaps that hold a wanted rank are numbered.
     """
     keys = list(keys)
     cell = F.floor(F.col("seq") / cell_rows)
     pos = df.select(*keys, "seq").withColumn("_cell", cell)
-    cells = pos.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    cells = pos.groupBy(*keys, "_cell").agg(
+        F.count("*").alias("_n"), F.min("seq").alias("_lo"), F.max("seq").alias("_hi")
+    )
     ordered = Window.partitionBy(*keys).orderBy("_cell")
     cells = cells.withColumn(
         "_before", F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
@@ -40,15 +43,25 @@ def split_points(
         "_b", second - F.col("_before")
     )
     holds = lambda c: (F.col(c) >= 0) & (F.col(c) < F.col("_n"))
-    wanted = cells.where(holds("_a") | holds("_b")).select(*keys, "_cell", "_a", "_b")
-    near = join_by_keys(pos, wanted, [*keys, "_cell"], 2 * n_series)
+    dense = F.col("_hi") - F.col("_lo") + 1 == F.col("_n")
+    gappy = cells.where((holds("_a") | holds("_b")) & ~dense).select(*keys, "_cell", "_a", "_b")
+    near = join_by_keys(pos, gappy, [*keys, "_cell"], 2 * n_series)
     rank = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("seq")) - 1
-    cuts = near.withColumn("_r", rank).groupBy(*keys).agg(
-        F.max(F.when(F.col("_r") == F.col("_a"), F.col("seq"))).alias("_val_from"),
-        F.max(F.when(F.col("_r") == F.col("_b"), F.col("seq"))).alias("_test_from"),
+    numbered = near.withColumn("_r", rank).select(
+        *keys,
+        F.when(F.col("_r") == F.col("_a"), F.col("seq")).alias("_val_from"),
+        F.when(F.col("_r") == F.col("_b"), F.col("seq")).alias("_test_from"),
+    )
+    # Every series has a row here, so one too short for any cut is kept too.
+    direct = cells.select(
+        *keys,
+        F.when(dense & holds("_a"), F.col("_lo") + F.col("_a")).alias("_val_from"),
+        F.when(dense & holds("_b"), F.col("_lo") + F.col("_b")).alias("_test_from"),
+    )
+    both = direct.unionByName(numbered)
+    return both.groupBy(*keys).agg(
+        F.max("_val_from").alias("_val_from"), F.max("_test_from").alias("_test_from")
     )
-    # A series too short for any boundary row keeps all rows in training.
-    return cells.select(*keys).distinct().join(cuts, keys, "left")
 
 
 def _with_split(df, keys, points, n_series):

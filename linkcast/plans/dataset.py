@@ -11,9 +11,11 @@ from linkcast.config import Config
 from linkcast.operators.ordering import Signal
 from linkcast.operators.splits import apply_scaler, fit_scaler, ratio_split
 from linkcast.operators.stats import validate
-from linkcast.plans.features import complete_rows, feature_names, horizon_view, wide_features
+from linkcast.plans.features import (
+    complete_rows, feature_names, long_form, shared_names, wide_features,
+)
 from linkcast.session import stage
-from linkcast.sources.signals import load_signal, metadata
+from linkcast.sources.signals import center, load_signal, metadata
 
 
 @dataclass
@@ -30,10 +32,6 @@ class Dataset:
     def part(self, split: str) -> DataFrame:
         return self.df.where(F.col("split") == split)
 
-    def written(self) -> "Dataset":
-        """Write the rows once, in a folder per split, for repeated passes of a fit."""
-        return replace(self, df=stage(self.df, f"set{self.horizon}", ("split",)))
-
 
 @dataclass
 class Prepared:
@@ -44,24 +42,48 @@ class Prepared:
     sets: dict[int, Dataset] = field(default_factory=dict)
 
 
-def horizon_dataset(sig: Signal, wide: DataFrame, horizon: int, cfg: Config = Config()) -> Dataset:
-    """Split and scale one horizon of a wide feature table."""
-    keys, names = list(sig.keys), feature_names(cfg, horizon)
-    rows = complete_rows(horizon_view(wide, keys, horizon, cfg))
-    rows = rows.select(
-        *keys,
-        "seq",
-        F.col(cfg.base).alias("level"),
-        F.col(f"{cfg.base}_lag{horizon}").alias("level_lag"),
-        *names,
-        F.col(f"target_{horizon}").alias("y"),
+def tap_names(cfg: Config, horizon: int) -> dict[str, str]:
+    """Columns of the stacked table that carry another name in one horizon's set."""
+    names = feature_names(cfg, horizon)
+    shared = set(shared_names(cfg))
+    return {f"tap{i}": n for i, n in enumerate(n for n in names if n not in shared)}
+
+
+def stacked_sets(sig: Signal, wide: DataFrame, cfg: Config = Config(), split=None):
+    """All horizons' complete rows with their split, scaled in one pass.
+
+    Returns the rows, written sorted by horizon and split so that a fit reads
+    little more than its own, and the scaler table. ``split(rows, keys, n)`` replaces
+    the ratio split.
+    """
+    keys = [*sig.keys, "horizon"]
+    groups = sig.n_series * len(cfg.features.horizons)
+    rows = complete_rows(long_form(wide, sig.keys, cfg)).withColumnsRenamed(
+        {cfg.base: "level", "target": "y"}
     )
-    rows = ratio_split(rows, keys, cfg.split, sig.n_series)
+    if split is None:
+        rows = ratio_split(rows, keys, cfg.split, groups)
+    else:
+        rows = split(rows, keys, groups)
     scaler = None
     if cfg.scaling:
-        scaler = fit_scaler(rows, keys, names, cfg.scaling)
-        rows = apply_scaler(rows, keys, names, scaler, sig.n_series)
-    return Dataset(rows, scaler, names, horizon, sig.keys)
+        h = cfg.features.horizons[0]
+        names = [*tap_names(cfg, h), *shared_names(cfg)]
+        scaler = stage(fit_scaler(rows, keys, names, cfg.scaling), "scaler")
+        rows = apply_scaler(rows, keys, names, scaler, groups)
+    return stage(rows, "sets", ("horizon", "split")), scaler
+
+
+def one_set(rows: DataFrame, scaler, sig: Signal, horizon: int, cfg: Config) -> Dataset:
+    """The set of one horizon out of the stacked rows."""
+    taps, names = tap_names(cfg, horizon), feature_names(cfg, horizon)
+    here = F.col("horizon") == horizon
+    df = rows.where(here).withColumnsRenamed(taps).select(
+        *sig.keys, "seq", "split", "level", "level_lag", *names, "y"
+    )
+    if scaler is not None:
+        scaler = scaler.where(here).drop("horizon").replace(taps, subset=["feature"])
+    return Dataset(df, scaler, names, horizon, sig.keys)
 
 
 def prepare(
@@ -72,26 +94,23 @@ def prepare(
     cfg: Config = Config(),
     check: bool = True,
     to_db: bool = True,
-    write_sets: bool = True,
     **index,
 ) -> Prepared:
     """Load, validate, build features once, then split and scale every horizon.
 
-    The wide table is written once, so that the split, the scaler and the scaled
-    rows read columns of it instead of computing windows again. ``write_sets``
-    also writes the scaled rows, which fits read many times.
+    The wide feature table is written once, so that the split, the scaler and
+    the scaled rows read it instead of computing windows again.
     """
     uncentred = replace(cfg, signal=replace(cfg.signal, center="none"))
     raw = load_signal(df, value, order, keys, uncentred, to_db, **index)
-    sig = load_signal(df, value, order, keys, cfg, to_db, **index)
+    sig = center(raw, cfg)
     if check:
         validate(sig.df, [cfg.base], "raw data", cfg.validation)
     wide = stage(wide_features(sig, cfg), "features")
+    rows, scaler = stacked_sets(sig, wide, cfg)
     out = Prepared(sig, metadata(raw, cfg), wide, cfg)
     for h in cfg.features.horizons:
-        ds = horizon_dataset(sig, wide, h, cfg)
-        if write_sets:
-            ds = ds.written()
+        ds = one_set(rows, scaler, sig, h, cfg)
         if check:
             validate(ds.part("train"), [*ds.features, "y"], f"train set, horizon {h}", cfg.validation)
         out.sets[h] = ds

@@ -57,14 +57,6 @@ def spectrum_family(cfg: Config) -> Spectrum | None:
     return Spectrum(f.fft_window, f.n_top_frequencies, cfg.signal.sampling_rate, cfg.base)
 
 
-def _taps(cfg: Config, horizon: int) -> list[str]:
-    f = cfg.features
-    if not f.enable_lags:
-        return []
-    shift = 0 if f.availability == "asof" else horizon
-    return Lags(tuple(range(shift, shift + f.n_taps)), f.use_diff, cfg.base).names()
-
-
 def shared_names(cfg: Config) -> list[str]:
     names = [n for fam in shared_families(cfg) for n in fam.names()]
     spec = spectrum_family(cfg)
@@ -79,16 +71,18 @@ def _spectral_slot(cfg: Config) -> int:
 
 def feature_names(cfg: Config, horizon: int) -> list[str]:
     """Model inputs of one horizon, without the level, its difference and targets."""
-    return [*_tap_names(cfg, horizon), *shared_names(cfg)]
+    return [*_tap_sources(cfg, horizon), *shared_names(cfg)]
 
 
-def _tap_names(cfg: Config, horizon: int) -> list[str]:
+def _tap_sources(cfg: Config, horizon: int) -> dict[str, str]:
+    """Lag features of a horizon and the columns of the wide table they come from."""
     f = cfg.features
     if not f.enable_lags:
-        return []
-    names = Lags(tuple(range(horizon, horizon + f.n_taps)), f.use_diff, cfg.base).names()
+        return {}
+    lags = lambda start: Lags(tuple(range(start, start + f.n_taps)), f.use_diff, cfg.base).names()
+    pairs = zip(lags(horizon), lags(0 if f.availability == "asof" else horizon))
     # The lag that rebuilds the level is no input where both would share a name.
-    return [n for n in names if n != f"{cfg.base}_lag{horizon}"]
+    return {n: src for n, src in pairs if n != f"{cfg.base}_lag{horizon}"}
 
 
 def wide_features(sig: Signal, cfg: Config = Config()) -> DataFrame:
@@ -118,7 +112,7 @@ def horizon_view(wide: DataFrame, keys, horizon: int, cfg: Config = Config()) ->
     diff = [f"{base}_diff"] if f.use_diff else []
     if f.availability == "current":
         return wide.select(*keys, "seq", base, *diff, *feature_names(cfg, horizon), lag, target)
-    taps = dict(zip(_tap_names(cfg, horizon), _taps(cfg, horizon)[-len(_tap_names(cfg, horizon)):]))
+    taps = _tap_sources(cfg, horizon)
     return wide.where(F.col(target).isNotNull()).select(
         *keys,
         (F.col("seq") + horizon).alias("seq"),
@@ -164,7 +158,7 @@ def long_form(wide: DataFrame, keys, cfg: Config = Config()) -> DataFrame:
     asof = f.availability == "asof"
     entries = []
     for h in f.horizons:
-        taps = _taps(cfg, h)
+        taps = _tap_sources(cfg, h).values()
         shift = h if asof else 0
         lag = F.col(base) if asof else F.col(f"{base}_lag{h}")
         entries.append(

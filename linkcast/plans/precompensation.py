@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from linkcast.config import SWEEP_LATENCIES, Config
 from linkcast.operators.ordering import Signal
 from linkcast.operators.splits import count_split
-from linkcast.plans.dataset import Dataset
-from linkcast.plans.features import complete_rows, feature_names, horizon_view, wide_features
+from linkcast.plans.dataset import Dataset, one_set, stacked_sets
+from linkcast.plans.features import wide_features
 from linkcast.plans.forecast import fit, scored_levels
 from linkcast.session import stage
 
@@ -26,22 +27,33 @@ def lag_config(latencies: Sequence[int], cfg: Config = Config()) -> Config:
     )
 
 
-def sweep_sets(
+def sweep_rows(
     sig: Signal, latencies: Sequence[int] = SWEEP_LATENCIES, n_train: int = 10_000, cfg: Config = Config()
-) -> dict[int, Dataset]:
-    """One data set per latency; the first ``n_train`` complete rows train."""
-    lags = lag_config(latencies, cfg)
+) -> DataFrame:
+    """Complete rows of all latencies; the first ``n_train`` of each train."""
+    lags = replace(lag_config(latencies, cfg), scaling=None)
     wide = stage(wide_features(sig, lags), "sweep")
-    keys, out = list(sig.keys), {}
-    for h in latencies:
-        names = feature_names(lags, h)
-        rows = complete_rows(horizon_view(wide, keys, h, lags)).select(
-            *keys, "seq", F.col(cfg.base).alias("level"), F.col(f"{cfg.base}_lag{h}").alias("level_lag"),
-            *names, F.col(f"target_{h}").alias("y"),
-        )
-        rows = count_split(rows, keys, n_train, sig.n_series)
-        out[h] = Dataset(rows, None, names, h, sig.keys)
-    return out
+    return stacked_sets(
+        sig, wide, lags, lambda df, keys, n: count_split(df, keys, n_train, n)
+    )[0]
+
+
+def sweep_sets(rows: DataFrame, sig: Signal, latencies: Sequence[int], cfg: Config = Config()):
+    lags = lag_config(latencies, cfg)
+    return {h: one_set(rows, None, sig, h, lags) for h in latencies}
+
+
+def naive_residuals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Residuals of "no change" at every latency, in one pass."""
+    scored = scored_levels(rows.where("split = 'test'").withColumn("prediction", F.lit(0.0)))
+    return _residuals(scored, keys, F.col("horizon"), "Naive")
+
+
+def _residuals(scored, keys, latency, model):
+    return scored.select(
+        *keys, "seq", latency.alias("latency"), F.lit(model).alias("model"),
+        "level", "predicted_level", "residual",
+    )
 
 
 def sweep_residuals(sets: dict[int, Dataset], models: dict[str, dict], seed: int = 42) -> DataFrame:
@@ -50,10 +62,8 @@ def sweep_residuals(sets: dict[int, Dataset], models: dict[str, dict], seed: int
     for h, ds in sets.items():
         for name, params in models.items():
             fitted = fit(name, ds, params, seed)
-            part = scored_levels(fitted.score(ds.part("test"))).select(
-                *ds.keys, "seq", F.lit(h).alias("latency"), F.lit(fitted.name).alias("model"),
-                "level", "predicted_level", "residual",
-            )
+            scored = scored_levels(fitted.score(ds.part("test")))
+            part = _residuals(scored, ds.keys, F.lit(h), fitted.name)
             out = part if out is None else out.unionByName(part)
     return out
 

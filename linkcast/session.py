@@ -38,7 +38,10 @@ def stage_root(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str = "stage", by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` once as Parquet, in folders per ``by``, and read it back.
+    """Write ``df`` once as Parquet and read it back.
+
+    Each file is sorted by ``by``, so that filters on those columns skip pages
+    without a folder (and a small file per task) for every value.
 
     Cuts the lineage at a shuffle whose result must not change between two
     actions, survives the loss of executors, and lets later readers prune
@@ -46,6 +49,5 @@ def stage(df: DataFrame, name: str = "stage", by: tuple[str, ...] = ()) -> DataF
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/linkcast-{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+    (df.sortWithinPartitions(*by) if by else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
