@@ -118,8 +118,9 @@ e AS (SELECT series, v, avg(pow({_LN.format(x='x', v='v')} - y, 2)) AS mse FROM
 SELECT series, {r('arg_min(v, mse)', 'strength')}, {r('min(mse)', 'mse')} FROM e GROUP BY series""")
 def lognormal_strength(spark, sf):
     """Best log-normal strength on a fixed grid (one search round)."""
-    hist = density(fast_fading(raw_signal(spark, sf), "x"), ["series"], "fading", _BINS)
-    return rounded(search(hist, ["series"], "lognormal", 1_000, rounds=1, steps=_STEPS))
+    sig = raw_signal(spark, sf)
+    hist = density(fast_fading(sig, "x"), ["series"], "fading", _BINS, n_groups=sig.n_series)
+    return rounded(search(hist, ["series"], "lognormal", sig.n_series, rounds=1, steps=_STEPS))
 
 
 @query("turbulence_strength")

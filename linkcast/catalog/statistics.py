@@ -139,13 +139,15 @@ FROM sig JOIN b USING (series) GROUP BY series"""
 
 @query("outliers", _OUT)
 def iqr_outliers(spark, sf):
-    return rounded(outliers(db_signal(spark, sf).df, ["series"], "x"))
+    sig = db_signal(spark, sf)
+    return rounded(outliers(sig.df, ["series"], "x", n_groups=sig.n_series))
 
 
 @query("outliers_ranked", _OUT)
 def iqr_outliers_ranked(spark, sf):
     """Quartiles by a range sort, as used for groups of any size."""
-    return rounded(outliers(db_signal(spark, sf).df, ["series"], "x", short_group=0))
+    sig = db_signal(spark, sf)
+    return rounded(outliers(sig.df, ["series"], "x", n_groups=sig.n_series, short_group=0))
 
 
 @query("autocorrelation", f"""WITH {SIG}, p AS (
@@ -167,7 +169,8 @@ h AS (SELECT sig.series, lo, (hi - lo) / {bins} AS w,
 @query("histogram", f"""WITH {SIG}, {_HIST.format(bins=100)}
 SELECT series, bin, {r('any_value(lo + bin * w)', 'left_edge')}, count(*) AS n FROM h GROUP BY series, bin""")
 def histogram_100(spark, sf):
-    return rounded(histogram(db_signal(spark, sf).df, ["series"], "x", 100))
+    sig = db_signal(spark, sf)
+    return rounded(histogram(sig.df, ["series"], "x", 100, sig.n_series))
 
 
 @query("density_histogram", f"""WITH {RAW}, {_HIST.format(bins=150000)},
@@ -176,7 +179,8 @@ s AS (SELECT *, n / sum(n) OVER (PARTITION BY series) AS y FROM n QUALIFY y > 1e
 t AS (SELECT *, (lead(x) OVER o - x) * (lead(y) OVER o + y) / 2 AS area FROM s WINDOW o AS (PARTITION BY series ORDER BY bin))
 SELECT series, bin, {r('x', 'x')}, {r('y / sum(area) OVER (PARTITION BY series)', 'y')} FROM t""")
 def density_histogram(spark, sf):
-    return rounded(density(raw_signal(spark, sf).df, ["series"], "x"))
+    sig = raw_signal(spark, sf)
+    return rounded(density(sig.df, ["series"], "x", n_groups=sig.n_series))
 
 
 @query("normal_plot")

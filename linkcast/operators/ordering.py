@@ -27,7 +27,7 @@ RANGE_ROWS = 1_000_000  # rows per range partition
 BLOCK_ROWS = 32_768  # rows per block, at most (longer only for a longer reach)
 MIN_BLOCK_ROWS = 2_048
 TASK_ROWS = 4_000_000  # rows per task of a window stage, at most
-SMALL_TABLE = 200_000  # rows of a table that may be broadcast
+SMALL_CELLS = 2_000_000  # rows times columns of a table that may be broadcast
 
 
 @dataclass(frozen=True)
@@ -53,10 +53,18 @@ class Signal:
 
 
 def join_by_keys(
-    df: DataFrame, table: DataFrame, keys: Sequence[str], table_rows: int, how: str = "inner"
+    df: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    table_rows: int | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Equi-join that broadcasts ``table`` only when its counted size is small."""
-    if table_rows <= SMALL_TABLE:
+    """Equi-join that broadcasts ``table`` only when its counted size is small.
+
+    Larger tables and those of unknown size are shuffled; adaptive execution
+    then splits the partitions of hot keys.
+    """
+    if table_rows is not None and table_rows * len(table.columns) <= SMALL_CELLS:
         table = F.broadcast(table)
     return df.join(table, list(keys), how)
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from linkcast.config import ValidationConfig
 from linkcast.functions.scalar import pearson
-from linkcast.operators.ordering import Signal, join_by_keys, spread
+from linkcast.operators.ordering import Signal, index_series, join_by_keys, spread
 from linkcast.operators.quantiles import quantiles
 
 
@@ -68,7 +68,9 @@ def top_per_group(df: DataFrame, keys: Sequence[str], by: str, tie: str, top: in
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def outliers(df: DataFrame, keys: Sequence[str], col: str, width: float = 3.0, **q) -> DataFrame:
+def outliers(
+    df: DataFrame, keys: Sequence[str], col: str, width: float = 3.0, n_groups: int | None = None, **q
+) -> DataFrame:
     """Quartiles, bounds at ``width`` interquartile ranges and the rows outside."""
     keys = list(keys)
     qs = quantiles(df, keys, [col], (0.25, 0.75), **q).select(
@@ -81,11 +83,9 @@ def outliers(df: DataFrame, keys: Sequence[str], col: str, width: float = 3.0, *
         .withColumn("upper_bound", F.col("q3") + width * iqr)
     )
     cut = ["q1", "q3", "iqr", "lower_bound", "upper_bound"]
-    # AQE broadcasts the bounds if they are small and splits skewed keys if not.
     outside = (F.col(col) < F.col("lower_bound")) | (F.col(col) > F.col("upper_bound"))
     return (
-        df.select(*keys, col)
-        .join(bounds, keys)
+        join_by_keys(df.select(*keys, col), bounds, keys, n_groups)
         .groupBy(*keys)
         .agg(
             *[F.max(c).alias(c) for c in cut],
@@ -136,17 +136,20 @@ def autocorrelation(sig: Signal, base: str = "OptPow", max_lag: int = 100) -> Da
     )
 
 
-def histogram(df: DataFrame, keys: Sequence[str], col: str, bins: int = 100) -> DataFrame:
-    """Equal-width bins between each group's minimum and maximum (non-empty bins)."""
+def histogram(
+    df: DataFrame, keys: Sequence[str], col: str, bins: int = 100, n_groups: int | None = None
+) -> DataFrame:
+    """Equal-width bins between each group's minimum and maximum (non-empty bins).
+
+    ``n_groups`` is the counted number of groups, if known.
+    """
     keys = list(keys)
     span = df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.floor(F.try_divide(F.col(col) - F.col("_lo"), width))
-    binned = (
-        df.select(*keys, col)
-        .where(F.col(col).isNotNull())
-        .join(span, keys)
-        .withColumn("bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
+    values = df.select(*keys, col).where(F.col(col).isNotNull())
+    binned = join_by_keys(values, span, keys, n_groups).withColumn(
+        "bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1))
     )
     return binned.groupBy(*keys, "bin").agg(
         F.max(F.col("_lo") + F.col("bin") * width).alias("left_edge"),
@@ -154,13 +157,20 @@ def histogram(df: DataFrame, keys: Sequence[str], col: str, bins: int = 100) ->
     )
 
 
-def density(df: DataFrame, keys: Sequence[str], col: str, bins: int = 150_000, floor: float = 1e-6):
+def density(
+    df: DataFrame,
+    keys: Sequence[str],
+    col: str,
+    bins: int = 150_000,
+    floor: float = 1e-6,
+    n_groups: int | None = None,
+) -> DataFrame:
     """Histogram scaled to unit area, bins with a share above ``floor`` only.
 
     The area is the trapezoid sum over the left edges of the kept bins.
     """
     keys = list(keys)
-    hist = histogram(df, keys, col, bins)
+    hist = histogram(df, keys, col, bins, n_groups)
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
     kept = hist.withColumn("share", share).where(F.col("share") > floor)
     nxt = Window.partitionBy(*keys).orderBy("bin")
@@ -186,8 +196,6 @@ def qq_points(sig: Signal, base: str = "OptPow", every: int = 100) -> DataFrame:
     Plotting positions are Filliben's medians: 0.5^(1/n) at the top, its
     complement at the bottom and (i - 0.3175) / (n + 0.365) in between.
     """
-    from linkcast.operators.ordering import index_series
-
     keys = list(sig.keys)
     picked = sig.df.where(F.col("seq") % every == 0).withColumn("_v", F.col(base))
     ranked = index_series(picked, keys, [base, "seq"], ["_v"])

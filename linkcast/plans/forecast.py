@@ -87,7 +87,8 @@ def _naive(ds: Dataset, params, seed) -> Fitted:
 
 
 def _linear(ds: Dataset, params, seed) -> Fitted:
-    est = LinearRegression(solver="normal", regParam=0.0, labelCol="y", **dict(params))
+    settings = dict(solver="normal", regParam=0.0) | dict(params)
+    est = LinearRegression(labelCol="y", **settings)
     model = Pipeline(stages=[_assemble(ds.features), est]).fit(ds.part("train"))
     return Fitted("Linear Regression", model, ds.features, len(ds.features) + 1, 0.0)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from linkcast.functions.density import gammagamma_pdf, lognormal_pdf
 from linkcast.functions.scalar import power_to_irradiance
-from linkcast.operators.ordering import Signal, join_by_keys
+from linkcast.operators.ordering import Signal, join_by_keys, window_tasks
 from linkcast.operators.stats import density
 from linkcast.operators.windows import FastFading, add_features
 from linkcast.session import stage
@@ -110,8 +110,10 @@ def turbulence_strength(
 ) -> DataFrame:
     """(keys, strength, mse, model) per link from its power in watts."""
     keys = list(sig.keys)
-    hist = density(fast_fading(sig, power, window), keys, "fading", bins, SHARE_FLOOR)
-    hist = stage(hist, "density")
+    fading = fast_fading(sig, power, window)
+    hist = density(fading, keys, "fading", bins, SHARE_FLOOR, sig.n_series)
+    # The fit is all computation: spread the bins of each link over the cores.
+    hist = stage(hist.repartition(window_tasks(sig)), "density")
     strong = search(hist, keys, "gammagamma", sig.n_series, rounds).withColumn(
         "model", F.lit("gammagamma")
     )
