@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linkcast.catalog.common import CFG, RAW, SIG, W, PRICE, back, db_signal, price_signal, query, r, raw_signal, rounded
 from linkcast.operators.spectrum import Spectrum
 from linkcast.operators.windows import (
-    Ema, FastFading, Lags, Rolling, RollingAcf, Targets, Trend, add_features, moving_average,
+    Ema, FastFading, Lags, Rolling, RollingAcf, Targets, Trend, add_features, moving_average, slow_ema,
 )
 from linkcast.plans.features import (
     complete_rows, engineer_features, horizon_view, long_form, wide_features,
@@ -94,6 +94,18 @@ def exponential_average_weighted(spark, sf):
     return rounded(add_features(db_signal(spark, sf), [Ema((0.1, 0.5), True, "x")]))
 
 
+@query("exponential_average_slow", f"""WITH RECURSIVE {SIG}, m AS MATERIALIZED (SELECT * FROM sig),
+e AS (
+  SELECT series, seq, x AS e1, x AS e2 FROM m WHERE seq = 0
+  UNION ALL
+  SELECT m.series, m.seq, 0.999 * e1 + 0.001 * m.x, 0.98 * e2 + 0.02 * m.x
+  FROM e JOIN m ON m.series = e.series AND m.seq = e.seq + 1)
+SELECT series, seq, {r('e1', 'x_ema_0_001')}, {r('e2', 'x_ema_0_02')} FROM e""")
+def exponential_average_slow(spark, sf):
+    """Small factors: sums of runs are carried over many later runs."""
+    return rounded(slow_ema(db_signal(spark, sf), (0.001, 0.02), False, "x", 256).drop("x"))
+
+
 def _acf_sql(mode):
     cols = []
     for k in (1, 5, 10, 20):

@@ -192,6 +192,6 @@ def spread(sig: Signal, back: int, ahead: int, run_rows: int | None = None):
 
 
 def window_tasks(sig: Signal) -> int:
-    spark = sig.df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, ceil(sig.rows / TASK_ROWS))
+    """Tasks of a window stage: all cores for small signals, bounded rows for large ones."""
+    usual = int(sig.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(ceil(sig.rows / TASK_ROWS), min(usual, ceil(sig.rows / MIN_BLOCK_ROWS)), 1)

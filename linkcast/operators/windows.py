@@ -191,7 +191,8 @@ class Ema:
         return [self._name(a) for a in self.alphas]
 
     def levels(self, f: Frame) -> Levels:
-        first, second = {}, {}
+        # The frames per run come first: their sort also serves all others.
+        first, handed, second = {}, {}, {}
         pos = F.col("seq") % self.run_rows
         for i, a in enumerate(self.alphas):
             r = 1 - a
@@ -214,14 +215,69 @@ class Ema:
                 weighted = x * F.pow(F.lit(r), -pos)
                 to_end = x * F.pow(F.lit(r), (self.run_rows - 1) - pos)
                 first[f"_in{tag}"] = f.in_run(F.sum(weighted), "_run")
-                first[f"_past{tag}"] = f.previous_run(F.sum(to_end), "_run")
+                handed[f"_past{tag}"] = f.previous_run(F.sum(to_end), "_run")
                 value = a * F.pow(F.lit(r), pos) * F.col(f"_in{tag}") + a * F.pow(
                     F.lit(r), pos + 1
                 ) * F.coalesce(F.col(f"_past{tag}"), F.lit(0.0))
             if self.adjust:
                 value = value / (1 - F.pow(F.lit(r), F.col("seq") + 1))
             second[self._name(a)] = value
-        return [first, second]
+        return [first, handed, second]
+
+
+SLOW_RUN_ROWS = 65_536  # longer runs are not held in one window; see slow_ema
+
+
+def slow_ema(
+    sig: Signal,
+    alphas: Sequence[float],
+    adjust: bool = False,
+    base: str = "OptPow",
+    run_rows: int = 8192,
+) -> DataFrame:
+    """The averages of ``Ema`` for factors so small that they reach back over many runs.
+
+    Each run of rows is summed up to one number, the sums are handed to all
+    later runs they still matter for, and every row adds its run's share by an
+    equi-join. Returns the keys, ``seq``, the signal and the averages.
+    """
+    if max(alphas) >= 1:
+        raise ValueError("a factor of 1 is the signal itself")
+    # The weights inside a run must stay within the range of a double.
+    run_rows = min(run_rows, *(max(1, int(600 / -log(1 - a))) for a in alphas))
+    keys, x = list(sig.keys), F.col(base)
+    out = sig.df.select(*keys, "seq", base).withColumn("_run", F.floor(F.col("seq") / run_rows))
+    pos, by_run = F.col("seq") % run_rows, [*keys, "_run"]
+    family = Ema(tuple(alphas), adjust, base)
+    start = {
+        a: x if adjust else F.when(F.col("seq") == 0, x / a).otherwise(x) for a in alphas
+    }
+    ends = out.groupBy(*by_run).agg(
+        *[
+            F.sum(start[a] * F.pow(F.lit(1 - a), (run_rows - 1) - pos)).alias(f"_c{i}")
+            for i, a in enumerate(alphas)
+        ]
+    )
+    runs = max(ceil(ema_reach(a) / run_rows) for a in alphas)
+    handed = ends.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    handed = handed.withColumn("_run", F.col("_run") + F.col("_j")).groupBy(*by_run).agg(
+        *[
+            F.sum(F.col(f"_c{i}") * F.pow(F.lit(1 - a), (F.col("_j") - 1) * run_rows)).alias(f"_h{i}")
+            for i, a in enumerate(alphas)
+        ]
+    )
+    frame, zero = Frame(by_run, ["seq"]), F.lit(0.0)
+    inside = {
+        f"_in{i}": frame.running(F.sum(start[a] * F.pow(F.lit(1 - a), -pos)))
+        for i, a in enumerate(alphas)
+    }
+    out = out.withColumns(inside).join(handed, by_run, "left")
+    for i, (a, name) in enumerate(zip(alphas, family.names())):
+        r = F.lit(1 - a)
+        before = F.coalesce(F.col(f"_h{i}"), zero)
+        value = a * F.pow(r, pos) * F.col(f"_in{i}") + a * F.pow(r, pos + 1) * before
+        out = out.withColumn(name, value / (1 - F.pow(r, F.col("seq") + 1)) if adjust else value)
+    return out.select(*keys, "seq", base, *family.names())
 
 
 @dataclass(frozen=True)
@@ -403,6 +459,8 @@ def add_features(sig: Signal, families: Sequence, arrow=None, keep: Sequence[str
     emas = [fam for fam in families if isinstance(fam, Ema)]
     if any(fam.run_rows != run for fam in emas):
         raise ValueError("averages of one call must share a run length; call twice")
+    if run and run > SLOW_RUN_ROWS:
+        raise ValueError("these averages reach back too far for one window; use slow_ema")
     df, frame, own = spread(sig, back, ahead, run)
     plans = [fam.levels(frame) for fam in families]
     # Families that end in arithmetic go first and the rest as late as possible:

@@ -6,7 +6,7 @@ import pytest
 from conftest import by_series
 
 from linkcast.operators.spectrum import Spectrum
-from linkcast.operators.windows import Diff, Ema, FastFading, Lags, Rolling, RollingAcf, Targets, Trend, add_features
+from linkcast.operators.windows import Diff, Ema, FastFading, Lags, Rolling, RollingAcf, Targets, Trend, add_features, slow_ema
 
 RNG = np.random.default_rng(7)
 LONG = np.cumsum(RNG.normal(size=1500))
@@ -92,6 +92,16 @@ def test_ema(signal, alphas, adjust):
         np.testing.assert_allclose(got[f"x_ema_{str(a).replace('.', '_')}"], want, rtol=1e-10, atol=1e-10)
 
 
+@pytest.mark.parametrize("adjust", [False, True])
+def test_slow_ema(signal, adjust):
+    got = by_series(slow_ema(signal, (0.002, 0.3), adjust, "x", 100), "long")
+    for a in (0.002, 0.3):
+        want = pd.Series(LONG).ewm(alpha=a, adjust=adjust).mean()
+        np.testing.assert_allclose(got[f"x_ema_{str(a).replace('.', '_')}"], want, rtol=1e-9, atol=1e-9)
+    with pytest.raises(ValueError, match="slow_ema"):
+        add_features(signal, [Ema((1e-6,), adjust, "x")])
+
+
 def test_ema_of_a_constant(make_signal):
     got = add_features(make_signal({"a": np.full(900, 3.5)}), [Ema(base="x")]).toPandas()
     np.testing.assert_allclose(got.filter(like="ema"), 3.5, rtol=1e-13)
