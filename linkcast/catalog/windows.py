@@ -227,6 +227,12 @@ def feature_set_all(spark, sf):
     return engineer_features(db_signal(spark, sf), 5, CFG)
 
 
+@query("feature_set_prices")
+def feature_set_prices(spark, sf):
+    """The same 48 features for many shorter series with ties in time."""
+    return engineer_features(price_signal(spark, sf), 5, CFG)
+
+
 _TAPS = ", ".join(
     r(f"lag(x_diff, h.horizon + {i}) OVER (PARTITION BY series, h.horizon ORDER BY seq)", f"tap{i}", 5)
     for i in range(10)
