@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkcast.catalog.common import CFG, RAW, SIG, W, PRICE, back, db_signal, price_signal, query, r, raw_signal, rounded
+from linkcast.catalog.common import CFG, RAW, SIG, SQL, W, PRICE, back, db_signal, price_signal, query, r, raw_signal, rounded
 from linkcast.operators.spectrum import Spectrum
 from linkcast.operators.windows import (
     Ema, FastFading, Lags, Rolling, RollingAcf, Targets, Trend, add_features, moving_average, slow_ema,
@@ -221,10 +221,17 @@ def feature_set(spark, sf):
     return rounded(engineer_features(db_signal(spark, sf), 5, FRAMES_ONLY), 5)
 
 
-@query("feature_set_all")
+_PARTS = ("exponential_average", "rolling_autocorrelation", "rolling_spectrum")
+
+
+@query("feature_set_all", f"SELECT * FROM ({SQL['feature_set']}) base "
+       + " ".join(f"JOIN ({SQL[n]}) {n} USING (series, seq)" for n in _PARTS))
 def feature_set_all(spark, sf):
     """All six families: 48 features of one horizon."""
-    return engineer_features(db_signal(spark, sf), 5, CFG)
+    df = engineer_features(db_signal(spark, sf), 5, CFG)
+    finer = {c: 6 for c in df.columns if "_ema_" in c or "_acf_" in c}
+    coarser = {c: 2 for c in df.columns if "_spectral_" in c}
+    return rounded(df, 5, **finer, **coarser)
 
 
 @query("feature_set_prices")

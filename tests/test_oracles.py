@@ -19,7 +19,7 @@ def test_matches_sql(spark, con, name):
     assert compare(spark, con, SF, name, QUERIES[name], SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["feature_set_all", "normal_plot", "turbulence_strength", "linear_regression", "error_by_trees"])
+@pytest.mark.parametrize("name", ["feature_set_prices", "normal_plot", "turbulence_strength", "linear_regression", "error_by_trees"])
 def test_rows_only(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.count() > 0
