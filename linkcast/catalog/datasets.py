@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from linkcast.catalog.common import CFG, SIG, W, back, db_signal, events, query, r, rounded

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from linkcast.catalog.common import (
-    CFG, IDX, PRICE, SIG, W, baseline_results, db_signal, events, price_signal, query, r, raw_signal,
+    CFG, IDX, PRICE, SIG, W, baseline_results, db_signal, events, price_signal, query, r,
     RESULTS, rounded, uncentred_signal,
 )
 from linkcast.config import Config

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkcast.catalog.common import (
-    BASELINE_ROWS, CFG, IDX, RAW, RESULTS, SIG, W, back, baseline_results, baseline_rows, db_signal,
+    BASELINE_ROWS, RAW, RESULTS, SIG, W, back, baseline_results, baseline_rows, db_signal,
     events, query, r, raw_signal, rounded,
 )
 from linkcast.functions.scalar import pearson

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from linkcast.catalog.common import CFG, RAW, SIG, SQL, W, PRICE, back, db_signal, price_signal, query, r, raw_signal, rounded
 from linkcast.operators.spectrum import Spectrum
 from linkcast.operators.windows import (
-    Ema, FastFading, Lags, Rolling, RollingAcf, Targets, Trend, add_features, moving_average, slow_ema,
+    Diff, Ema, FastFading, Lags, Rolling, RollingAcf, Targets, Trend, add_features, moving_average, slow_ema,
 )
 from linkcast.plans.features import (
     complete_rows, engineer_features, horizon_view, long_form, wide_features,
@@ -58,8 +56,6 @@ SELECT series, seq, {', '.join(_full('x', w, f'x_rolling_mean_{w}') for w in (5,
 def rolling_mean_full(spark, sf):
     """Full windows only, on the level and on its first difference."""
     sig = db_signal(spark, sf)
-    from linkcast.operators.windows import Diff
-
     diff = sig.with_df(add_features(sig, [Diff("x")], keep=["x"]))
     fams = [Rolling((5, 10, 20), ("mean",), None, c) for c in ("x", "x_diff")]
     return rounded(add_features(diff, fams))

@@ -8,14 +8,13 @@ import pytest
 from conftest import by_series
 from pyspark.sql import functions as F
 
-from linkcast.config import Config, FeatureConfig, SignalConfig, SplitConfig
+from linkcast.config import Config, SignalConfig, SplitConfig
 from linkcast.operators.quantiles import quantiles
 from linkcast.operators.sequences import (
-    label_sequences, make_sequences, normalize_sequences, sequence_split, sequence_stats,
+    label_sequences, make_sequences, sequence_split, sequence_stats,
 )
 from linkcast.operators.splits import apply_scaler, fit_scaler, ratio_split
 from linkcast.operators.stats import autocorrelation, qq_points, validate
-from linkcast.operators.windows import Rolling
 from linkcast.plans.dataset import prepare
 from linkcast.plans.features import engineer_features, feature_names, register_feature, wide_features
 from linkcast.plans.forecast import fit, metrics, scored_levels
