@@ -134,8 +134,9 @@ def dedup_lines(
     for k in range(batches):
         keys = lines.where(F.col("batch") == k).groupBy("h")
         runs.add(keys.agg(F.min("id").alias("owner"), F.max("id").alias("last")))
+    shared = stage(runs.shared(), "shared-lines")  # written, so that a frequent key's join can be split
     dropped = (
-        lines.join(runs.shared(), "h")
+        lines.join(shared, "h")
         .where("id > owner")
         .groupBy("id", "text_hash")
         .agg(F.collect_set("pos").alias("dropped"))
