@@ -1,6 +1,6 @@
 """All registered queries of the text operators with the SQL that checks them."""
 
-from linkcast.llm import attribution, huffman, language, lines, packing, pii, quality, sharding  # noqa: F401
+from linkcast.llm import attribution, decontam, huffman, language, lines, packing, pii, quality, sharding  # noqa: F401
 from linkcast.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
