@@ -1,22 +1,67 @@
-"""From raw documents to packed training sequences: the stages, each on what its predecessor kept."""
+"""From raw documents to packed training sequences: the stages, each on what its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a table that is written before the next
+one reads it. All but the last return the columns of ``documents``:
+
+* ``language`` lets documents go whose language is rejected (``und`` or too far from every
+  centroid);
+* ``line_dedup`` takes lines away that an earlier document holds, and documents that lose
+  all of their lines;
+* ``near_dedup`` keeps one document of each group of near-duplicates, the smallest id;
+* ``decontamination`` lets documents go that leak a benchmark item;
+* ``packing`` gives the pieces of what is left in sequences of at most 2048 ids.
+
+``ORACLE_SQL`` is None: trained centroids, tokens and the packing are beyond SQL; the tests
+compare the stages with brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkcast.llm import decontam
+from linkcast.llm import language as lang
+from linkcast.llm.common import LAST_ID
 from linkcast.llm.lines import dedup_lines
+from linkcast.llm.neardup import near_duplicates, sized
+from linkcast.llm.packing import cut_pieces, pack
+from linkcast.llm.tokens import vocabulary
 from linkcast.session import stage
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = lang.identify(docs, lang.train(docs), out_col="_language")
+    return found.where("NOT _language.rejected").drop("_language")
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; a document that loses all its lines goes too."""
     left = dedup_lines(docs).where("n_dropped < n_lines")
-    kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return left.select(*kept)
+    return left.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LAST_ID))
+    gone = near_duplicates(docs).where("NOT kept").select(known("doc_id").alias("_id")).distinct()
+    return docs.join(sized(stage(gone, "copies")), known("doc_id") == F.col("_id"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    indexes = decontam.build(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.find_leaks(docs, indexes, out_col="_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(cut_pieces(docs, vocabulary("word_bpe_49k.json"), False, 0))
 
 
-STAGES = [("line_dedup", line_dedup)]
+STAGES = [
+    ("language", language),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
