@@ -4,8 +4,9 @@ A text is a vector of hashed 1- to 3-grams of its lower-cased characters (everyt
 ASCII but letters counts as a space): log term frequency times inverse document frequency,
 of unit length. Each language has ``clusters`` centroids from spherical k-means. The
 prediction is the language of the centroid with the largest cosine, which is the score.
-A text is *rejected* when its distance (one minus the cosine) is further than its language's
-limit, which comes from the distances of that language's own sample, or when it is ``und``.
+A text is *rejected* when its distance (one minus the cosine) is beyond its language's limit,
+or when it is ``und``. The limit leaves ``reach`` times the cosine that 99 of 100 documents of
+the language's own sample reach, so that very short texts pass and other scripts do not.
 
 Document frequencies count every training document. The k-means runs on a sample of at most
 ``sample`` training documents, shared evenly by the languages and picked by a hash of the
@@ -123,7 +124,7 @@ def _held_out(id_col: str) -> Column:
 
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    clusters: int = 3, sample: int = 2_400, slack: float = 1.5,
+    clusters: int = 3, sample: int = 2_400, reach: float = 0.2,
 ) -> Model:
     """Counts over all training documents, centroids from the bounded sample."""
     known = docs.where(
@@ -178,7 +179,7 @@ def train(
         distance = 1 - (rows @ own.T).max(axis=1)
         centroids.append(own)
         model.languages += [lang] * len(own)
-        limits += [min(0.9, slack * float(np.quantile(distance, 0.99)))] * len(own)
+        limits += [1 - reach * (1 - float(np.quantile(distance, 0.99)))] * len(own)
     model.centroids = np.concatenate(centroids).astype(np.float32)
     model.limits = np.array(limits)
     return model
