@@ -6,8 +6,10 @@ weight a passage holds and one threshold fits items of any length. Documents are
 passages of twice the longest item, half overlapping, so that a whole item always lies in
 one of them. Every passage of every document is a query:
 
-1. the sum of the largest impacts of its distinct terms bounds its scores; below the
-   threshold no item can match (most passages end here);
+1. frequent terms, taken while no item holds more than ``FREQUENT`` of its weight in them,
+   are left out at first. The postings of the other terms are short; summed by passage and
+   item, plus the item's weight in frequent terms, they bound every score. Passages without
+   an item whose bound reaches the threshold end here (nearly all do);
 2. block-max WAND moves over the postings of the others, skips blocks of postings whose
    largest impacts cannot reach the threshold, and returns *all* items that do;
 3. each retrieved item is verified on the document's three-word shingles: at least
@@ -41,6 +43,7 @@ from linkcast.llm.common import documents, query
 K1, B = 1.2, 0.75
 SHINGLE = 3
 BLOCK = 32  # postings under one block maximum
+FREQUENT = 0.3  # most of an item's weight that the frequent terms may hold
 LEAK = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()),
     T.StructField("score", T.DoubleType()),
@@ -88,7 +91,20 @@ class Index:
         self.items = [[k for k, _ in p] for p in postings]
         self.impacts = [[x for _, x in p] for p in postings]
         self.block_max = [[max(x[a: a + BLOCK]) for a in range(0, len(x), BLOCK)] for x in self.impacts]
-        self.bound = np.array([max(x) for x in self.impacts])
+        self.bound = [max(x) for x in self.impacts]
+        # Frequent terms first; the rest with their postings one after another.
+        self.frequent_part = np.zeros(len(split))
+        self.rare = np.ones(len(self.vocab), bool)
+        for t in sorted(range(len(self.vocab)), key=lambda t: (-len(self.items[t]), t)):
+            more = self.frequent_part[self.items[t]] + self.impacts[t]
+            if more.max() > FREQUENT:
+                break
+            self.frequent_part[self.items[t]] = more
+            self.rare[t] = False
+        sizes = [len(x) if r else 0 for x, r in zip(self.items, self.rare)]
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.rare_items = np.array([k for x, r in zip(self.items, self.rare) if r for k in x], np.int64)
+        self.rare_impacts = np.array([i for x, r in zip(self.impacts, self.rare) if r for i in x])
 
     def shingles(self, ids: np.ndarray) -> set[tuple]:
         """Shingles as tuples of term numbers; a shorter text is one shingle."""
@@ -150,19 +166,13 @@ class Index:
         known = self.vocab
         ids = np.array([known.get(w, -1) for w in words(text)], np.int64)
         places = np.flatnonzero(ids >= 0)
-        if not len(places):
-            return []
+        scores: dict[int, list[float]] = {}
         # Passage k holds the words from k to k + 2 strides; a word is in passages k and k - 1.
         stride = max(16, self.longest)
-        passage, n_terms = places // stride, len(known)
-        keys = np.concatenate([passage * n_terms, np.maximum(passage - 1, 0) * n_terms]) + np.tile(ids[places], 2)
-        keys = np.unique(keys)
-        passage, term = keys // n_terms, keys % n_terms
-        bound = np.bincount(passage, weights=self.bound[term])
-        scores: dict[int, list[float]] = {}
-        for k in np.flatnonzero(bound >= threshold):
-            a, b = np.searchsorted(passage, [k, k + 1])
-            for item, score in self.retrieve(term[a:b].tolist(), threshold):
+        for k in self.possible(ids, places, stride, threshold):
+            a, b = np.searchsorted(places, [k * stride, (k + 2) * stride])
+            terms = np.unique(ids[places[a:b]]).tolist()
+            for item, score in self.retrieve(terms, threshold):
                 scores.setdefault(item, []).append(score)
         if not scores:
             return []
@@ -178,6 +188,22 @@ class Index:
                 })
         return sorted(out, key=lambda x: (x["item_id"] is None, x["item_id"]))
 
+    def possible(self, ids: np.ndarray, places: np.ndarray, stride: int, threshold: float) -> list[int]:
+        """Passages in which the bound of an item reaches the threshold."""
+        places = places[self.rare[ids[places]]]
+        if not len(places):
+            return []
+        n_terms, n_items = len(self.vocab), len(self.item_ids)
+        passage, term = places // stride, ids[places]
+        keys = np.unique(np.concatenate([passage * n_terms + term, np.maximum(passage - 1, 0) * n_terms + term]))
+        passage, term = keys // n_terms, keys % n_terms
+        size = self.first[term + 1] - self.first[term]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(self.first[term] - (ends - size), size)
+        pairs, where = np.unique(np.repeat(passage, size) * n_items + self.rare_items[at], return_inverse=True)
+        bound = np.bincount(where, weights=self.rare_impacts[at]) + self.frequent_part[pairs % n_items]
+        return np.unique(pairs[bound >= threshold - 1e-9] // n_items).tolist()
+
     @staticmethod
     def _own_shingles(ids: np.ndarray) -> set[tuple]:
         n = len(ids) - SHINGLE + 1
@@ -228,7 +254,7 @@ def build(items: DataFrame, block_items: int = 50_000, id_col: str = "item_id",
 
 
 def find_leaks(
-    docs: DataFrame, indexes: list[Index], threshold: float = 0.4, question: float = 0.5, answer: float = 0.5,
+    docs: DataFrame, indexes: list[Index], threshold: float = 0.5, question: float = 0.5, answer: float = 0.5,
     text_col: str = "text", out_col: str = "leaks",
 ) -> DataFrame:
     """The input's columns and ``out_col``: the verified items of each document."""
