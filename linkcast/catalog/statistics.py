@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkcast.catalog.common import (
-    BASELINE_ROWS, RAW, RESULTS, SIG, W, back, baseline_results, baseline_rows, db_signal,
+    BASELINE_ROWS, CFG, RAW, RESULTS, SIG, W, back, baseline_results, baseline_rows, db_signal,
     events, query, r, raw_signal, rounded,
 )
 from linkcast.functions.scalar import pearson
 from linkcast.operators.quantiles import quantiles
 from linkcast.operators.stats import (
     autocorrelation, density, describe, histogram, outliers, qq_points, quality_counts,
-    target_correlation, variance_ranking,
+    normal_quantile, target_correlation, variance_ranking,
 )
 from linkcast.operators.windows import Rolling, Targets, add_features
 from linkcast.plans.forecast import metrics
 from linkcast.plans.reports import model_means, spread_by_model, stability
+from linkcast.sources.signals import load_signal
 
 BY = ["series", "model_name", "horizon", "split"]
 
@@ -183,10 +184,62 @@ def density_histogram(spark, sf):
     return rounded(density(sig.df, ["series"], "x", n_groups=sig.n_series))
 
 
-@query("normal_plot")
+@query("normal_plot", f"""WITH {SIG},
+k AS (SELECT series, x, row_number() OVER (PARTITION BY series ORDER BY x, seq) AS i, count(*) OVER (PARTITION BY series) AS n
+      FROM sig WHERE seq % 100 = 0),
+q AS (SELECT series, i, x, CASE WHEN i = n THEN pow(0.5e0, 1e0 / n) WHEN i = 1 THEN 1e0 - pow(0.5e0, 1e0 / n)
+                                ELSE (i - 0.3175e0) / (n + 0.365e0) END AS p FROM k)
+SELECT series, i AS rank, {r(normal_quantile("p"), 'theoretical')}, {r('x', 'observed')} FROM q""")
 def normal_plot(spark, sf):
     """Every 100th sample against normal quantiles."""
-    return qq_points(db_signal(spark, sf), "x")
+    return rounded(qq_points(db_signal(spark, sf), "x"))
+
+
+NULL_KEYS = """idx AS (
+  SELECT CASE WHEN event_id % 3 > 0 THEN event_type END AS series, ts, event_id, 10 * log10(value) AS db
+  FROM events WHERE value > 0),
+sig AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY ts, event_id) - 1 AS seq,
+               db - avg(db) OVER (PARTITION BY series) AS x FROM idx)"""
+
+
+def _null_keys(spark, sf, **index):
+    df = events(spark, sf).withColumn("series", F.when(F.col("event_id") % 3 > 0, F.col("series")))
+    return rounded(load_signal(df, "value", ["ts", "event_id"], ["series"], CFG, **index).df.select("series", "seq", "x"))
+
+
+@query("null_key_series", f"WITH {NULL_KEYS} SELECT series, seq, {r('x', 'x')} FROM sig")
+def null_key_series(spark, sf):
+    """A series without a name keeps all of its rows."""
+    return _null_keys(spark, sf)
+
+
+@query("null_key_series_ranges", f"WITH {NULL_KEYS} SELECT series, seq, {r('x', 'x')} FROM sig")
+def null_key_series_ranges(spark, sf):
+    """The same, numbered by range partitions."""
+    return _null_keys(spark, sf, short_series=0, range_rows=500)
+
+
+EMPTY_GROUPS = f"""
+SELECT event_type AS series, name, {r('quantile_cont(v, 0.25)', 'q1')}, {r('quantile_cont(v, 0.75)', 'q3')}
+FROM (SELECT event_type, 'v' AS name, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) GROUP BY ALL"""
+
+
+def _empty_groups(spark, sf, **how):
+    df = events(spark, sf).withColumn("v", F.when(F.col("series") != "click", F.col("value")))
+    q = quantiles(df, ["series"], ["v"], (0.25, 0.75), **how)
+    return rounded(q.select("series", "name", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")))
+
+
+@query("quantiles_empty_group", EMPTY_GROUPS)
+def quantiles_empty_group(spark, sf):
+    """A group without values has a row with null percentiles."""
+    return _empty_groups(spark, sf)
+
+
+@query("quantiles_empty_group_ranked", EMPTY_GROUPS)
+def quantiles_empty_group_ranked(spark, sf):
+    """The same, by ranks of a range sort."""
+    return _empty_groups(spark, sf, short_group=0)
 
 
 @query("quality_counts", """

@@ -15,10 +15,11 @@ BASELINE_RMSE = 0.2234
 CONDITIONS = ("strong", "moderate", "weak")
 
 
+# The numbers below are fixed values as well.
 @dataclass(frozen=True)
 class SignalConfig:
     sampling_rate: int = 10_000
-    max_samples: int | None = 1_000_000
+    max_samples: int | None = None  # a number keeps that many first samples of a series
     nonpositive: str = "error"  # error | null | drop
     center: str = "all"  # all | train | none
 

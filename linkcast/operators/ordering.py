@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from math import ceil
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,12 +63,18 @@ def join_by_keys(
 ) -> DataFrame:
     """Equi-join that broadcasts ``table`` only when its counted size is small.
 
-    Larger tables and those of unknown size are shuffled; adaptive execution
-    then splits the partitions of hot keys.
+    Null keys match null keys, so that a series without a name keeps its rows. Larger
+    tables and those of unknown size are shuffled; adaptive execution then splits the
+    partitions of hot keys.
     """
+    keys = list(keys)
+    rest = [c for c in table.columns if c not in keys]
+    other = table.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *rest)
     if table_rows is not None and table_rows * len(table.columns) <= SMALL_CELLS:
-        table = F.broadcast(table)
-    return df.join(table, list(keys), how)
+        other = F.broadcast(other)
+    match = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    joined = df.join(other, reduce(and_, match) if match else F.lit(True), how)
+    return joined.select(*keys, *[c for c in df.columns if c not in keys], *rest)
 
 
 def series_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int, int]:

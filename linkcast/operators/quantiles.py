@@ -31,7 +31,8 @@ def quantiles(
 
     ``percentile`` keeps a group's distinct values in one task, so it is used
     only while the largest counted group is small; otherwise the values are
-    ranked by a range sort and the neighbouring ranks are picked.
+    ranked by a range sort and the neighbouring ranks are picked. Either way a
+    group without values has one row, whose ``q`` is null.
     """
     keys, ranks = list(keys), [float(p) for p in probs]
     literal = F.array(*[F.lit(p) for p in ranks])
@@ -46,7 +47,10 @@ def quantiles(
         wide = df.groupBy(*keys).agg(*[a.alias(f"_q{i}") for i, a in enumerate(aggs)])
         return wide.select(*keys, F.inline(F.array(*pairs)))
     group = [*keys, "name"]
-    return _pick(long_form(df, keys, cols), group, ranks)
+    picked = _pick(long_form(df, keys, cols), group, ranks)
+    names = F.explode(F.array(*[F.lit(c) for c in cols])).alias("name")
+    groups = df.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else df.agg(F.count("*").alias("_n"))
+    return join_by_keys(groups.select(*keys, names), picked, group, None, "left")
 
 
 def _pick(long: DataFrame, group: list[str], probs: list[float]) -> DataFrame:

@@ -75,7 +75,7 @@ def sequence_stats(
     window has to be built.
     """
     if method not in ("standard", "minmax"):
-        raise ValueError(f"Unknown normalization method: {method}")
+        raise ValueError(f"sequences are scaled by standard or minmax, not {method!r}")
     j = join_by_keys(sig.df, bounds, sig.keys, sig.n_series)
     i, last = F.col("seq"), F.col("val_from") - F.col("purge") - 1
     weight = F.least(i, last) - F.greatest(i - (lookback - 1), F.lit(0)) + 1

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from linkcast.config import ValidationConfig
 from linkcast.functions.scalar import pearson
@@ -184,10 +181,50 @@ def density(
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return p.map(inv)
+# The rational approximations of the inverse normal (Wichura 1988, AS 241) for the
+# middle, the tails and the far tails; numerator and denominator, lowest power first.
+INVERSE_NORMAL = (
+    (
+        (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+         4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+        (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+         2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+    ),
+    (
+        (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+         1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+        (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+         1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+    ),
+    (
+        (6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+         2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+        (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+         7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+    ),
+)
+
+
+def _ratio(of: tuple, x: str) -> str:
+    def powers(coefficients):
+        text = f"{coefficients[-1]:.17e}"
+        for c in coefficients[-2::-1]:
+            text = f"({text} * {x} + {c:.17e})"
+        return text
+
+    return f"{powers(of[0])} / {powers(of[1])}"
+
+
+def normal_quantile(p: str) -> str:
+    """SQL text of the standard normal quantile of the column ``p``, to double precision."""
+    middle, tail, far = INVERSE_NORMAL
+    q, r = f"({p} - 0.5e0)", f"sqrt(-ln(least({p}, 1e0 - {p})))"
+    side = f"(CASE WHEN {p} < 0.5e0 THEN -1e0 ELSE 1e0 END)"
+    return (
+        f"CASE WHEN abs({q}) <= 0.425e0 THEN {q} * {_ratio(middle, f'(0.180625e0 - {q} * {q})')} "
+        f"WHEN {r} <= 5e0 THEN {side} * {_ratio(tail, f'({r} - 1.6e0)')} "
+        f"ELSE {side} * {_ratio(far, f'({r} - 5e0)')} END"
+    )
 
 
 def qq_points(sig: Signal, base: str = "OptPow", every: int = 100) -> DataFrame:
@@ -206,12 +243,8 @@ def qq_points(sig: Signal, base: str = "OptPow", every: int = 100) -> DataFrame:
     position = (
         F.when(i == n, top).when(i == 1, 1 - top).otherwise((i - 0.3175) / (n + 0.365))
     )
-    return df.select(
-        *keys,
-        i.alias("rank"),
-        normal_quantile(position).alias("theoretical"),
-        F.col("_v").alias("observed"),
-    )
+    placed = df.select(*keys, i.alias("rank"), position.alias("_p"), F.col("_v").alias("observed"))
+    return placed.select(*keys, "rank", F.expr(normal_quantile("_p")).alias("theoretical"), "observed")
 
 
 def quality_counts(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -238,15 +271,19 @@ def quality_counts(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
 def validate(
     df: DataFrame, cols: Sequence[str], name: str = "data", cfg: ValidationConfig = ValidationConfig()
 ) -> dict:
-    """Raise ``ValueError`` listing every issue; return the counts otherwise."""
-    row = quality_counts(df, [], cols).first()
-    issues = []
-    if cfg.check_nan and row.n_nan:
-        issues.append(f"Contains {row.n_nan} NaN values")
-    if cfg.check_inf and row.n_inf:
-        issues.append(f"Contains {row.n_inf} infinite values")
-    if cfg.check_empty and not row.n_rows:
-        issues.append("Data is empty")
-    if issues:
-        raise ValueError(f"Validation failed for {name}: " + "; ".join(issues))
-    return row.asDict()
+    """Counts over all columns; a ``ValueError`` names the columns that break a rule."""
+    missing = [F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"missing_{i}") for i, c in enumerate(cols)]
+    infinite = [F.count_if(F.abs(c) == float("inf")).alias(f"infinite_{i}") for i, c in enumerate(cols)]
+    each = df.agg(*missing, *infinite).first().asDict()
+    row = quality_counts(df, [], cols).first().asDict()
+    rules = [("missing", cfg.check_nan), ("infinite", cfg.check_inf)]
+    broken = [
+        f"{c} has {each[f'{rule}_{i}']} {rule} values"
+        for rule, on in rules if on
+        for i, c in enumerate(cols) if each[f"{rule}_{i}"]
+    ]
+    if cfg.check_empty and not row["n_rows"]:
+        broken.insert(0, "there are no rows")
+    if broken:
+        raise ValueError(f"{name}: " + ", ".join(broken))
+    return row

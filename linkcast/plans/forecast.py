@@ -44,7 +44,7 @@ GBT_PARAMS = {
     "colsample_bytree": "featureSubsetStrategy",
     "feature_fraction": "featureSubsetStrategy",
 }
-UNLIMITED_DEPTH = 10
+UNLIMITED_DEPTH = 30  # the deepest tree that MLlib grows
 
 
 def gbt_settings(params: Mapping) -> dict:
@@ -71,10 +71,11 @@ class Fitted:
     features: list[str]
     complexity: int
     training_time: float
+    last_value: str | None = None  # of a naive forecast of levels: the newest sample known
 
     def score(self, df: DataFrame) -> DataFrame:
         if self.model is None:
-            return df.withColumn("prediction", F.lit(0.0))
+            return df.withColumn("prediction", F.col(self.last_value) if self.last_value else F.lit(0.0))
         return self.model.transform(df).drop("features")
 
 
@@ -83,7 +84,9 @@ def _assemble(features: Sequence[str]):
 
 
 def _naive(ds: Dataset, params, seed) -> Fitted:
-    return Fitted("Naive", None, ds.features, 0, 0.0)
+    # No change: a difference of zero, or for level targets the last sample of the window.
+    last = ds.features[-1] if ds.target_kind == "level" else None
+    return Fitted("Naive", None, ds.features, 0, 0.0, last)
 
 
 def _linear(ds: Dataset, params, seed) -> Fitted:

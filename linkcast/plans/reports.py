@@ -69,11 +69,8 @@ def compare_models(df: DataFrame, horizons=None, baseline=BASELINE_RMSE) -> Data
 
 def _best(df: DataFrame, by: Sequence[str], metric: str, largest: bool = False) -> DataFrame:
     """The row with the best metric per group; ties go to the first name."""
-    pick = F.max_by if largest else F.min_by
-    tie = F.struct(metric, "model_name", "horizon")
-    if largest:
-        tie = F.struct(F.col(metric))
-    row = pick(F.struct(*df.columns), tie).alias("_r")
+    tie = F.struct(-F.col(metric) if largest else F.col(metric), "model_name", "horizon")
+    row = F.min_by(F.struct(*df.columns), tie).alias("_r")
     return df.where(F.col(metric).isNotNull()).groupBy(*by).agg(row).select("_r.*")
 
 
@@ -197,5 +194,6 @@ def chart_tables(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def top_features(importances: DataFrame, n: int = 15) -> DataFrame:
-    w = Window.partitionBy("model", "horizon").orderBy(F.desc("importance"), "feature")
+    """The ``n`` weightiest features per model and horizon; coefficients keep their sign."""
+    w = Window.partitionBy("model", "horizon").orderBy(F.desc(F.abs("importance")), "feature")
     return importances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -52,13 +52,14 @@ def load_signal(
 ) -> Signal:
     """Index a power table and turn it into a centred decibel signal.
 
-    ``max_samples`` keeps the first rows in order, before the mean is taken.
+    ``max_samples`` keeps the first rows in order, before the mean is taken. NaN becomes
+    null, so that averages skip it. Rows with a null key are one more series.
     """
     s, base = cfg.signal, cfg.base
     if to_db and s.nonpositive == "drop":
         df = df.where(F.col(value) > 0)
     x = power_to_db(value, s.nonpositive) if to_db else F.col(value).cast("double")
-    df = df.withColumn(base, x)
+    df = df.withColumn(base, F.when(~F.isnan(x), x))
     sig = index_series(df, keys, order, [base], **index)
     return center(limit(sig, s.max_samples), cfg)
 

@@ -21,14 +21,15 @@ def write_importance(df: DataFrame, path: str, mode: str = "overwrite"):
 
 
 def metrics_documents(results: DataFrame) -> DataFrame:
-    """One row per model with its metrics nested by horizon."""
+    """One row per model, and kind of target if known, with its metrics nested by horizon."""
     number = [c for c, t in results.dtypes if t in ("double", "float")]
     test = [c for c in number if not c.startswith(("train", "val"))]
     train = [c for c in number if c.startswith("train")]
     entry = F.struct(
         F.struct(*test).alias("test_metrics"), F.struct(*train).alias("train_metrics")
     )
-    return results.groupBy("model_name").agg(
+    kind = [c for c in ("target_kind",) if c in results.columns]
+    return results.groupBy(*kind, "model_name").agg(
         F.map_from_entries(
             F.array_sort(F.collect_list(F.struct(F.col("horizon").cast("string"), entry)))
         ).alias("horizons")
