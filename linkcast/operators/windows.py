@@ -15,6 +15,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkcast.functions.scalar import is_missing
 from linkcast.operators.ordering import Frame, Signal, spread
 
 Levels = list[dict[str, Column]]
@@ -286,8 +287,8 @@ class RollingAcf:
 
     ``wrapped`` pairs w[j] with w[(j - lag) mod n] for j < n - lag, so ``lag``
     pairs run around the window's ends; ``valid`` pairs each value with the one
-    ``lag`` rows earlier. Rows with fewer than ``window`` predecessors and
-    windows without variance give 0.
+    ``lag`` rows earlier. Rows with fewer than ``window`` predecessors, windows
+    without variance and windows with a missing value (null or NaN) give 0.
 
     Sums over a frame are differences of running sums of the block, which is
     centred first to keep cancellation small.
@@ -312,19 +313,21 @@ class RollingAcf:
 
     def levels(self, f: Frame) -> Levels:
         n, zero = self.window, F.lit(0.0)
-        x, c, m0 = F.col(self.base), F.col("_acf_c"), F.col("_acf_m")
+        clean = {"_acf_x": F.when(~is_missing(self.base), F.col(self.base))}
+        x, c, m0 = F.col("_acf_x"), F.col("_acf_c"), F.col("_acf_m")
         products = {f"_acf_p{k}": k for k in self.lags}
         if self.mode == "wrapped":
             products |= {f"_acf_w{k}": n - k for k in self.lags}
         pairs = sorted(set(products.values()))
-        centre = {"_acf_m": f.whole(F.avg(x))} | shifted(f, self.base, [1, *pairs])
-        at = lambda k: F.col(_at(self.base, k))
+        centre = {"_acf_m": f.whole(F.avg(x))} | shifted(f, "_acf_x", [1, *pairs])
+        at = lambda k: F.col(_at("_acf_x", k))
         local = {"_acf_c": x - m0, "_acf_step": F.when(x != at(1), 1.0).otherwise(zero)}
         local |= {f"_acf_l{k}": F.coalesce((x - m0) * (at(k) - m0), zero) for k in pairs}
         sums = {
             "_acf_s": f.running(F.sum(c)),
             "_acf_q": f.running(F.sum(c * c)),
             "_acf_d": f.running(F.sum("_acf_step")),
+            "_acf_z": f.running(F.sum(F.when(x.isNull(), 1.0).otherwise(zero))),
         }
         sums |= {name: f.running(F.sum(f"_acf_l{k}")) for name, k in products.items()}
         reads: dict[str, Column] = {}
@@ -334,7 +337,7 @@ class RollingAcf:
             reads.update(shifted(f, name, (hi, lo + 1), 0.0))
             return F.col(_at(name, hi)) - F.col(_at(name, lo + 1))
 
-        parts, spreads, ends = {}, {}, {}
+        parts, spreads, ends = {"_acf_gaps": total("_acf_z", n, 1)}, {}, {}
         for k in self.lags:
             if self.mode == "wrapped":
                 frames = {
@@ -359,12 +362,12 @@ class RollingAcf:
             spreads[f"_acf_va{k}"] = of("qa") - of("sa") * of("sa") / m
             spreads[f"_acf_vb{k}"] = of("qb") - of("sb") * of("sb") / m
             floor = F.col("_acf_q") * 1e-14
-            known = (F.col("seq") >= n) & (of("steps") > 0) & (of("va") > floor) & (of("vb") > floor)
+            known = (F.col("seq") >= n) & (F.col("_acf_gaps") == 0) & (of("steps") > 0) & (of("va") > floor) & (of("vb") > floor)
             cov = of("ab") - of("sa") * of("sb") / m
             ends[f"{self.base}_acf_lag{k}"] = F.when(
                 known, cov / F.sqrt(of("va") * of("vb"))
             ).otherwise(zero)
-        return [centre, local, sums, reads, parts, spreads, ends]
+        return [clean, centre, local, sums, reads, parts, spreads, ends]
 
 
 @dataclass(frozen=True)
@@ -406,7 +409,8 @@ class Trend:
 class FastFading:
     """Signal over its centred moving mean (``window/2`` back, ``window/2 - 1`` ahead).
 
-    The mean comes from running sums, so its cost does not grow with the window.
+    The mean comes from running sums, so its cost does not grow with the window. Missing
+    values (null or NaN) are left out of it.
     """
 
     window: int = 1000
@@ -419,7 +423,7 @@ class FastFading:
         return [f"{self.base}_fading"]
 
     def levels(self, f: Frame) -> Levels:
-        x = F.col(self.base)
+        x = F.when(~is_missing(self.base), F.col(self.base))
         back, ahead = self.window // 2, (self.window - 1) // 2
 
         def between(name):

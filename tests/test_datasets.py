@@ -18,6 +18,7 @@ from linkcast.operators.stats import autocorrelation, qq_points, validate
 from linkcast.plans.dataset import prepare
 from linkcast.plans.features import engineer_features, feature_names, register_feature, wide_features
 from linkcast.plans.forecast import fit, metrics, scored_levels
+from linkcast.sources.signals import load_signal
 
 RNG = np.random.default_rng(3)
 BASE = Config(base="x", signal=SignalConfig(max_samples=None), split=SplitConfig(min_train_samples=0))
@@ -78,7 +79,7 @@ def test_split_order_and_minimum(make_signal):
         assert (g.split == "train").sum() == sizes[0] and (g.split == "val").sum() == sizes[1]
         assert g[g.split == "train"].seq.max() < g[g.split == "val"].seq.min()
         assert g[g.split == "val"].seq.max() < g[g.split == "test"].seq.min()
-    with pytest.raises(ValueError, match="Insufficient"):
+    with pytest.raises(ValueError, match="training rows"):
         ratio_split(sig.df, ["series"], SplitConfig(min_train_samples=100), sig.n_series)
     with pytest.raises(ValueError):
         SplitConfig(train_ratio=0.9)
@@ -210,3 +211,22 @@ def test_normal_plot(make_signal):
     got = qq_points(make_signal({"a": RNG.normal(size=1000)}), "x", 100).toPandas().sort_values("rank")
     assert len(got) == 10 and got.observed.is_monotonic_increasing
     np.testing.assert_allclose(got.theoretical.iloc[0], NormalDist().inv_cdf(1 - 0.5**0.1))
+
+
+def test_null_keys_keep_their_rows(spark):
+    """Short and long indexing give the same rows, of a series without a name as well."""
+    rows = [(None if k % 2 else "a", k, float(k % 7)) for k in range(40)] + [("b", 1, float("nan")), ("b", 2, None)]
+    df = spark.createDataFrame(rows, "series string, t long, watts double")
+    cfg = replace(BASE, signal=replace(BASE.signal, center="all"))
+    found = []
+    for how in ({}, {"short_series": 0, "range_rows": 5}):
+        sig = load_signal(df, "watts", ["t"], ["series"], cfg, to_db=False, **how)
+        found.append(sorted((tuple(r) for r in sig.df.select("series", "seq", "x").collect()), key=str))
+    assert found[0] == found[1] and len(found[0]) == 42
+    assert sum(r[0] is None for r in found[0]) == 20 and [r[2] for r in found[0] if r[0] == "b"] == [None, None]
+
+
+def test_validation_names_the_columns(spark):
+    df = spark.createDataFrame([(1.0, None), (float("nan"), float("inf"))], "a double, b double")
+    with pytest.raises(ValueError, match="a has 1 missing values, b has 1 missing values, b has 1 infinite"):
+        validate(df, ["a", "b"])

@@ -173,3 +173,19 @@ def test_condition_catalogue(spark, tmp_path):
     assert read_conditions(spark, paths, ["weak"]).select("series").distinct().first().series == "weak"
     with pytest.raises(ValueError, match="unknown condition"):
         read_conditions(spark, paths, ["calm"])
+
+
+def test_top_features_by_weight(spark):
+    df = spark.createDataFrame([("m", 5, "a", -9.0, 1), ("m", 5, "b", 0.1, 2)], "model string, horizon int, feature string, importance double, rank int")
+    assert [tuple(r) for r in reports.top_features(df, 1).collect()] == [("m", 5, "a", -9.0, 1)]
+
+
+def test_largest_metric_ties_go_to_the_first_name(spark):
+    df = spark.createDataFrame([("b", 5, 0.9), ("a", 5, 0.9), ("c", 5, 0.1)], "model_name string, horizon int, test_r2 double")
+    assert reports._best(df, [], "test_r2", largest=True).first().model_name == "a"
+
+
+def test_naive_level_is_the_last_value(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 4.0)], "x0 double, x1 double, y double")
+    fitted = fc.FORECASTERS["naive"](Dataset(df, None, ["x0", "x1"], 1, (), "level"), {}, 1)
+    assert fitted.score(df).first().prediction == 2.0

@@ -5,8 +5,7 @@ from conftest import SF
 from oracle import compare, duck
 
 import __spark_entry__ as entry
-
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from linkcast.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +18,7 @@ def test_matches_sql(spark, con, name):
     assert compare(spark, con, SF, name, QUERIES[name], SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["feature_set_prices", "normal_plot", "turbulence_strength", "linear_regression", "error_by_trees"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_rows_only(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.count() > 0
@@ -31,3 +30,4 @@ def test_entry(spark):
 
 def test_sql_names_are_queries():
     assert set(SQL) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())

@@ -152,6 +152,22 @@ def test_fast_fading(make_signal, window):
     np.testing.assert_allclose(got.x_fading, want, rtol=1e-10)
 
 
+@pytest.mark.parametrize("block_rows", [512, 32_768])
+@pytest.mark.parametrize("mode", ["wrapped", "valid"])
+def test_a_missing_value_reaches_its_windows_only(make_signal, mode, block_rows):
+    x = RNG.normal(size=2000)
+    x[700] = np.nan
+    sig = make_signal({"a": x}, block_rows=block_rows)
+    got = by_series(add_features(sig, [RollingAcf((1, 5), mode=mode, base="x"), FastFading(100, "x")], keep=["x"]), "a")
+    filled = np.where(np.isnan(x), 0, x)
+    for lag in (1, 5):
+        want = acf(filled, lag, mode)
+        want[701:801] = 0
+        np.testing.assert_allclose(got[f"x_acf_lag{lag}"], want, atol=1e-9)
+    want = [v / np.nanmean(x[max(0, i - 50): i + 50]) for i, v in enumerate(x)]
+    np.testing.assert_allclose(got.x_fading, want, rtol=1e-9)
+
+
 def test_bad_arguments():
     with pytest.raises(ValueError):
         Rolling(stats=("median",))
