@@ -236,17 +236,19 @@ def fit_classifier(spans: DataFrame, posterior: dict[tuple, float]) -> dict[str,
         .agg(F.round(F.sum("p"), 6).alias("real"), F.count("*").alias("n"))
         .collect()
     )
-    real, rest = defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)
+    real, every = defaultdict(float), defaultdict(float)
     for kind, features, r, n in sums:
         for name in [f"{kind}", *(f"{kind}:{i}:{c}" for i, c in enumerate(features))]:
             real[name] += r
-            rest[name] += n - r
+            every[name] += n
     odds = {}
-    for name in real:
+    for name in every:
+        # Smoothed towards the share of the kind, so that a category without evidence says nothing.
         kind = name.split(":")[0]
-        odds[name] = math.log(real[name] / rest[name])
+        share = (real[kind] + 0.5) / (every[kind] + 1)
+        odds[name] = math.log((real[name] + share) / (every[name] - real[name] + 1 - share))
         if name != kind:
-            odds[name] -= math.log(real[kind] / rest[kind])
+            odds[name] -= math.log(share / (1 - share))
     return odds
 
 
