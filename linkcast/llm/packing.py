@@ -54,8 +54,8 @@ def cut_pieces(
         enc = encoder(path, keeps_space)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
                 for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
                     ids += end
                     for k in range(0, len(ids), 4 * capacity):
@@ -69,33 +69,39 @@ def cut_pieces(
     return rows.mapInArrow(cut, PIECE_SCHEMA)
 
 
-def best_fit(sizes: np.ndarray, order, bins: list[list[int]], capacity: int) -> list[list[int]]:
+def load(sizes: list[int], items: list[int]) -> int:
+    return sum(map(sizes.__getitem__, items))
+
+
+def best_fit(sizes: list[int], order, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Put the items of ``order`` one by one where the least room is left; opens new bins."""
     width = 1 << 24
-    room = sorted((capacity - int(sizes[b].sum())) * width + k for k, b in enumerate(bins))
+    room = sorted((capacity - load(sizes, b)) * width + k for k, b in enumerate(bins))
     for item in order:
-        size = int(sizes[item])
+        size = sizes[item]
         at = bisect_left(room, size * width)
         if at < len(room):
             left, k = divmod(room.pop(at), width)
         else:
             left, k = capacity, len(bins)
             bins.append([])
-        bins[k].append(int(item))
+        bins[k].append(item)
         insort(room, (left - size) * width + k)
     return bins
 
 
-def fitness(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> tuple[int, float]:
+def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
     """Fewer bins are better, then fuller ones."""
-    return -len(bins), float(np.mean([(sizes[b].sum() / capacity) ** 2 for b in bins])) if bins else 0.0
+    squares = sum(load(sizes, b) ** 2 for b in bins)
+    return -len(bins), squares / capacity**2 / max(1, len(bins))
 
 
 def cross(sizes, first, second, capacity: int, rng) -> list[list[int]]:
     """``first`` with well-filled bins of ``second`` injected."""
-    fill = np.array([sizes[b].sum() for b in second])
-    well = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    chosen = rng.choice(well, max(1, len(well) // 3), replace=False)
+    fill = [load(sizes, b) for b in second]
+    middle = sorted(fill)[len(fill) // 2]
+    well = [k for k, f in enumerate(fill) if f >= middle]
+    chosen = rng.choice(well, max(1, len(well) // 3), replace=False).tolist()
     injected = [list(second[k]) for k in chosen]
     inside = {i for b in injected for i in b}
     kept, displaced = injected, []
@@ -110,17 +116,18 @@ def cross(sizes, first, second, capacity: int, rng) -> list[list[int]]:
 
 def mutate(sizes, bins, capacity: int, rng) -> list[list[int]]:
     """Dissolve the emptiest bin and a few others, and best-fit their items again."""
-    gone = {int(np.argmin([sizes[b].sum() for b in bins])), *rng.integers(0, len(bins), 3).tolist()}
+    gone = {min(range(len(bins)), key=lambda k: load(sizes, bins[k])), *rng.integers(0, len(bins), 3).tolist()}
     items = [i for k in gone for i in bins[k]]
     rng.shuffle(items)
     return best_fit(sizes, items, [list(b) for k, b in enumerate(bins) if k not in gone], capacity)
 
 
-def evolve(sizes: np.ndarray, capacity: int, seed: int, elite: list[list[int]] | None, population: int,
+def evolve(lengths: np.ndarray, capacity: int, seed: int, elite: list[list[int]] | None, population: int,
            generations: int) -> list[list[int]]:
     """The best grouping an island finds."""
-    least = -(-int(sizes.sum()) // capacity)
-    order = np.lexsort((np.arange(len(sizes)), -sizes))
+    sizes = lengths.tolist()
+    least = -(-sum(sizes) // capacity)
+    order = np.argsort(-lengths, kind="stable").tolist()
     groups = [best_fit(sizes, order, [], capacity)]
     if elite:
         groups.append(elite)
@@ -129,8 +136,8 @@ def evolve(sizes: np.ndarray, capacity: int, seed: int, elite: list[list[int]] |
     if len(best) <= least or len(sizes) < 3:
         return best
     while len(groups) < population:
-        noise = sizes * rng.uniform(0.7, 1.0, len(sizes))
-        groups.append(best_fit(sizes, np.argsort(-noise, kind="stable"), [], capacity))
+        noise = lengths * rng.uniform(0.7, 1.0, len(sizes))
+        groups.append(best_fit(sizes, np.argsort(-noise, kind="stable").tolist(), [], capacity))
     scored = sorted(((fitness(sizes, b, capacity), k) for k, b in enumerate(groups)), reverse=True)
     for _ in range(generations):
         ranked = [groups[k] for _, k in scored]
@@ -170,7 +177,7 @@ def _solve(items: DataFrame, capacity: int, islands: int, epochs: int, populatio
             where = np.empty(len(sizes), "<i4")
             for number, b in enumerate(found):
                 where[b] = number
-            n, fit = fitness(sizes, found, capacity)
+            n, fit = fitness(sizes.tolist(), found, capacity)
             return pd.DataFrame({
                 "cell": [key[0]], "island": [key[1]], "bins": [-n], "fit": [fit], "solution": [where.tobytes()],
             })

@@ -9,17 +9,28 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import filterfalse
+from itertools import islice
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task is one core
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 PART_CHARS = 1 << 20
+GROUP_CHARS = 3 << 20  # texts whose new words are encoded together
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
-# Two separators in a row, other white space or the separator of a joint call.
-UNUSUAL = re.compile(r"[^\S \n]|[ \n][ \n]|\x00")
+# Two separators in a row, other white space, and the separator of a joint call.
+DOUBLE = ("  ", "\n\n", " \n", "\n ")
+RARE_ASCII = tuple(c for c in map(chr, range(128)) if c == "\x00" or c.isspace() and c not in " \n")
+RARE = tuple(c for c in map(chr, range(128, 0x3001)) if c.isspace())
+
+
+def usual(text: str) -> bool:
+    """Whether single spaces and line feeds are the only white space."""
+    tests = DOUBLE + RARE_ASCII + (() if text.isascii() else RARE)
+    return not any(t in text for t in tests)
+
+
 PLAIN = re.compile(r"[ \n][^\s\x00][^\s\x00]*\Z")
 
 
@@ -57,6 +68,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.keeps_space = keeps_space
         self.cache: dict[str, bytes] = {"": b""}
+        self.stops = {c: np.array(self._ids(c), "<u4").tobytes() for c in ".,"}
         self.mark = self._ids("\x00" if keeps_space else " \x00 ")
         self.glue = "\x00" if keeps_space else " \x00 "
 
@@ -66,12 +78,21 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         if not self.keeps_space:
             return text.replace("\n", " ").split(" ")
-        if UNUSUAL.search(text):
+        if not usual(text):
             return CUT.split(text)
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
     def _learn(self, words: list[str]) -> None:
         """Put the ids of new pieces into the cache."""
+        # A stop after a letter or digit is a token of its own: the rest may be known.
+        ended = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalnum()]
+        whole = dict.fromkeys(w for w in words if not (len(w) > 1 and w[-1] in ".," and w[-2].isalnum()))
+        whole.update(dict.fromkeys(w[:-1] for w in ended))
+        self._encode_new([w for w in whole if w not in self.cache])
+        for w in ended:
+            self.cache[w] = self.cache[w[:-1]] + self.stops[w[-1]]
+
+    def _encode_new(self, words: list[str]) -> None:
         joint, alone = [], []
         for w in words:
             plain = PLAIN.match(w) if self.keeps_space else "\x00" not in w and not w.isspace()
@@ -105,22 +126,25 @@ class Encoder:
                 continue
             group += pieces
             size += len(text or "")
-            if size >= PART_CHARS:
+            if size >= GROUP_CHARS:
                 out += self._join(group)
                 group, size = [], 0
         return out + self._join(group)
 
     def _join(self, group: list[list[str]]) -> list[bytes]:
-        new: set[str] = set()
-        for pieces in group:
-            new.update(filterfalse(self.cache.__contains__, pieces))
-        self._learn(sorted(new))
-        look = self.cache.__getitem__
-        found = [b"".join(map(look, pieces)) for pieces in group]
+        look, before = self.cache.get, len(self.cache)
+        found = [list(map(look, pieces)) for pieces in group]
+        holes = [[i for i, ids in enumerate(each) if ids is None] for each in found]
+        new = dict.fromkeys(pieces[i] for pieces, at in zip(group, holes) for i in at)
+        self._learn(list(new))
+        for pieces, each, at in zip(group, found, holes):
+            for i in at:
+                each[i] = look(pieces[i])
+        out = [b"".join(each) for each in found]
         if len(self.cache) > CACHE_WORDS:  # full: what this group brought is not kept
-            for w in new:
+            for w in list(islice(reversed(self.cache), len(self.cache) - before)):
                 del self.cache[w]
-        return found
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
