@@ -13,9 +13,11 @@ at least ``percent`` / 100. The steps:
    are let go, all others are confirmed on full sets. Their links give components.
 3. Buckets with members in several components are looked at again. A member whose shingles
    are mostly found nowhere else among them cannot be linked: with n shingles of which c also
-   occur elsewhere, a link needs 0.75 (n1 + n2) <= 1.75 min(c1, c2). Pairs across components
-   that pass this bound and the sketch are confirmed on full sets as well. Pairs inside a
-   component are never formed, and no bucket or candidate is left out.
+   occur elsewhere, a link needs 0.75 (n1 + n2) <= 1.75 min(c1, c2). First each member is
+   held against the one with the largest share of common shingles, which stands nearest to
+   the text that the copies come from. Then the pairs that are still across components and
+   pass the bound and the sketch are confirmed on full sets as well. Pairs inside a component
+   are never formed, and no bucket or candidate is left out.
 
 Words are split at ASCII white space after lower-casing A-Z. With fewer than five words the
 whole sequence is the one shingle. Null texts and texts without words have no shingles and
@@ -141,6 +143,15 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
     )
 
 
+def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, root) of the buckets whose members are in several components."""
+    within = stage(
+        members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "bucket-roots"
+    )
+    mixed = within.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+    return stage(within.join(mixed, "key", "left_semi"), "open-buckets")
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -173,29 +184,34 @@ def near_duplicates(
     links = stage(confirm(close, sets, percent), "links")
     labels = components(links)
 
-    within = stage(
-        members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "bucket-roots"
-    )
-    mixed = within.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    open_buckets = stage(within.join(mixed, "key", "left_semi"), "open-buckets")
-    open_ids = stage(open_buckets.select("id").distinct(), "open-ids")
+    mixed = open_buckets(members, labels)
+    open_ids = stage(mixed.select("id").distinct(), "open-ids")
     shared = shared_shingles(sets.join(sized(open_ids), "id", "left_semi"))
     able = stage(
         sketches.join(shared, "id").where(100 * F.col("shared") >= percent * F.col("n"))
         .select("id", "n", "shared", "sketch"), "open-sketches",
     )
-    left = open_buckets.join(able, "id")
-    right = left.select("key", *[F.col(c).alias(f"{c}_2") for c in ("id", "root", "n", "shared", "sketch")])
-    fits = (percent * (F.col("n") + F.col("n_2"))) <= (100 + percent) * F.least("shared", "shared_2")
-    across = stage(
-        left.join(right, "key").where(
-            (F.col("id") < F.col("id_2")) & (F.col("root") != F.col("root_2")) & fits
-            & (differing(F.col("sketch"), F.col("sketch_2")) <= MOST_BITS)
-        ).select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct(), "open-candidates",
-    )
-    late = stage(confirm(across, sets, percent), "late-links")
-    if late.limit(1).count():
-        labels = components(links.unionByName(late))
+    own = F.struct("id", "root", "n", "shared", "sketch")
+    for step in ("middle", "all"):
+        rows = mixed.join(able, "id")
+        if step == "middle":  # the member with the least of its own against all others
+            nearest = F.struct(F.col("shared") / F.col("n"), -F.col("id"))
+            right = rows.groupBy("key").agg(F.max_by(own, nearest).alias("other"))
+            ordered = F.lit(True)
+        else:
+            right = rows.select("key", own.alias("other"))
+            ordered = F.col("id") < F.col("other.id")
+        fits = percent * (F.col("n") + F.col("other.n")) <= (100 + percent) * F.least("shared", "other.shared")
+        across = rows.join(right, "key").where(
+            ordered & (F.col("root") != F.col("other.root")) & fits
+            & (differing(F.col("sketch"), F.col("other.sketch")) <= MOST_BITS)
+        )
+        a, b = F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")
+        late = stage(confirm(stage(across.select(a, b).distinct(), "open-candidates"), sets, percent), "late-links")
+        if late.limit(1).count():
+            links = links.unionByName(late)
+            labels = components(links)
+            mixed = open_buckets(mixed.select("key", "id"), labels)
     root = F.coalesce("root", "rep")
     back = lambda c: F.when(c != LAST_ID, c)
     return named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
