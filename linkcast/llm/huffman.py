@@ -34,7 +34,7 @@ from linkcast.llm.common import documents, query
 from linkcast.llm.tokens import encoder, vocabulary
 from linkcast.session import stage_root
 
-CHECKPOINT = 128
+CHECKPOINT = 64
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 50_000
 
@@ -85,22 +85,20 @@ class Code:
         span = np.left_shift(1, self.width - self.lengths)
         codes = (np.cumsum(span) - span) >> (self.width - self.lengths)
         size = int(self.ids.max()) + 1 if len(ids) else 1
-        self.code_of = np.zeros(size, np.uint64)
-        self.bits_of = np.zeros(size, np.int64)
-        self.code_of[self.ids], self.bits_of[self.ids] = codes, self.lengths
-        self.table_id = np.zeros(1 << self.width, np.uint32)
-        self.table_bits = np.ones(1 << self.width, np.uint8)
-        filled = int(span.sum())
-        self.table_id[:filled] = np.repeat(self.ids, span)
-        self.table_bits[:filled] = np.repeat(self.lengths, span)
+        # A code and its length in one number; so are an id and the length of its code.
+        self.code_of = np.zeros(size, np.int64)
+        self.code_of[self.ids] = codes << 8 | self.lengths
+        self.table = np.ones(1 << self.width, np.int64)
+        self.table[: int(span.sum())] = np.repeat(self.ids << 8 | self.lengths, span)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """(checkpoints, payload): little-endian 32-bit bit offsets, and bits from the highest down."""
-        bits = self.bits_of[ids]
+        found = self.code_of.take(ids)
+        bits = found & 255
         end = np.cumsum(bits)
         start = end - bits
         word, free = start >> 6, 64 - (start & 63) - bits
-        code = self.code_of[ids]
+        code = (found >> 8).astype(np.uint64)
         n_words = int(end[-1] + 63 >> 6) if len(ids) else 0
         out = np.zeros(n_words + 1, np.uint64)
         high = np.where(free >= 0, code << np.maximum(free, 0).astype(np.uint64),
@@ -122,11 +120,16 @@ class Code:
         at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
         last = 8 * len(payload)
         out = np.empty((CHECKPOINT, len(at)), "<u4")
-        shift = np.uint32(32 - self.width)
+        shift, table = np.uint32(32 - self.width), self.table
         for step in range(CHECKPOINT):
-            look = (window[at >> 3] << (at & 7).astype(np.uint32)) >> shift
-            out[step] = self.table_id[look]
-            at = np.minimum(at + self.table_bits[look], last)
+            look = window.take(at >> 3)
+            look <<= (at & 7).astype(np.uint32)
+            look >>= shift
+            entry = table.take(look)
+            out[step] = entry >> 8
+            entry &= 255
+            at += entry
+            np.minimum(at, last, out=at)
         return out.T.reshape(-1)[:n_ids]
 
 
@@ -136,13 +139,16 @@ def _planes(ids: bytes, width: int) -> bytes:
 
 
 def _from_planes(raw: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(width, -1).astype(np.int64)
-    return sum(planes[k] << (8 * k) for k in range(width))
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    for k in range(width):
+        out[:, k] = planes[k]
+    return out.view("<u4").reshape(-1)
 
 
 def write_tokens(
     docs: DataFrame, folder: str, path: str, keeps_space: bool, end_id: int, vocabulary_size: int,
-    id_col: str = "doc_id", text_col: str = "text", max_bits: int = 18, block_ids: int = 1 << 17,
+    id_col: str = "doc_id", text_col: str = "text", max_bits: int = 18, block_ids: int = 1 << 16,
 ) -> None:
     """Writes ``folder``/codebook and ``folder``/blocks."""
     spark = docs.sparkSession
@@ -156,8 +162,8 @@ def write_tokens(
         enc = encoder(path, keeps_space)
         shard, seq, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
                 found = enc.encode(some.column(1).to_pylist())
                 n = np.array([len(b) // 4 + 1 for b in found], np.int64)
                 first = before + np.cumsum(n) - n
@@ -176,9 +182,9 @@ def write_tokens(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary_size, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                found = np.bincount(_from_planes(raw, width))
-                total[: len(found)] += found
+            for at in range(0, batch.num_rows, 1024):
+                some = [_from_planes(raw, width) for raw in batch.column(0).slice(at, 1024).to_pylist()]
+                total += np.bincount(np.concatenate(some), minlength=vocabulary_size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task is one core
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
+SEEN_MASK = (1 << 25) - 1  # bits that remember the pieces met once
 PART_CHARS = 1 << 20
 GROUP_CHARS = 3 << 20  # texts whose new words are encoded together
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -68,6 +68,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.keeps_space = keeps_space
         self.cache: dict[str, bytes] = {"": b""}
+        self.seen = bytearray((SEEN_MASK + 1) // 8)
         self.stops = {c: np.array(self._ids(c), "<u4").tobytes() for c in ".,"}
         self.mark = self._ids("\x00" if keeps_space else " \x00 ")
         self.glue = "\x00" if keeps_space else " \x00 "
@@ -82,18 +83,20 @@ class Encoder:
             return CUT.split(text)
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of new pieces into the cache."""
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that the cache does not have."""
         # A stop after a letter or digit is a token of its own: the rest may be known.
-        ended = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalnum()]
-        whole = dict.fromkeys(w for w in words if not (len(w) > 1 and w[-1] in ".," and w[-2].isalnum()))
-        whole.update(dict.fromkeys(w[:-1] for w in ended))
-        self._encode_new([w for w in whole if w not in self.cache])
+        ended = {w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalnum()}
+        whole = dict.fromkeys(w for w in words if w not in ended)
+        whole.update(dict.fromkeys(c for w in ended if (c := w[:-1]) not in self.cache))
+        fresh = self._encode_new(list(whole))
         for w in ended:
-            self.cache[w] = self.cache[w[:-1]] + self.stops[w[-1]]
+            core = w[:-1]
+            fresh[w] = (self.cache.get(core) or fresh[core]) + self.stops[w[-1]]
+        return fresh
 
-    def _encode_new(self, words: list[str]) -> None:
-        joint, alone = [], []
+    def _encode_new(self, words: list[str]) -> dict[str, bytes]:
+        joint, alone, found = [], [], {}
         for w in words:
             plain = PLAIN.match(w) if self.keeps_space else "\x00" not in w and not w.isspace()
             (joint if plain else alone).append(w)
@@ -107,10 +110,20 @@ class Encoder:
                 continue
             raw = ids.tobytes()
             starts = [0, *(4 * (ends + 1)).tolist()]
-            for w, a, b in zip(some, starts, [*(4 * ends).tolist(), len(raw)]):
-                self.cache[w] = raw[a:b]
+            found.update(zip(some, [raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)])]))
         for w in alone:
-            self.cache[w] = np.array(self._ids(w), "<u4").tobytes()
+            found[w] = np.array(self._ids(w), "<u4").tobytes()
+        return found
+
+    def _admit(self, fresh: dict[str, bytes]) -> None:
+        """Keep pieces that come for the second time; most never do."""
+        for w, ids in fresh.items():
+            at = hash(w) & SEEN_MASK
+            if self.seen[at >> 3] >> (at & 7) & 1:
+                if len(self.cache) < CACHE_WORDS:
+                    self.cache[w] = ids
+            else:
+                self.seen[at >> 3] |= 1 << (at & 7)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text has none."""
@@ -132,19 +145,16 @@ class Encoder:
         return out + self._join(group)
 
     def _join(self, group: list[list[str]]) -> list[bytes]:
-        look, before = self.cache.get, len(self.cache)
+        look = self.cache.get
         found = [list(map(look, pieces)) for pieces in group]
         holes = [[i for i, ids in enumerate(each) if ids is None] for each in found]
         new = dict.fromkeys(pieces[i] for pieces, at in zip(group, holes) for i in at)
-        self._learn(list(new))
+        fresh = self._learn(list(new))
         for pieces, each, at in zip(group, found, holes):
             for i in at:
-                each[i] = look(pieces[i])
-        out = [b"".join(each) for each in found]
-        if len(self.cache) > CACHE_WORDS:  # full: what this group brought is not kept
-            for w in list(islice(reversed(self.cache), len(self.cache) - before)):
-                del self.cache[w]
-        return out
+                each[i] = fresh[pieces[i]]
+        self._admit(fresh)
+        return [b"".join(each) for each in found]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -446,7 +447,7 @@ def test_running_sum(spark):
 
 
 def test_token_files_round_trip(spark, docs):
-    folder = f"{stage_root(spark)}/test-tokens"
+    folder = f"{stage_root(spark)}/test-tokens-{uuid.uuid4().hex}"
     huffman.write_tokens(docs, folder, BYTES, True, 2, 50_257, block_ids=500)
     got = huffman.read_tokens(spark, folder).collect()
     enc = Encoder(BYTES, True)
@@ -460,7 +461,7 @@ def test_token_files_round_trip(spark, docs):
 
 
 def test_no_token_files_of_an_empty_table(spark, empty):
-    folder = f"{stage_root(spark)}/test-no-tokens"
+    folder = f"{stage_root(spark)}/test-no-tokens-{uuid.uuid4().hex}"
     huffman.write_tokens(empty, folder, BYTES, True, 2, 50_257)
     assert huffman.read_tokens(spark, folder).count() == 0
 
