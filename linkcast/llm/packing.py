@@ -13,7 +13,9 @@ cell is a packing problem of its own, solved on ``islands`` islands:
 * a cell is done when its number of sequences meets the lower bound of its tokens.
 
 Sequences that stay emptier than ``solid`` are then dissolved, and their items dealt into
-fewer cells, until one cell is left. No task sees more than a cell, the driver sees counts.
+fewer cells, until one cell is left. When a level would leave more than ``stall`` of its
+items, they hardly fit together, and dealing them again would not end: all sequences of that
+level stay. No task sees more than a cell, the driver sees counts.
 
 A null text is an empty document, which is its end id alone. Null ids and repeated rows are
 packed like all others. An empty table gives an empty result. Other columns are not read.
@@ -213,7 +215,7 @@ def _solve(items: DataFrame, capacity: int, islands: int, epochs: int, populatio
 
 def pack(
     pieces: DataFrame, capacity: int = CAPACITY, cell_items: int = 2048, islands: int = 2, epochs: int = 2,
-    population: int = 6, generations: int = 4, solid: float = 0.97,
+    population: int = 6, generations: int = 4, solid: float = 0.97, stall: float = 0.75,
 ) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the pieces."""
     pieces = stage(pieces, "pieces")
@@ -227,15 +229,17 @@ def pack(
         cells = -(-left // cell_items)
         cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(cells))
         placed = _solve(rest.withColumn("cell", cell), capacity, islands, epochs, population, generations)
-        last = cells == 1
-        poor = F.lit(False) if last else F.col("fill") < solid * capacity
+        poor = F.col("fill") < solid * capacity
+        again = placed.where(poor).count() if cells > 1 else 0
+        if again > stall * left:
+            again = 0
+        if not again:
+            poor = F.lit(False)
         # A level has less than 2 ** 24 sequences in a cell and 2 ** 32 cells.
         number = F.shiftleft(F.lit(level).cast("long"), 56) + F.shiftleft(F.col("cell"), 24) + F.col("bin")
         done.append(placed.where(~poor).select(*pieces.columns, number.alias("sequence_id"), "offset"))
-        if last:
-            break
         rest = placed.where(poor).select(*pieces.columns)
-        left, level = rest.count(), level + 1
+        left, level = again, level + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

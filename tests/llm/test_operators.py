@@ -340,6 +340,25 @@ def test_packing_is_whole_and_gapless(docs):
         assert list(one.offset) == [0, *np.cumsum(one.length)[:-1]] and one.length.sum() <= 2048
 
 
+@pytest.mark.parametrize("lengths", [[700] * 30, [1] * 30, [1100 + 20 * k for k in range(40)]])
+def test_packing_ends_when_nothing_fills_a_sequence(spark, monkeypatch, lengths):
+    """More than a cell of rests that cannot be combined to full sequences."""
+    solve, levels = packing._solve, []
+
+    def counted(*args):
+        levels.append(1)
+        assert len(levels) < 12
+        return solve(*args)
+
+    monkeypatch.setattr(packing, "_solve", counted)
+    table = [(k, 0, 0, n, k) for k, n in enumerate(lengths)]
+    placed = packing.pack(spark.createDataFrame(table, packing.PIECE_SCHEMA), cell_items=8).toPandas()
+    assert sorted(zip(placed.doc_id, placed.length)) == list(enumerate(lengths))
+    for _, one in placed.groupby("sequence_id"):
+        one = one.sort_values("offset")
+        assert list(one.offset) == [0, *np.cumsum(one.length)[:-1]] and one.length.sum() <= 2048
+
+
 def test_packing_is_near_the_bound():
     rng = np.random.default_rng(1)
     sizes = rng.integers(300, 1100, 400)
