@@ -7,7 +7,8 @@ one reads it. All but the last return the columns of ``documents``:
   centroid);
 * ``line_dedup`` takes lines away that an earlier document holds, and documents that lose
   all of their lines;
-* ``near_dedup`` keeps one document of each group of near-duplicates, the smallest id;
+* ``near_dedup`` keeps one row of each group of near-duplicates, the smallest id; rows without
+  an id are documents of their own, which come last;
 * ``decontamination`` lets documents go that leak a benchmark item;
 * ``packing`` gives the pieces of what is left in sequences of at most 2048 ids.
 
@@ -22,9 +23,8 @@ from pyspark.sql import functions as F
 
 from linkcast.llm import decontam
 from linkcast.llm import language as lang
-from linkcast.llm.common import LAST_ID
 from linkcast.llm.lines import dedup_lines
-from linkcast.llm.neardup import near_duplicates, sized
+from linkcast.llm.neardup import digest, near_rows, sized
 from linkcast.llm.packing import cut_pieces, pack
 from linkcast.llm.tokens import vocabulary
 from linkcast.session import stage
@@ -41,9 +41,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LAST_ID))
-    gone = near_duplicates(docs).where("NOT kept").select(known("doc_id").alias("_id")).distinct()
-    return docs.join(sized(stage(gone, "copies")), known("doc_id") == F.col("_id"), "left_anti")
+    rows = near_rows(docs).where("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    found = stage(rows.agg(F.bool_and("first").alias("_first"), F.count("*").alias("_n")), "copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest("text") == F.col("_digest"))
+    changed = stage(found.where("NOT _first OR _n > 1"), "changed")
+    left = docs.join(sized(changed.select("_id", "_digest")), same, "left_anti")
+    repeated = changed.where("_first").select("_id", "_digest")
+    if not repeated.limit(1).count():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(sized(repeated), same).groupBy("_id", "_digest").agg(F.first(row).alias("row"))
+    return left.unionByName(one.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

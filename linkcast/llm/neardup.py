@@ -21,8 +21,10 @@ at least ``percent`` / 100. The steps:
 
 Words are split at ASCII white space after lower-casing A-Z. With fewer than five words the
 whole sequence is the one shingle. Null texts and texts without words have no shingles and
-are linked with nothing. Null ids count as one id that comes last, and come back as null.
-Repeated rows of an id give repeated rows. Other columns are not read.
+are linked with nothing. Sets are numbered in the order of their smallest id, and all links
+are between these numbers. A row without an id is a document of its own that comes after all
+ids and comes back as null. Repeated rows give repeated rows with one decision; different
+texts under one id are looked at separately. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ LEAST_ESTIMATE = 0.55
 MOST_BITS = int(BITS / 2 * (1 - math.exp(-4 * BANDS * ROWS * (1 - LEAST_ESTIMATE) / BITS)))
 BROADCAST_ROWS = 1_000_000  # of one or two numbers each
 
-SIGNATURE = "id long, n long, high long, low long, keys array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, digest binary, n long, high long, low long, keys array<long>, sketch array<long>"
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def sized(df: DataFrame) -> DataFrame:
 
 
 def signatures(texts: DataFrame, width: int = 5) -> DataFrame:
-    """SIGNATURE of every (id, text)."""
+    """SIGNATURE of every (doc_id, digest, text)."""
     longs = pa.list_(pa.int64())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +68,7 @@ def signatures(texts: DataFrame, width: int = 5) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
                 n, high, low, keys, sketches = [], [], [], [], []
-                for text in some.column(1).to_pylist():
+                for text in some.column(2).to_pylist():
                     hashes = shingles(text, width)
                     n.append(len(hashes))
                     a, b = set_hash(hashes)
@@ -76,9 +78,9 @@ def signatures(texts: DataFrame, width: int = 5) -> DataFrame:
                     keys.append(none if samples is None else hasher.keys(samples))
                     sketches.append(none if samples is None else hasher.sketch(samples))
                 yield pa.RecordBatch.from_arrays([
-                    some.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-                    pa.array(keys, longs), pa.array(sketches, longs),
-                ], names=["id", "n", "high", "low", "keys", "sketch"])
+                    some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(high, pa.int64()),
+                    pa.array(low, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs),
+                ], names=["doc_id", "digest", "n", "high", "low", "keys", "sketch"])
 
     return texts.mapInArrow(sign, SIGNATURE)
 
@@ -152,19 +154,39 @@ def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stage(within.join(mixed, "key", "left_semi"), "open-buckets")
 
 
-def near_duplicates(
-    docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per document."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
+def digest(text: str) -> Column:
+    """128 bits of a text; null if it is null."""
+    return F.unhex(F.md5(F.col(text)))
+
+
+def near_rows(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, n_shingles, component_id, kept, first) per row.
+
+    ``first`` is true for one (doc_id, digest) of each component only, ``kept`` for all rows of
+    the component's smallest id if it has one.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest"), F.col(text_col).alias("text"))
     signed = stage(signatures(texts), "signatures")
-    equal = signed.where("n > 0").groupBy("high", "low").agg(F.min("id").alias("rep"))
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest"))
+    sets_of = signed.where("n > 0").groupBy("high", "low").agg(smallest.alias("rep")).select("high", "low", "rep.*")
+    nodes = stage(
+        sets_of.orderBy("nameless", "doc_id", "high", "low").select(
+            F.monotonically_increasing_id().alias("id"), "high", "low", F.col("doc_id").alias("rep_doc"),
+            F.col("digest").alias("rep_digest"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("at"),
+        ), "nodes",
+    )
     named = stage(
-        signed.select("id", "n", "high", "low").join(equal, ["high", "low"], "left")
-        .select("id", "n", F.coalesce("rep", "id").alias("rep")), "representatives",
+        signed.select("doc_id", "digest", "n", "high", "low")
+        .join(nodes.select("high", "low", "id", "rep_doc", "rep_digest"), ["high", "low"], "left")
+        .select(
+            "doc_id", "digest", "n", "id", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("rep_doc")).alias("rep_doc"),
+            (F.col("id").isNull() | F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("digest") == F.col("rep_digest")))
+            .alias("is_rep"),
+        ), "representatives",
     )
-    reps = stage(named.where("n > 0 AND id = rep").select("id").distinct(), "representative-ids")
-    distinct = signed.where("n > 0").join(reps, "id", "left_semi")
+    reps = nodes.select("id", "at", F.col("rep_digest").alias("digest"))
+    at = F.coalesce("doc_id", F.lit(LAST_ID))
+    distinct = signed.where("n > 0").withColumn("at", at).join(reps, ["at", "digest"])
     banded = distinct.select(F.explode("keys").alias("key"), "id")
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
     members = stage(banded.join(hubs.select("key", "hub"), "key"), "buckets")
@@ -173,7 +195,9 @@ def near_duplicates(
     sketches = stage(
         distinct.join(few, "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"]), "sketches"
     )
-    sets = stage(shingle_sets(texts.join(few, "id", "left_semi")).dropDuplicates(["id"]), "shingle-sets")
+    wanted = sized(stage(reps.join(few, "id", "left_semi"), "wanted-rows"))
+    rows_of = texts.withColumn("at", at).join(wanted, ["at", "digest"]).select("id", "text")
+    sets = stage(shingle_sets(rows_of).dropDuplicates(["id"]), "shingle-sets")
 
     of = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -212,12 +236,26 @@ def near_duplicates(
             links = links.unionByName(late)
             labels = components(links)
             mixed = open_buckets(mixed.select("key", "id"), labels)
-    root = F.coalesce("root", "rep")
-    back = lambda c: F.when(c != LAST_ID, c)
-    return named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(root).alias("component_id"),
-        (F.col("id") == root).alias("kept"),
+    # A component's root is its smallest number, which has its smallest id.
+    heads = stage(
+        labels.select(F.col("root").alias("id")).distinct().join(nodes, "id")
+        .select(F.col("id").alias("root"), F.col("rep_doc").alias("head")), "heads",
     )
+    linked = labels.join(sized(heads), "root").select("id", "root", "head")
+    component = F.when(F.col("root").isNull(), F.col("rep_doc")).otherwise(F.col("head"))
+    first = F.col("is_rep") & F.coalesce(F.col("root") == F.col("id"), F.lit(True))
+    return named.join(linked, "id", "left").select(
+        "doc_id", "digest", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.when(F.col("doc_id").isNull(), first).otherwise(F.col("doc_id") == component).alias("kept"),
+        first.alias("first"),
+    )
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per document."""
+    return near_rows(docs, percent, id_col, text_col).drop("digest", "first")
 
 
 # Brute force over all pairs that share a shingle; meant for small tables.

@@ -160,6 +160,32 @@ def test_near_duplicates_of_edge_rows(docs):
     assert neardup.near_duplicates(docs).count() == len(ROWS)
 
 
+def test_rows_without_id_are_documents_of_their_own(spark):
+    """Only the near copy of a numbered document goes; of equal rows one stays."""
+    import corpus_pipeline
+
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    table = [
+        (7, text("a")), (None, text("a") + " more"), (None, text("b")), (None, text("c")), (None, text("c") + " more"),
+        (None, text("d")), (None, text("d")), (8, text("e")), (8, text("e")), (2**63 - 1, text("f")), (-5, text("g")),
+        (None, text("f") + " more"), (None, None), (None, ""), (9, text("b") + " more"),
+    ]
+    table = [(i, t, "en", "s", k) for k, (i, t) in enumerate(table)]
+    docs_ = spark.createDataFrame(table, SCHEMA)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs_).collect())
+    c = next((n, m) for n, m in ((56, 57), (57, 56)) if (None, n, None, True) in got and (None, m, None, False) in got)
+    assert got == Counter([
+        (7, 56, 7, True), (None, 57, 7, False), (None, 56, 9, False), (9, 57, 9, True), (None, c[0], None, True),
+        (None, c[1], None, False), (None, 56, None, True), (None, 56, None, True), (8, 56, 8, True), (8, 56, 8, True),
+        (2**63 - 1, 56, 2**63 - 1, True), (None, 57, 2**63 - 1, False), (-5, 56, -5, True), (None, 0, None, True),
+        (None, 0, None, True),
+    ])
+    left = corpus_pipeline.near_dedup(spark, docs_, None)
+    assert left.columns == docs_.columns
+    kept = Counter((r.doc_id, (r.text or "-")[0]) for r in left.collect())
+    assert kept == Counter([(7, "a"), (9, "b"), (None, "c"), (None, "d"), (8, "e"), (2**63 - 1, "f"), (-5, "g"), (None, "-"), (None, "-")])
+
+
 def test_links_across_components(spark):
     """A bucket's smallest id is far from a pair that is close: only the second look finds it."""
     common = [f"c{k}" for k in range(300)]
