@@ -5,8 +5,10 @@ ASCII but letters counts as a space): log term frequency times inverse document
 of unit length. Each language has ``clusters`` centroids from spherical k-means. The
 prediction is the language of the centroid with the largest cosine, which is the score.
 A text is *rejected* when its distance (one minus the cosine) is beyond its language's limit,
-or when it is ``und``. The limit leaves ``reach`` times the cosine that 99 of 100 documents of
-the language's own sample reach, so that very short texts pass and other scripts do not.
+or when it is ``und``. The limit depends on the length, as short texts have few n-grams: texts
+of 4, 8, ... or 128 characters and more leave ``reach`` times the cosine that 95 of 100 pieces
+of so many characters reach, in the language's own sample or in all samples, whichever is less.
+Pieces of 128 characters are clear enough; texts under 4 characters are only rejected as ``und``.
 
 Document frequencies count every training document. The k-means runs on a sample of at most
 ``sample`` training documents, shared evenly by the languages and picked by a hash of the
@@ -36,6 +38,7 @@ from linkcast.session import stage
 BUCKETS = 4096
 SHIFT = np.uint32(20)  # 32 bits less the 12 of a bucket
 PIECE = 1 << 20
+LENGTHS = tuple(2**k for k in range(2, 8))  # characters from which a limit holds
 # Odd multipliers of the hashed n-grams, one row per n.
 MULTIPLIERS = np.array([[0x9E3779B1, 0, 0], [0x85EBCA6B, 0xC2B2AE35, 0], [0x27D4EB2F, 0x165667B1, 0xD3A2646D]], np.uint32)
 SPACE = np.arange(128, dtype=np.uint32)
@@ -65,6 +68,16 @@ def counts(text: str) -> np.ndarray:
     return total
 
 
+def pieces(text: str, place: int) -> list[str]:
+    """One piece of each of LENGTHS that the text has, from anywhere in it."""
+    found = []
+    for size in LENGTHS:
+        if len(text) >= size:
+            at = place % (len(text) - size + 1)
+            found.append(text[at: at + size])
+    return found
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -78,7 +91,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # unit rows
     languages: list[str]  # of each centroid
-    limits: np.ndarray  # largest distance of each centroid's language
+    limits: np.ndarray  # largest distance per centroid and length: under LENGTHS[0], then of each of LENGTHS
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
         return unit(np.log1p(tf).astype(np.float32) * self.idf)
@@ -92,11 +105,12 @@ class Model:
             some = known[at: at + 256]
             cosine = self.vectors(np.stack([counts(texts[i]) for i in some])) @ self.centroids.T
             best = cosine.argmax(axis=1)
-            for i, b, c in zip(some, best, cosine[np.arange(len(some)), best]):
+            size = np.searchsorted(LENGTHS, [len(texts[i]) for i in some], side="right")
+            for i, b, k, c in zip(some, best, size, cosine[np.arange(len(some)), best]):
                 score = float(min(1.0, max(0.0, c)))
                 out[i] = {
                     "lang_pred": self.languages[b], "score": round(score, 6),
-                    "rejected": bool(1 - score > self.limits[b]),
+                    "rejected": bool(1 - score > self.limits[b, k]),
                 }
         return out
 
@@ -118,13 +132,24 @@ def spherical_kmeans(rows: np.ndarray, clusters: int, rounds: int = 20) -> np.nd
     return centroids
 
 
+def floors(cosines: dict[str, list[list[float]]], reach: float) -> dict[str, np.ndarray]:
+    """Least cosine per language and length class, from the cosines of pieces of each of LENGTHS."""
+    least = {lang: np.zeros(1 + len(LENGTHS)) for lang in cosines}
+    for k in range(len(LENGTHS)):
+        every = [c for per_length in cosines.values() for c in per_length[k]]
+        for lang, per_length in cosines.items():
+            low = [float(np.quantile(c, 0.05)) for c in (per_length[k], every) if c]
+            least[lang][k + 1] = max(reach * min(low), least[lang][k]) if low else least[lang][k]
+    return least
+
+
 def _held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    clusters: int = 3, sample: int = 2_400, reach: float = 0.2,
+    clusters: int = 3, sample: int = 2_400, reach: float = 0.6,
 ) -> Model:
     """Counts over all training documents, centroids from the bounded sample."""
     known = docs.where(
@@ -132,7 +157,7 @@ def train(
     ).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not per_lang:
-        return Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
+        return Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, 1 + len(LENGTHS))))
     share = max(1, sample // len(per_lang))
     wanted = F.create_map(*[
         F.lit(x) for lang, n in sorted(per_lang.items()) for x in (lang, min(1.0, 2 * share / n))
@@ -151,37 +176,43 @@ def train(
                 df += tf > 0
                 n += 1
                 if pick:
-                    rows.append({"lang": lang, "place": at, "bucket": None, "n": None, "tf": tf.astype("<u4").tobytes()})
+                    rows.append({"lang": lang, "place": at, "bucket": None, "n": None, "tf": tf.astype("<u4").tobytes(), "pieces": pieces(text, at)})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=measured)
-        rows = [{"lang": None, "place": None, "bucket": int(b), "n": int(df[b]), "tf": None} for b in np.flatnonzero(df)]
-        rows.append({"lang": None, "place": None, "bucket": BUCKETS, "n": n, "tf": None})
+        rows = [{"lang": None, "place": None, "bucket": int(b), "n": int(df[b]), "tf": None, "pieces": None} for b in np.flatnonzero(df)]
+        rows.append({"lang": None, "place": None, "bucket": BUCKETS, "n": n, "tf": None, "pieces": None})
         yield pa.RecordBatch.from_pylist(rows, schema=measured)
 
     measured = pa.schema([
         ("lang", pa.string()), ("place", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("tf", pa.binary()),
+        ("pieces", pa.list_(pa.string())),
     ])
     seen = known.select("text", "lang", place.alias("place"), chosen.alias("chosen"))
-    seen = stage(seen.mapInArrow(measure, "lang string, place long, bucket int, n long, tf binary"), "language")
+    seen = stage(seen.mapInArrow(measure, "lang string, place long, bucket int, n long, tf binary, pieces array<string>"), "language")
     df = dict(seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n")).collect())
     total = df.pop(BUCKETS)
     idf = np.log((1 + total) / (1 + np.array([df.get(b, 0) for b in range(BUCKETS)]))).astype(np.float32) + 1
     order = Window.partitionBy("lang").orderBy("place", "tf")
     first = seen.where("tf IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= share)
     samples: dict[str, list[np.ndarray]] = {}
+    parts: dict[str, list[list[str]]] = {}
     for r in first.orderBy("lang", "rank").collect():  # at most ``sample`` rows
         samples.setdefault(r["lang"], []).append(np.frombuffer(r["tf"], "<u4"))
-    model = Model(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
-    centroids, limits = [], []
+        parts.setdefault(r["lang"], []).append(r["pieces"])
+    model = Model(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, 1 + len(LENGTHS))))
+    centroids, cosines = [], {}
     for lang, tfs in samples.items():
-        rows = model.vectors(np.stack(tfs))
-        own = spherical_kmeans(rows, clusters)
-        distance = 1 - (rows @ own.T).max(axis=1)
+        own = spherical_kmeans(model.vectors(np.stack(tfs)), clusters)
         centroids.append(own)
         model.languages += [lang] * len(own)
-        limits += [1 - reach * (1 - float(np.quantile(distance, 0.99)))] * len(own)
+        cosines[lang] = [[] for _ in LENGTHS]
+        for k in range(len(LENGTHS)):
+            some = [p[k] for p in parts[lang] if len(p) > k and has_letter(p[k])]
+            if some:
+                cosines[lang][k] = (model.vectors(np.stack([counts(t) for t in some])) @ own.T).max(axis=1).tolist()
+    least = floors(cosines, reach)
     model.centroids = np.concatenate(centroids).astype(np.float32)
-    model.limits = np.array(limits)
+    model.limits = 1 - np.stack([least[lang] for lang in model.languages])
     return model
 
 

@@ -1,5 +1,6 @@
 """The text operators on small tables: nulls, ties, repeated rows, odd columns, brute force."""
 
+import base64
 import hashlib
 import re
 import uuid
@@ -425,6 +426,27 @@ def test_language_rejects(spark, docs):
     assert all(got[k].rejected for k in range(5)) and all(0 <= got[k].score <= 1 for k in range(5))
 
 
+def test_language_rejects_long_latin_texts(spark):
+    """Foreign and junk texts in Latin script; short and cut texts of known languages pass."""
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(6)
+    strange = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. " * 4,
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler. " * 4,
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem. " * 4,
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki. " * 4,
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. " * 4,
+        base64.b64encode(rng.bytes(600)).decode(),
+        " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), rng.integers(3, 9))) for _ in range(90)),
+    ]
+    known = [r.text for r in train.where("text IS NOT NULL AND n_chars > 400").orderBy("doc_id").limit(60).collect()]
+    cuts = [t[:n] for t in known for n in (6, 40, 300)]
+    table = spark.createDataFrame(list(enumerate(strange + cuts)), "doc_id long, text string")
+    got = language.identify(table, language.train(train)).select("doc_id", "language.*").toPandas().set_index("doc_id")
+    assert got.rejected.sort_index().loc[: len(strange) - 1].all()
+    assert got.rejected.sort_index().loc[len(strange):].mean() < 0.03
+
+
 def test_language_pieces(monkeypatch):
     text = "A long text that is cut into pieces, çà et là. " * 20
     whole = language.counts(text)
