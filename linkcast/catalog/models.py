@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkcast.catalog.common import CFG, SIG, W, db_signal, events, query, r, rounded
+from linkcast.config import HORIZONS, SWEEP_LATENCIES
 from linkcast.functions.scalar import samples_to_ms
 from linkcast.operators.sequences import (
     label_sequences, make_sequences, normalize_sequences, sequence_split, sequence_stats,
@@ -17,15 +18,15 @@ from linkcast.plans.dataset import prepare
 from linkcast.session import stage_root
 from linkcast.sources import sinks
 
+# The horizons of the SQL of naive_model, and the features that drop the same rows.
 SMALL = CFG.with_features(
     horizons=(5, 50), availability="asof", enable_acf=False, enable_spectral=False,
     rolling_windows=(5, 20), rolling_stats=("mean", "std"), n_taps=5,
 )
-TREES = {"numTrees": 10, "maxDepth": 5}
-BOOST = {"n_estimators": 5, "max_depth": 3}
+FULL = CFG.with_features(availability="asof")  # all horizons and feature families
 
 
-def sets(spark, sf, cfg=SMALL):
+def sets(spark, sf, cfg=FULL):
     return prepare(events(spark, sf), "value", ["ts", "event_id"], ["series"], cfg, check=False).sets
 
 
@@ -42,7 +43,7 @@ SELECT 'Naive' AS model_name, horizon, {r("sqrt(avg(y * y) FILTER (split = 'trai
 FROM s GROUP BY horizon""")
 def naive_model(spark, sf):
     """Results rows of "no change", without the measured times."""
-    res = reports.evaluation_matrix(sets(spark, sf), {"naive": {}})
+    res = reports.evaluation_matrix(sets(spark, sf, SMALL), {"naive": {}})
     return rounded(res.select(
         "model_name", "horizon", "train_rmse", "val_rmse", "test_rmse", "test_mae", "residual_variance",
         "n_train_samples", "n_test_samples",
@@ -69,13 +70,13 @@ def linear_regression(spark, sf):
 @query("random_forest")
 def random_forest(spark, sf):
     ds = sets(spark, sf)[5]
-    return fc.results_row(fc.fit("random_forest", ds, TREES), ds)
+    return fc.results_row(fc.fit("random_forest", ds), ds)
 
 
 @query("gradient_boosting")
 def gradient_boosting(spark, sf):
     ds = sets(spark, sf)[5]
-    return fc.results_row(fc.fit("gbt", ds, BOOST), ds)
+    return fc.results_row(fc.fit("gbt", ds), ds)
 
 
 @query("level_reconstruction", f"""WITH {SIG}, p AS (
@@ -98,7 +99,7 @@ def level_reconstruction(spark, sf):
 @query("feature_importance")
 def feature_importance(spark, sf):
     ds = sets(spark, sf)[5]
-    forest = fc.importance(fc.fit("random_forest", ds, TREES), 5, spark)
+    forest = fc.importance(fc.fit("random_forest", ds), 5, spark)
     linear = fc.importance(fc.fit("linear", ds), 5, spark)
     return reports.top_features(forest.unionByName(linear), 15)
 
@@ -110,7 +111,7 @@ def importance_csv(spark, sf):
 
     ds = sets(spark, sf)[5]
     path = f"{stage_root(spark)}/linkcast-importance-{uuid.uuid4().hex}"
-    sinks.write_importance(fc.importance(fc.fit("random_forest", ds, TREES), 5, spark), path)
+    sinks.write_importance(fc.importance(fc.fit("random_forest", ds), 5, spark), path)
     schema = "feature string, importance double, rank int, model string, horizon int"
     return spark.read.schema(schema).option("header", True).csv(path)
 
@@ -125,7 +126,7 @@ def parameter_search(spark, sf):
 
 @query("train_horizons")
 def train_horizons(spark, sf):
-    done = fc.train_horizons(sets(spark, sf), "linear", (5, 50, 100))
+    done = fc.train_horizons(sets(spark, sf), "linear", HORIZONS)
     return reports.append_results([row for _, row, _ in done.values()])
 
 
@@ -152,12 +153,12 @@ def lookback_forecaster(spark, sf):
 def error_by_trees(spark, sf):
     """Validation error after each tree, the basis of a patience rule."""
     ds = sets(spark, sf)[5]
-    return fc.error_by_trees(fc.fit("gbt", ds, BOOST), ds.part("val"))
+    return fc.error_by_trees(fc.fit("gbt", ds), ds.part("val"))
 
 
 @query("evaluation_matrix")
 def evaluation_matrix(spark, sf):
-    return reports.evaluation_matrix(sets(spark, sf), {"naive": {}, "linear": {}, "random_forest": TREES})
+    return reports.evaluation_matrix(sets(spark, sf), {"naive": {}, "linear": {}, "random_forest": {}})
 
 
 @query("horizon_summary")
@@ -180,7 +181,7 @@ def _sweep(sig, latencies):
 @query("latency_sweep_models")
 def latency_sweep_models(spark, sf):
     """Variance after pre-compensation with trained models."""
-    res = _sweep(db_signal(spark, sf), (1, 5, 10))
+    res = _sweep(db_signal(spark, sf), SWEEP_LATENCIES)
     return pre.variance_reduction(res, ["series"])
 
 

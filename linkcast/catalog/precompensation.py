@@ -126,4 +126,4 @@ def lognormal_strength(spark, sf):
 @query("turbulence_strength")
 def strength(spark, sf):
     """Gamma-gamma fit per link, log-normal where turbulence is weak."""
-    return turbulence_strength(raw_signal(spark, sf), "x", bins=2_000, rounds=3)
+    return turbulence_strength(raw_signal(spark, sf), "x")

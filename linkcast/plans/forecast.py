@@ -289,6 +289,9 @@ def train_horizons(
             log.warning("horizon %d was not prepared; skipped", h)
             continue
         ds, chosen = sets[h], params
+        if not ds.part("train").limit(1).count():
+            log.warning("horizon %d has no rows to train on; skipped", h)
+            continue
         if max_trials:
             chosen, _ = tune(name, ds, grid, max_trials, seed)
         fitted = fit(name, ds, chosen, seed)
