@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_token_files": "doc_id start n_tokens ids_crc32",
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_token_counts": "doc_id n_tokens section_tokens",
+    "op12_infill": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
 
