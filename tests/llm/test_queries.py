@@ -19,6 +19,8 @@ COLUMNS = {
     "op8_token_files": "doc_id start n_tokens ids_crc32",
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_token_counts": "doc_id n_tokens section_tokens",
+    "op11_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op13_toxicity": "doc_id held_out score predicted",
     "op12_infill": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
@@ -36,7 +38,8 @@ def test_matches_sql(spark, name):
 def test_columns_and_rows(spark, name):
     df = QUERIES[name](spark, SF)
     assert set(COLUMNS[name].split()) <= set(df.columns)
-    assert df.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    key, table = ("vec_id", "embeddings") if "vec_id" in df.columns else ("doc_id", "documents")
+    assert df.select(key).distinct().count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
 def test_pipeline(spark):
