@@ -5,8 +5,8 @@ classifier g is estimated with the class prior p as
 
     p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)]),    l(z) = log(1 + exp(-z)).
 
-The bracket is the risk on clean text, which cannot be negative; when a batch makes it so, the
-step goes uphill on it (Kiryo and others 2017). ``members`` linear classifiers are trained in
+The bracket is the risk on clean text, which cannot be negative; when a step finds it so, it
+goes uphill on it (Kiryo and others 2017). ``members`` linear classifiers are trained in
 numpy with different shares of the unlabelled sample, and their logits averaged; the score is the
 logistic function of it.
 
@@ -14,17 +14,19 @@ logistic function of it.
   ``PREFIXES`` characters, each as a 64-bit hash. Whole texts are read; a word is never cut up to
   a million letters.
 * Candidates are the features that at least ``least`` confirmed examples of the sample hold. Their document
-  frequencies are counted over all documents; the ``features`` with the largest chi-square
-  against them are used.
+  frequencies are counted over all documents; the at most ``features`` that confirmed examples
+  hold more often with a log-likelihood ratio of more than ``evidence`` are used.
 * The classifiers are fitted on a bounded sample of distinct texts: at most ``positives``
   confirmed examples and ``unlabelled`` texts of all documents, picked by a hash of the text.
-* The prior, unless given, is the share of toxic among the distinct labelled texts.
+* The prior, unless given, is the share, less its standard error, of toxic ones among the
+  distinct labelled texts: a prior that is too large makes clean text look toxic.
 
 Labels are learnt only from rows of ``labels`` whose crc32(id as text) mod 3 is not 1, so not from
 rows without an id. Of several labels of a text the largest holds; null labels are none. Null and
-empty texts have no features and get the score of the intercept. Without a confirmed example
-every score is 0. Repeated rows get repeated rows; an empty table gives an empty result. Other
-columns are carried as they are, a column of the name of the score is replaced.
+empty texts have no features and get the score of the intercept. Without a confirmed example,
+or a feature that tells them apart, every score is 0. Repeated rows get repeated rows; an empty
+table gives an empty result. Other columns are carried as they are, a column of the name of the
+score is replaced.
 """
 
 from __future__ import annotations
@@ -150,44 +152,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def dense(rows: list[np.ndarray], size: int) -> np.ndarray:
-    out = np.zeros((len(rows), size), np.float32)
-    for k, places in enumerate(rows):
-        out[k, places] = 1
-    return out
+def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of all places."""
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
 
 
 def nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, seed: int,
-    epochs: int = 40, batch: int = 512, rate: float = 0.02, decay: float = 2e-5,
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float,
+    steps: int = 400, rate: float = 0.05, decay: float = 1e-4,
 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept of one linear classifier, by Adam on the non-negative risk."""
-    rng = np.random.default_rng(seed)
-    w, moment, square = (np.zeros(size + 1) for _ in range(3))
+    """Weights and intercept of one linear classifier, by Adam on the non-negative risk of all rows."""
+    (in_u, at_u), (in_p, at_p) = flat(unlabelled), flat(positive)
+    w, moment, square = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = np.log(prior / (1 - prior))
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(unlabelled))
-        for at in range(0, len(order), batch):
-            some = order[at: at + batch]
-            u = dense([unlabelled[i] for i in some], size)
-            p = dense([positive[i] for i in rng.integers(0, len(positive), min(batch, 4 * len(positive)))], size)
-            gu, gp = u @ w[:-1] + w[-1], p @ w[:-1] + w[-1]
-            up, down = 1 / (1 + np.exp(-gu)), 1 / (1 + np.exp(-gp))
-            clean = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            # Derivatives by g: l(-g) gives sigma(g), l(g) gives sigma(g) - 1.
-            du, dp = up / len(u), -prior * down / len(p)
-            if clean < 0:
-                du, dp = -du, -dp
-            else:
-                dp = dp + prior * (down - 1) / len(p)
-            grad = np.append(du @ u + dp @ p, du.sum() + dp.sum())
-            grad[:-1] += decay * w[:-1]
-            step += 1
-            moment += 0.1 * (grad - moment)
-            square += 0.001 * (grad**2 - square)
-            pace = rate * (1 - epoch / epochs)
-            w -= pace * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    for step in range(1, steps + 1):
+        gu = np.bincount(in_u, w[at_u], len(unlabelled)) + w[-1]
+        gp = np.bincount(in_p, w[at_p], len(positive)) + w[-1]
+        up, down = 1 / (1 + np.exp(-np.clip(gu, -500, 500))), 1 / (1 + np.exp(-np.clip(gp, -500, 500)))
+        clean = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        # Derivatives by g: l(-g) gives sigma(g), l(g) gives sigma(g) - 1.
+        du, dp = up / len(gu), -prior * down / len(gp)
+        if clean < 0:
+            du, dp = -du, -dp
+        else:
+            dp = dp + prior * (down - 1) / len(gp)
+        grad = np.bincount(at_u, du[in_u], size + 1) + np.bincount(at_p, dp[in_p], size + 1)
+        grad[:-1] += decay * w[:-1]
+        grad[-1] = du.sum() + dp.sum()
+        moment += 0.1 * (grad - moment)
+        square += 0.01 * (grad**2 - square)
+        pace = rate * min(1, 2 * (1 - step / steps))
+        w -= pace * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
@@ -244,7 +239,7 @@ def _held(rows: DataFrame, features: Features) -> dict[int, np.ndarray]:
 
 def train(
     docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 4_000, unlabelled: int = 12_000,
-    features: int = 8_192, least: int = 3, members: int = 3,
+    features: int = 8_192, least: int = 3, evidence: float = 12.0, members: int = 3,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Model:
     """Features from all documents, classifiers from the bounded samples."""
@@ -255,7 +250,9 @@ def train(
         return none
     others, n_texts = pick(texts, unlabelled, 2)
     if prior is None:
-        prior = n_toxic / texts.where("toxic IS NOT NULL").count()
+        known = texts.where("toxic IS NOT NULL").count()
+        share = n_toxic / known
+        prior = share - (share * (1 - share) / known) ** 0.5
     prior = min(max(prior, 1e-4), 0.9)
     spark = docs.sparkSession
 
@@ -290,16 +287,20 @@ def train(
     shared.unpersist()
     n = totals.pop(len(candidates.hashes), 0)
     df = np.array([totals.get(k, 0) for k in range(len(candidates.hashes))], float)
-    share, among = (df + 1) / (n + 2), in_toxic / len(confirmed)
-    chi = (among - share) ** 2 / (share * (1 - share))
-    best = np.sort(np.argsort(-chi, kind="stable")[:features])
+    expected = (df + 1) / (n + 2) * len(confirmed)
+    more = in_toxic > expected
+    found_more = np.where(more, 2 * (in_toxic * np.log(in_toxic / expected) - in_toxic + expected), 0)
+    best = np.argsort(-found_more, kind="stable")[:features]
+    best = np.sort(best[found_more[best] > evidence])
+    if not len(best):
+        return none
     used = Features(candidates.hashes[best])
     places = _held(_sample(docs, text_col, sorted({*confirmed, *others})), used)
     p, u = [places[h] for h in confirmed], [places[h] for h in others]
     fits = []
     for m in range(members):
-        share_of_u = [x for k, x in enumerate(u) if members == 1 or k % members != m or len(u) < 2 * members]
-        fits.append(nnpu(p, share_of_u, len(best), prior, m))
+        some = [x for k, x in enumerate(u) if members == 1 or k % members != m or len(u) < 2 * members]
+        fits.append(nnpu(p, some, len(best), prior))
     weights, intercept = np.mean([w for w, _ in fits], axis=0), float(np.mean([b for _, b in fits]))
     sizes = {"texts": n_texts, "confirmed": n_toxic, "positives": len(p), "unlabelled": len(u), "candidates": len(found)}
     return Model(used.hashes, weights, intercept, prior, sizes)
