@@ -25,16 +25,20 @@ def local_session(cpus: int | str = "*", name: str = "linkcast") -> SparkSession
     return spark
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def stage_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only on a local master."""
+    """The cluster's shared folder; where it is unset, a temporary one, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="linkcast-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="linkcast-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def stage(df: DataFrame, name: str = "stage", by: tuple[str, ...] = ()) -> DataFrame:
