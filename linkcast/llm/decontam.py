@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkcast.llm.common import documents, query
+from linkcast.llm.common import documents, query, slices
 
 K1, B = 1.2, 0.75
 SHINGLE = 3
@@ -265,15 +265,17 @@ def find_leaks(
         shared = docs.sparkSession.sparkContext.broadcast(index)  # at most block_items items
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in batches:
-                before = batch.column(batch.num_columns - 1).to_pylist()
-                found = [
-                    old + shared.value.leaks(text, threshold, question, answer)
-                    for old, text in zip(before, batch.column(at).to_pylist())
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(found, LEAK_ARROW)], names=batch.schema.names
-                )
+                for some in slices(batch, at):
+                    before = some.column(some.num_columns - 1).to_pylist()
+                    found = [
+                        old + index.leaks(text, threshold, question, answer)
+                        for old, text in zip(before, some.column(at).to_pylist())
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [*some.columns[:-1], pa.array(found, LEAK_ARROW)], names=some.schema.names
+                    )
 
         out = out.mapInArrow(search, T.StructType([*kept.schema.fields, T.StructField(out_col, LEAK)]))
     return out

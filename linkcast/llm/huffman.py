@@ -1,6 +1,6 @@
 """Token ids of a corpus in Huffman-coded binary files, and back.
 
-``write_tokens`` puts the documents in ascending order of their ids (range partitions, one
+``write_tokens`` puts the documents in ascending order of their ids (range partitions by id, text and row, one
 shard each), encodes the texts, counts all ids over the corpus, builds one canonical code
 with lengths of at most ``max_bits`` from the counts, and writes
 
@@ -30,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcast.llm.common import documents, query
+from linkcast.llm.common import documents, query, slices
 from linkcast.llm.tokens import encoder, vocabulary
 from linkcast.session import stage_root
 
 CHECKPOINT = 64
+COUNTS = -1  # in the place of a row's number: the counts of a shard
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 50_000
 
@@ -161,11 +162,13 @@ def write_tokens(
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, keeps_space)
         shard, seq, before = TaskContext.get().partitionId(), 0, 0
+        total = np.zeros(vocabulary_size, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for some in slices(batch, 1):
                 found = enc.encode(some.column(1).to_pylist())
                 n = np.array([len(b) // 4 + 1 for b in found], np.int64)
+                total += np.bincount(np.frombuffer(b"".join(found), "<u4"), minlength=vocabulary_size)
+                total[end_id] += len(found)
                 first = before + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(n), shard, np.int32)), pa.array(np.arange(seq, seq + len(n))),
@@ -173,22 +176,29 @@ def write_tokens(
                     pa.array([_planes(b + end, width) for b in found], pa.binary()),
                 ], names=["shard", "seq", "doc_id", "before", "n_ids", "ids"])
                 seq, before = seq + len(n), before + int(n.sum())
-
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    plain = f"{folder}/ids"
-    ordered.mapInArrow(tokenize, ROW).write.option("compression", "zstd").parquet(plain)
-    ids = spark.read.schema(ROW).parquet(plain)
+        if seq:  # the counts of the shard, as one more row
+            yield pa.RecordBatch.from_arrays([
+                pa.array([shard], pa.int32()), pa.array([COUNTS]), pa.array([None], pa.int64()), pa.array([before]),
+                pa.array([0]), pa.array([total.astype("<i8").tobytes()], pa.binary()),
+            ], names=["shard", "seq", "doc_id", "before", "n_ids", "ids"])
+
+    # A hot id, or all rows without one, are spread by their texts and, if those are equal too, by row.
+    keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(shards, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
+    plain = f"{stage_root(spark)}/linkcast-ids-{uuid.uuid4().hex}"
+    ordered.select("doc_id", "text").mapInArrow(tokenize, ROW).write.option("compression", "zstd").parquet(plain)
+    written = spark.read.schema(ROW).parquet(plain)
+    ids = written.where(F.col("seq") != COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary_size, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = [_from_planes(raw, width) for raw in batch.column(0).slice(at, 1024).to_pylist()]
-                total += np.bincount(np.concatenate(some), minlength=vocabulary_size)
+            for k in range(batch.num_rows):
+                total += np.frombuffer(batch.column(0)[k].as_py(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()
+    counts = written.where(F.col("seq") == COUNTS).select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()
     counts.sort()
     known = np.array([c[0] for c in counts], np.int64)
     lengths = code_lengths(np.array([c[1] for c in counts], np.int64), max_bits)
@@ -218,8 +228,8 @@ def write_tokens(
 
         size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for row in batch.slice(at, 256).to_pylist():
+            for some in slices(batch, 5, 256):
+                for row in some.to_pylist():
                     if group and (size >= block_ids or row["shard"] != group[0]["shard"]
                                   or row["seq"] != group[-1]["seq"] + 1):
                         yield block()

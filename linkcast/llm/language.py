@@ -11,7 +11,7 @@ of so many characters reach, in the language's own sample or in all samples, whi
 Pieces of 128 characters are clear enough; texts under 4 characters are only rejected as ``und``.
 
 Document frequencies count every training document. The k-means runs on a sample of at most
-``sample`` training documents, shared evenly by the languages and picked by a hash of the
+``sample`` distinct training texts, shared evenly by the languages and picked by a hash of the
 text. Training uses text and language of documents whose crc32(id as text) mod 4 is not 2.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text when no
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from linkcast.llm.common import documents, query
+from linkcast.llm.common import documents, query, slices
 from linkcast.session import stage
 
 BUCKETS = 4096
@@ -155,51 +155,67 @@ def train(
     known = docs.where(
         F.col(id_col).isNotNull() & ~_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     ).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    none = Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, 1 + len(LENGTHS))))
+    # Distinct texts with a letter, so that copies neither fill a sample nor keep it empty.
+    texts = stage(
+        known.where(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("h")).distinct(), "language-texts"
+    )
+    per_lang = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
     if not per_lang:
-        return Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, 1 + len(LENGTHS))))
+        return none
     share = max(1, sample // len(per_lang))
-    wanted = F.create_map(*[
-        F.lit(x) for lang, n in sorted(per_lang.items()) for x in (lang, min(1.0, 2 * share / n))
-    ])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    chosen = place < F.element_at(wanted, F.col("lang")) * (1 << 30)
+    # A few more than wanted pass the filter, so that the ranking sees a bounded number.
+    near = F.create_map(*[F.lit(x) for lang, n in sorted(per_lang.items()) for x in (lang, min(1.0, (2 * share + 50) / n))])
+    place = F.pmod("h", F.lit(1 << 30))
+    order = Window.partitionBy("lang").orderBy("place", "h")
+    few = texts.withColumn("place", place).where(F.col("place") <= F.element_at(near, F.col("lang")) * (1 << 30))
+    ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= share)
+    chosen = {(r["lang"], r["h"]): r["rank"] for r in ranked.select("lang", "h", "rank").collect()}  # at most ``sample``
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, given = shared.value, set()
         df, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            rows = []
-            for text, lang, at, pick in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if not has_letter(text):
-                    continue
-                tf = counts(text)
-                df += tf > 0
-                n += 1
-                if pick:
-                    rows.append({"lang": lang, "place": at, "bucket": None, "n": None, "tf": tf.astype("<u4").tobytes(), "pieces": pieces(text, at)})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=measured)
-        rows = [{"lang": None, "place": None, "bucket": int(b), "n": int(df[b]), "tf": None, "pieces": None} for b in np.flatnonzero(df)]
-        rows.append({"lang": None, "place": None, "bucket": BUCKETS, "n": n, "tf": None, "pieces": None})
+            for some in slices(batch, 0):
+                rows = []
+                for text, lang, h in zip(*(some.column(i).to_pylist() for i in range(3))):
+                    if not has_letter(text):
+                        continue
+                    tf = counts(text)
+                    df += tf > 0
+                    n += 1
+                    if (lang, h) in wanted and (lang, h) not in given:  # once per task
+                        given.add((lang, h))
+                        rows.append({
+                            "lang": lang, "rank": wanted[lang, h], "bucket": None, "n": None,
+                            "tf": tf.astype("<u4").tobytes(), "pieces": pieces(text, h % (1 << 30)),
+                        })
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=measured)
+        rows = [{"lang": None, "rank": None, "bucket": int(b), "n": int(df[b]), "tf": None, "pieces": None} for b in np.flatnonzero(df)]
+        rows.append({"lang": None, "rank": None, "bucket": BUCKETS, "n": n, "tf": None, "pieces": None})
         yield pa.RecordBatch.from_pylist(rows, schema=measured)
 
     measured = pa.schema([
-        ("lang", pa.string()), ("place", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("tf", pa.binary()),
+        ("lang", pa.string()), ("rank", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("tf", pa.binary()),
         ("pieces", pa.list_(pa.string())),
     ])
-    seen = known.select("text", "lang", place.alias("place"), chosen.alias("chosen"))
-    seen = stage(seen.mapInArrow(measure, "lang string, place long, bucket int, n long, tf binary, pieces array<string>"), "language")
+    seen = known.select("text", "lang", F.xxhash64("text").alias("h"))
+    seen = stage(seen.mapInArrow(measure, "lang string, rank int, bucket int, n long, tf binary, pieces array<string>"), "language")
+    shared.unpersist()
     df = dict(seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n")).collect())
     total = df.pop(BUCKETS)
     idf = np.log((1 + total) / (1 + np.array([df.get(b, 0) for b in range(BUCKETS)]))).astype(np.float32) + 1
-    order = Window.partitionBy("lang").orderBy("place", "tf")
-    first = seen.where("tf IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= share)
+    first = seen.where("tf IS NOT NULL").groupBy("lang", "rank").agg(F.min("tf").alias("tf"), F.min("pieces").alias("pieces"))
     samples: dict[str, list[np.ndarray]] = {}
     parts: dict[str, list[list[str]]] = {}
-    for r in first.orderBy("lang", "rank").collect():  # at most ``sample`` rows
+    for r in sorted(first.collect(), key=lambda r: (r["lang"], r["rank"])):  # at most ``sample`` rows
         samples.setdefault(r["lang"], []).append(np.frombuffer(r["tf"], "<u4"))
         parts.setdefault(r["lang"], []).append(r["pieces"])
     model = Model(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, 1 + len(LENGTHS))))
+    if not samples:
+        return none
     centroids, cosines = [], {}
     for lang, tfs in samples.items():
         own = spherical_kmeans(model.vectors(np.stack(tfs)), clusters)
@@ -224,11 +240,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     fields = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            found = shared.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, fields)], names=[*batch.schema.names, out_col]
-            )
+            for some in slices(batch, at):
+                found = model.predict(some.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.array(found, fields)], names=[*some.schema.names, out_col]
+                )
 
     schema = T.StructType([*kept.schema.fields, T.StructField(out_col, RESULT)])
     return kept.mapInArrow(predict, schema)

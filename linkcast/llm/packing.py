@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on islands.
 
 Documents longer than a sequence are cut into full pieces and a rest. Full pieces are
-sequences already. The rests are dealt by hash into cells of about ``cell_items``; every
-cell is a packing problem of its own, solved on ``islands`` islands:
+sequences already. The rests are numbered and dealt in turn into cells of at most ``cell_items``;
+every cell is a packing problem of its own, solved on ``islands`` islands:
 
 * an individual is a grouping of the items into sequences; its fitness is the mean of the
   squared fill, so that full sequences count more than evenly filled ones;
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcast.llm.common import documents, query
+from linkcast.llm.common import documents, query, slices
 from linkcast.llm.tokens import encoder, vocabulary
 from linkcast.session import stage
 
@@ -55,9 +55,8 @@ def cut_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, keeps_space)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for some in slices(batch, 1):
+                out: list[list] = [[], [], [], [], []]
                 for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
                     ids += end
                     for k in range(0, len(ids), 4 * capacity):
@@ -65,7 +64,7 @@ def cut_pieces(
                         row = (doc, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece))
                         for column, v in zip(out, row):
                             column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, PIECE_SCHEMA)
@@ -156,12 +155,9 @@ def evolve(lengths: np.ndarray, capacity: int, seed: int, elite: list[list[int]]
 
 
 def _solve(items: DataFrame, capacity: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
-    """Items with ``bin`` and ``offset`` and ``fill``, per cell."""
-    order = ["length", "doc_id", "piece", "start", "ids_crc32"]
-    columns = list(items.columns)
-
+    """(row, length, cell, bin, offset, fill) of the items (row, length, cell)."""
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(order, ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+        return pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
 
     def as_bins(raw) -> list[list[int]]:
         where = np.frombuffer(raw, "<i4")
@@ -186,7 +182,8 @@ def _solve(items: DataFrame, capacity: int, islands: int, epochs: int, populatio
 
         return run
 
-    on_islands = items.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    slim = items.select("cell", "row", "length")  # no nulls, so pandas keeps whole numbers
+    on_islands = slim.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     schema = "cell long, island int, bins long, fit double, solution binary"
     elites = items.sparkSession.createDataFrame([], schema)
     for k in range(epochs):
@@ -202,13 +199,13 @@ def _solve(items: DataFrame, capacity: int, islands: int, epochs: int, populatio
     def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = in_order(left)
         rows["bin"] = np.frombuffer(right["solution"].iloc[0], "<i4").astype("int64") if len(rows) else []
-        rows = rows.sort_values(["bin", "doc_id", "piece"], kind="stable")
+        rows = rows.sort_values(["bin", "row"], kind="stable")
         rows["offset"] = rows.groupby("bin")["length"].cumsum() - rows["length"]
         rows["fill"] = rows.groupby("bin")["length"].transform("sum")
-        return rows[[*columns, "bin", "offset", "fill"]]
+        return rows[["row", "length", "cell", "bin", "offset", "fill"]]
 
-    placed = items.groupBy("cell").cogroup(best.groupBy("cell")).applyInPandas(
-        place, f"{PIECE_SCHEMA}, cell long, bin long, offset long, fill long"
+    placed = slim.groupBy("cell").cogroup(best.groupBy("cell")).applyInPandas(
+        place, "row long, length long, cell long, bin long, offset long, fill long"
     )
     return stage(placed, "placed")
 
@@ -218,32 +215,56 @@ def pack(
     population: int = 6, generations: int = 4, solid: float = 0.97, stall: float = 0.75,
 ) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the pieces."""
-    pieces = stage(pieces, "pieces")
+    columns = list(pieces.columns)
+    pieces = stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == capacity).select(
-        "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        *columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    rest = pieces.where(F.col("length") < capacity)
-    left = rest.count()
-    done, level = [full], 0
-    while left:
-        cells = -(-left // cell_items)
-        cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(cells))
-        placed = _solve(rest.withColumn("cell", cell), capacity, islands, epochs, population, generations)
+    rest = pieces.where(F.col("length") < capacity).select("row", "length")
+    done, level = None, 0
+    while True:
+        items, left = dealt(rest, cell_items)
+        if not left:
+            break
+        placed = _solve(items, capacity, islands, epochs, population, generations)
         poor = F.col("fill") < solid * capacity
-        again = placed.where(poor).count() if cells > 1 else 0
+        again = placed.where(poor).count() if left > cell_items else 0
         if again > stall * left:
             again = 0
         if not again:
             poor = F.lit(False)
         # A level has less than 2 ** 24 sequences in a cell and 2 ** 32 cells.
         number = F.shiftleft(F.lit(level).cast("long"), 56) + F.shiftleft(F.col("cell"), 24) + F.col("bin")
-        done.append(placed.where(~poor).select(*pieces.columns, number.alias("sequence_id"), "offset"))
-        rest = placed.where(poor).select(*pieces.columns)
-        left, level = again, level + 1
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        solid_rows = placed.where(~poor).select("row", number.alias("sequence_id"), "offset")
+        done = solid_rows if done is None else done.unionByName(solid_rows)
+        if not again:
+            break
+        rest, level = placed.where(poor).select("row", "length"), level + 1
+    if done is None:
+        return full
+    return full.unionByName(pieces.join(done, "row").select(*columns, "sequence_id", "offset"))
+
+
+def dealt(rest: DataFrame, cell_items: int) -> tuple[DataFrame, int]:
+    """(row, length, cell) with at most ``cell_items`` rows in a cell, and the number of rows.
+
+    Rows are numbered without gaps, from the sizes of the partitions of a written table, and
+    dealt in turn; so cells stay bounded whatever ids and copies the table holds.
+    """
+    at = F.monotonically_increasing_id()
+    rows = stage(rest.withColumn("part", F.shiftright(at, 33)).withColumn("at", at.bitwiseAND((1 << 33) - 1)), "rests")
+    sizes = sorted(map(tuple, rows.groupBy("part").count().collect()))  # one number per partition
+    left = sum(n for _, n in sizes)
+    if not left:
+        return rows.limit(0).select("row", "length", F.lit(0).cast("long").alias("cell")), 0
+    before, heads = 0, []
+    for part, n in sizes:
+        heads.append((part, before))
+        before += n
+    heads = rows.sparkSession.createDataFrame(heads, "part long, head long")
+    cells = -(-left // cell_items)
+    numbered = rows.join(F.broadcast(heads), "part")
+    return numbered.select("row", "length", ((F.col("head") + F.col("at")) % cells).alias("cell")), left
 
 
 @query("op5_packing")

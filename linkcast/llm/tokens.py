@@ -2,13 +2,16 @@
 
 The vocabularies used here cut a text at white space before they merge characters, so a text
 can be encoded piece by piece: a piece starts at a space or line feed that follows another
-character. Pieces that were not met before are encoded together in one call of the library.
+character. Pieces that were not met before are encoded together in one call of the library. A text
+that holds the string of an added token, such as an end mark, is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -31,6 +34,15 @@ def usual(text: str) -> bool:
     return not any(t in text for t in tests)
 
 
+@lru_cache(1 << 14)
+def plain_letter(c: str) -> bool:
+    """A letter or digit that stays one when it is normalised and lower-cased."""
+    if c.isascii():
+        return c.isalnum()
+    low = unicodedata.normalize("NFC", c).lower()
+    return c.isalpha() and len(low) == 1 and low.isalpha()
+
+
 PLAIN = re.compile(r"[ \n][^\s\x00][^\s\x00]*\Z")
 
 
@@ -65,7 +77,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space = keeps_space
         self.cache: dict[str, bytes] = {"": b""}
         self.seen = bytearray((SEEN_MASK + 1) // 8)
@@ -86,7 +98,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of pieces that the cache does not have."""
         # A stop after a letter or digit is a token of its own: the rest may be known.
-        ended = {w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalnum()}
+        ended = {w for w in words if len(w) > 1 and w[-1] in ".," and plain_letter(w[-2])}
         whole = dict.fromkeys(w for w in words if w not in ended)
         whole.update(dict.fromkeys(c for w in ended if (c := w[:-1]) not in self.cache))
         fresh = self._encode_new(list(whole))
@@ -131,19 +143,25 @@ class Encoder:
         group: list[list[str]] = []
         size = 0
         for text in texts:
-            pieces = [self.pieces(p) for p in parts(text or "")]
-            if len(pieces) > 1:  # a very long text: part by part
+            found = parts(text or "")
+            if len(found) > 1 or any(t in found[0] for t in self.added):  # by itself, part by part
                 out += self._join(group)
                 group, size = [], 0
-                out.append(b"".join(self._join([p])[0] for p in pieces))
+                out.append(b"".join(map(self._part, found)))
                 continue
-            group += pieces
+            group.append(self.pieces(found[0]))
             size += len(text or "")
             if size >= GROUP_CHARS:
                 out += self._join(group)
                 group, size = [], 0
         return out + self._join(group)
 
+    def _part(self, part: str) -> bytes:
+        # Parts begin at white space, which added tokens do not hold.
+        if any(t in part for t in self.added):
+            return np.array(self._ids(part), "<u4").tobytes()
+        return self._join([self.pieces(part)])[0]
+
     def _join(self, group: list[list[str]]) -> list[bytes]:
         look = self.cache.get
         found = [list(map(look, pieces)) for pieces in group]
