@@ -11,13 +11,13 @@ at least ``percent`` / 100. The steps:
    of any size gives as many candidates as members. The population count of the XOR of two
    odd sketches estimates their similarity within 0.035; pairs estimated at less than 0.55
    are let go, all others are confirmed on full sets. Their links give components.
-3. Buckets with members in several components are looked at again. A member whose shingles
-   are mostly found nowhere else among them cannot be linked: with n shingles of which c also
-   occur elsewhere, a link needs 0.75 (n1 + n2) <= 1.75 min(c1, c2). First each member is
-   held against the one with the largest share of common shingles, which stands nearest to
-   the text that the copies come from. Then the pairs that are still across components and
-   pass the bound and the sketch are confirmed on full sets as well. Pairs inside a component
-   are never formed, and no bucket or candidate is left out.
+3. Buckets with members in several components are looked at again, in groups of buckets that share
+   members. Small groups are compared pair by pair. In a large one, such as a family of copies with
+   many edits, a member is its difference D to the group's centre, the shingles that more than
+   half of its members hold. Members with small differences are linked at once, each to the one
+   with the least; all other links need common elements of D, of which there must be enough on
+   both sides. Members that share one of their rarest common elements form smaller groups, and so
+   on. This is exact: pairs inside a component are never formed, and no bucket or candidate is left out.
 
 Words are split at ASCII white space after lower-casing A-Z. With fewer than five words the
 whole sequence is the one shingle. Null texts and texts without words have no shingles and
@@ -36,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from linkcast.llm.common import LAST_ID, documents, query
+from linkcast.llm.common import LAST_ID, documents, query, slices
 from linkcast.llm.components import components
 from linkcast.llm.shingles import MinHasher, set_hash, shingles
 from linkcast.session import stage
@@ -47,7 +48,9 @@ WORDS = BITS // 64
 LEAST_ESTIMATE = 0.55
 # Differing bits of two sketches whose estimate is LEAST_ESTIMATE.
 MOST_BITS = int(BITS / 2 * (1 - math.exp(-4 * BANDS * ROWS * (1 - LEAST_ESTIMATE) / BITS)))
-BROADCAST_ROWS = 1_000_000  # of one or two numbers each
+BROADCAST_ROWS = 300_000  # of one or two numbers each
+BROADCAST_BYTES = 16 << 20
+SMALL = 16  # members of a group that are compared pair by pair
 
 SIGNATURE = "doc_id long, digest binary, n long, high long, low long, keys array<long>, sketch array<long>"
 
@@ -122,29 +125,6 @@ def differing(left: Column, right: Column) -> Column:
     return sum((F.bit_count(F.get(left, i).bitwiseXOR(F.get(right, i))) for i in range(WORDS)), F.lit(0))
 
 
-def shared_shingles(sets: DataFrame) -> DataFrame:
-    """(id, shared): how many shingles of each set occur in another one of the table."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                found = [np.frombuffer(s.as_py(), np.int64) for s in some.column(1)]
-                ids = np.repeat(np.array(some.column(0).to_pylist(), np.int64), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(np.concatenate(found))], names=["id", "h"]
-                )
-
-    single = (
-        sets.mapInArrow(explode, "id long, h long")
-        .groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("c"))
-        .where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    )
-    return sets.select("id", (F.octet_length("hashes") / 8).cast("long").alias("n")).join(single, "id", "left").select(
-        "id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")
-    )
-
-
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, root) of the buckets whose members are in several components."""
     within = stage(
@@ -154,6 +134,145 @@ def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stage(within.join(mixed, "key", "left_semi"), "open-buckets")
 
 
+def exploded(rows: DataFrame) -> DataFrame:
+    """(g, id, h) of every element of the sets ``d`` of (g, id, d)."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, 2, 256, 1 << 20):
+                found = [np.frombuffer(s, np.int64) for s in some.column(2).to_pylist()]
+                sizes = [len(x) for x in found]
+                if sum(sizes):
+                    each = pa.array(np.repeat(np.arange(len(found)), sizes))
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(0).take(each), some.column(1).take(each), pa.array(np.concatenate(found))], names=["g", "id", "h"]
+                    )
+
+    return rows.select("g", "id", "d").mapInArrow(explode, "g long, id long, h long")
+
+
+def differences(rows: DataFrame) -> DataFrame:
+    """(g, id, root, n, d, m): the ``m`` elements in which ``d`` and the group's ``centre`` differ."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, 4, 256, 1 << 20):
+                found = []
+                for d, centre in zip(some.column(4).to_pylist(), some.column(5).to_pylist()):
+                    there = np.array(centre or [], np.int64).view(np.uint64)
+                    found.append(np.setxor1d(np.frombuffer(d, np.uint64), there, assume_unique=True))
+                yield pa.RecordBatch.from_arrays([
+                    *some.columns[:4], pa.array([x.tobytes() for x in found], pa.binary()),
+                    pa.array([len(x) for x in found], pa.int64()),
+                ], names=["g", "id", "root", "n", "d", "m"])
+
+    columns = rows.select("g", "id", "root", "n", "d", "centre")
+    return columns.mapInArrow(differ, "g long, id long, root long, n long, d binary, m long")
+
+
+def with_roots(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(g, id, n, d, root, size) of the groups that hold several components."""
+    rows = stage(
+        groups.join(labels, "id", "left").select("g", "id", "n", "d", F.coalesce("root", "id").alias("root")), "groups"
+    )
+    sizes = rows.groupBy("g").agg(F.count("*").alias("size"), F.min("root").alias("r"), F.max("root").alias("s"))
+    mixed = stage(sizes.where("r < s").select("g", "size"), "mixed-groups")
+    return stage(rows.join(sized(mixed), "g"), "open-groups")
+
+
+def narrow(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, smaller groups) of groups (g, id, n, d, root, size), by differences to their centres.
+
+    With m differing elements and z = (100 + percent) m - (100 - percent) n, two members are linked
+    exactly when z1 + z2 <= 2 (100 + percent) |D1 and D2|. So those with z1 + z2 <= 0 are linked
+    without a look, to the member of the least z. All others must share elements of D.
+    """
+    more, less = 100 + percent, 100 - percent
+    held = exploded(large).groupBy("g", "h").agg(F.count("*").alias("c"))
+    sizes = stage(large.groupBy("g").agg(F.first("size").alias("size")), "group-sizes")
+    centres = stage(
+        held.join(sized(sizes), "g").where("2 * c > size").groupBy("g").agg(F.array_sort(F.collect_list("h")).alias("centre")), "centres"
+    )
+    rows = stage(differences(large.join(few_bytes(centres, 8 * F.size("centre")), "g", "left")), "differences")
+    z = more * F.col("m") - less * F.col("n")
+    rows = rows.withColumn("z", z)
+    middle = stage(rows.groupBy("g").agg(F.min(F.struct("z", "id")).alias("star")), "stars")
+    near = rows.join(sized(middle), "g")
+    links = near.where("z + star.z <= 0 AND id <> star.id").select(F.least("id", "star.id").alias("a"), F.greatest("id", "star.id").alias("b"))
+    # Elements that one member only differs in are shared with nobody.
+    elements = stage(exploded(rows), "difference-elements")
+    common = elements.groupBy("g", "h").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = stage(elements.join(common, ["g", "h"]), "common-elements")
+    per_member = ranked.groupBy("g", "id").agg(F.count("*").alias("c"))
+    able = near.join(per_member, ["g", "id"]).select("g", "id", "z", "star", "c")
+    # Common elements bound the overlap, and so the z of a partner.
+    able = stage(able.withColumn("reach", 2 * more * F.col("c") - F.col("z")), "able")
+    most = stage(able.groupBy("g").agg(F.max("reach").alias("most")), "reaches")
+    able = able.join(sized(most), "g").where("z <= most AND reach >= star.z")
+    # The rarest elements first: partners share one of the first m - overlap + 1, which begin with those of one member only.
+    least = F.greatest(F.lit(1), F.ceil((F.col("z") + F.col("star.z")) / (2 * more)))
+    able = able.select("g", "id", (F.col("c") - least + 1).alias("prefix"))
+    order = Window.partitionBy("g", "id").orderBy("df", "h")
+    first = ranked.join(able, ["g", "id"]).withColumn("at", F.row_number().over(order)).where("at <= prefix")
+    members = stage(first.select("g", "id", F.xxhash64("g", "h").alias("sub")), "sharing")
+    # Elements that the same members share, such as those around one edit, give one group.
+    alike = [F.count("*").alias("size"), *[F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]]
+    subs = members.groupBy("g", "sub").agg(*alike).where("size > 1").groupBy("g", "size", "s1", "s2").agg(F.min("sub").alias("sub"))
+    members = members.join(sized(stage(subs.select("sub"), "subs")), "sub")
+    smaller = members.join(rows.select("g", "id", "n", "d"), ["g", "id"]).select(F.col("sub").alias("g"), "id", "n", "d")
+    return links, stage(smaller, "smaller-groups")
+
+
+def few_bytes(df: DataFrame, size: Column) -> DataFrame:
+    """With a broadcast hint if the written rows have few enough bytes."""
+    total = df.agg(F.sum(size + 16)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def late_links(mixed: DataFrame, sets: DataFrame, sketches: DataFrame, links: DataFrame, labels: DataFrame, percent: int):
+    """(links, labels) with the links between members of different components in open buckets.
+
+    Buckets that share members form a group. A group of up to ``SMALL`` members is compared pair by
+    pair. A larger one is narrowed down: see ``narrow``. Its smaller groups hold the members that
+    share an element of their differences, which is at most half of it, so the rounds come to an end.
+    """
+    ends = mixed.groupBy("key").agg(F.min("id").alias("a"))
+    edges = mixed.join(ends, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    groups = components(edges).select("id", F.col("root").alias("g"))
+    groups = sets.join(sized(stage(groups, "group-ids")), "id").select(
+        "g", "id", (F.octet_length("hashes") / 8).cast("long").alias("n"), F.col("hashes").alias("d")
+    )
+    bits = sketches.select("id", "sketch")
+    while True:
+        rows = with_roots(groups, labels)
+        if not rows.limit(1).count():
+            return links, labels
+        small = rows.where(F.col("size") <= SMALL)
+        left, right = (
+            small.select("g", F.col("id").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}"), (F.octet_length("d") / 8).cast("long").alias(f"m_{c}"))
+            for c in "ab"
+        )
+        # Sets that differ by so many elements in size differ in as many at least.
+        fits = (100 + percent) * F.abs(F.col("m_a") - F.col("m_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+        pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits)
+        pairs = stage(pairs.select("a", "b").distinct(), "open-pairs")
+        of = lambda c: bits.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+        close = pairs.join(of("a"), "a").join(of("b"), "b").where(differing(F.col("sketch_a"), F.col("sketch_b")) <= MOST_BITS)
+        late = confirm(close.select("a", "b"), sets, percent)
+        groups = rows.where(F.col("size") > SMALL)
+        if groups.limit(1).count():
+            sure, groups = narrow(groups, percent)
+            late = late.unionByName(sure)
+        else:
+            groups = None
+        late = stage(late, "late-links")
+        if late.limit(1).count():
+            links = links.unionByName(late)
+            labels = components(links)
+        if groups is None:
+            return links, labels
+
+
 def digest(text: str) -> Column:
     """128 bits of a text; null if it is null."""
     return F.unhex(F.md5(F.col(text)))
@@ -208,34 +327,7 @@ def near_rows(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_c
     links = stage(confirm(close, sets, percent), "links")
     labels = components(links)
 
-    mixed = open_buckets(members, labels)
-    open_ids = stage(mixed.select("id").distinct(), "open-ids")
-    shared = shared_shingles(sets.join(sized(open_ids), "id", "left_semi"))
-    able = stage(
-        sketches.join(shared, "id").where(100 * F.col("shared") >= percent * F.col("n"))
-        .select("id", "n", "shared", "sketch"), "open-sketches",
-    )
-    own = F.struct("id", "root", "n", "shared", "sketch")
-    for step in ("middle", "all"):
-        rows = mixed.join(able, "id")
-        if step == "middle":  # the member with the least of its own against all others
-            nearest = F.struct(F.col("shared") / F.col("n"), -F.col("id"))
-            right = rows.groupBy("key").agg(F.max_by(own, nearest).alias("other"))
-            ordered = F.lit(True)
-        else:
-            right = rows.select("key", own.alias("other"))
-            ordered = F.col("id") < F.col("other.id")
-        fits = percent * (F.col("n") + F.col("other.n")) <= (100 + percent) * F.least("shared", "other.shared")
-        across = rows.join(right, "key").where(
-            ordered & (F.col("root") != F.col("other.root")) & fits
-            & (differing(F.col("sketch"), F.col("other.sketch")) <= MOST_BITS)
-        )
-        a, b = F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")
-        late = stage(confirm(stage(across.select(a, b).distinct(), "open-candidates"), sets, percent), "late-links")
-        if late.limit(1).count():
-            links = links.unionByName(late)
-            labels = components(links)
-            mixed = open_buckets(mixed.select("key", "id"), labels)
+    links, labels = late_links(open_buckets(members, labels), sets, sketches, links, labels, percent)
     # A component's root is its smallest number, which has its smallest id.
     heads = stage(
         labels.select(F.col("root").alias("id")).distinct().join(nodes, "id")

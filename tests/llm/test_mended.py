@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkcast.llm import huffman, language, packing
+from linkcast.llm import huffman, language, neardup, packing
 from linkcast.llm.tokens import Encoder, vocabulary
 from linkcast.session import stage_root
 
@@ -107,3 +107,60 @@ def test_samples_are_distinct_texts(spark):
     model = language.train(docs, sample=60)
     found = {r.doc_id: r.language.lang_pred for r in language.identify(docs, model).collect()}
     assert {found[k] for k in range(40)} == {"de"}
+
+
+def family(rng, n, words, least, most, kinds=10**9):
+    """Copies of one text with so many words changed, to new words or to one of a few."""
+    base = [f"w{rng.integers(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.choice(words, rng.integers(least, most + 1), replace=False):
+            copy[at] = f"x{rng.integers(kinds)}" if kinds > 100 else f"x{at}-{rng.integers(kinds)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def brute(texts):
+    grams = [{tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    ids = {}
+    for k, g in enumerate(grams):
+        for s in g:
+            ids.setdefault(s, len(ids))
+    table = np.zeros((len(grams), len(ids)), np.float32)
+    for k, g in enumerate(grams):
+        table[k, [ids[s] for s in g]] = 1
+    both = table @ table.T
+    n = table.sum(axis=1)
+    linked = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    root = np.arange(len(texts))
+    while True:
+        least = np.where(linked, root[None, :], len(texts)).min(axis=1)
+        if (least == root).all():
+            return root.tolist()
+        root = least
+
+
+@pytest.mark.parametrize("n, words, least, most, kinds", [
+    (600, 150, 0, 9, 10**9),  # similarities of 0.5 to 1
+    (500, 200, 4, 6, 10**9),  # all of them around the threshold, no centre among the members
+    (500, 150, 3, 8, 2),  # edits repeat: differences are shared
+    (300, 60, 1, 4, 1),
+])
+def test_large_families_against_all_pairs(spark, monkeypatch, n, words, least, most, kinds):
+    rng = np.random.default_rng(n + most)
+    texts = family(rng, n, words, least, most, kinds) + family(rng, 30, 40, 0, 2)
+    widest = []
+    confirm = neardup.confirm
+
+    def counted(pairs, *args):
+        widest.append(pairs.count())
+        return confirm(pairs, *args)
+
+    monkeypatch.setattr(neardup, "confirm", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    want = brute(texts)
+    assert [found[k] for k in range(len(texts))] == want
+    assert 2 < len(set(want)) < len(texts)
+    assert sum(widest) < 40 * len(texts)  # of some hundred pairs per text
