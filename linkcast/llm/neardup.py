@@ -50,7 +50,7 @@ LEAST_ESTIMATE = 0.55
 MOST_BITS = int(BITS / 2 * (1 - math.exp(-4 * BANDS * ROWS * (1 - LEAST_ESTIMATE) / BITS)))
 BROADCAST_ROWS = 300_000  # of one or two numbers each
 BROADCAST_BYTES = 16 << 20
-SMALL = 16  # members of a group that are compared pair by pair
+SMALL = 24  # members of a group that are compared pair by pair
 
 SIGNATURE = "doc_id long, digest binary, n long, high long, low long, keys array<long>, sketch array<long>"
 
@@ -180,6 +180,28 @@ def with_roots(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return stage(rows.join(sized(mixed), "g"), "open-groups")
 
 
+def with_partners(able: DataFrame, common: DataFrame, more: int) -> DataFrame:
+    """The members (g, id, z, star, inside) with ``c`` common elements that can have a link to look for.
+
+    Common elements bound the overlap: partners have z1 <= reach2 and z2 <= reach1, with reach = 2 * more * c - z.
+    Two members that are ``inside`` the component of their group's star need no link. Whether there is
+    a partner depends on a member's numbers only, so it is found on the distinct ones, whose
+    number is bounded by the length of the texts.
+    """
+    per_member = common.groupBy("g", "id").agg(F.count("*").alias("c"))
+    rows = able.join(per_member, ["g", "id"]).withColumn("reach", 2 * more * F.col("c") - F.col("z"))
+    rows = stage(rows.where("reach >= star.z"), "reaches")
+    kinds = stage(rows.select("g", "inside", "z", "reach").distinct(), "kinds")
+    points = kinds.select("g", F.col("z").alias("at"), F.lit(0).alias("asks"), "inside", "z", "reach")
+    asks = kinds.select("g", F.col("reach").alias("at"), F.lit(1).alias("asks"), "inside", "z", "reach")
+    before = Window.partitionBy("g").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    best = lambda inside: F.max(F.when((F.col("asks") == 0) & (F.col("inside") == inside), F.col("reach"))).over(before)
+    seen = points.unionByName(asks).withColumn("within", best(True)).withColumn("without", best(False))
+    enough = F.when(F.col("inside"), F.col("without")).otherwise(F.greatest("within", "without")) >= F.col("z")
+    found = stage(seen.where(F.col("asks").eqNullSafe(1) & enough).select("g", "inside", "z", "reach"), "partners")
+    return rows.join(sized(found), ["g", "inside", "z", "reach"], "left_semi").drop("reach")
+
+
 def narrow(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links, smaller groups) of groups (g, id, n, d, root, size), by differences to their centres.
 
@@ -196,30 +218,27 @@ def narrow(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     rows = stage(differences(large.join(few_bytes(centres, 8 * F.size("centre")), "g", "left")), "differences")
     z = more * F.col("m") - less * F.col("n")
     rows = rows.withColumn("z", z)
-    middle = stage(rows.groupBy("g").agg(F.min(F.struct("z", "id")).alias("star")), "stars")
+    middle = stage(rows.groupBy("g").agg(F.min(F.struct("z", "id", "root")).alias("star")), "stars")
     near = rows.join(sized(middle), "g")
     links = near.where("z + star.z <= 0 AND id <> star.id").select(F.least("id", "star.id").alias("a"), F.greatest("id", "star.id").alias("b"))
-    # Elements that one member only differs in are shared with nobody.
-    elements = stage(exploded(rows), "difference-elements")
-    common = elements.groupBy("g", "h").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = stage(elements.join(common, ["g", "h"]), "common-elements")
-    per_member = ranked.groupBy("g", "id").agg(F.count("*").alias("c"))
-    able = near.join(per_member, ["g", "id"]).select("g", "id", "z", "star", "c")
-    # Common elements bound the overlap, and so the z of a partner.
-    able = stage(able.withColumn("reach", 2 * more * F.col("c") - F.col("z")), "able")
-    most = stage(able.groupBy("g").agg(F.max("reach").alias("most")), "reaches")
-    able = able.join(sized(most), "g").where("z <= most AND reach >= star.z")
+    able = near.selectExpr("g", "id", "z", "star", "root = star.root OR z + star.z <= 0 AS inside")
+    common = stage(exploded(rows), "difference-elements")
+    for _ in range(2):  # the elements of members without a partner count no longer
+        df = common.groupBy("g", "h").agg(F.count("*").alias("df")).where("df > 1")
+        common = stage(common.select("g", "id", "h").join(df, ["g", "h"]), "common-elements")
+        able = stage(with_partners(able.drop("c"), common, more), "able")
+        common = common.join(able.select("g", "id"), ["g", "id"], "left_semi")
     # The rarest elements first: partners share one of the first m - overlap + 1, which begin with those of one member only.
     least = F.greatest(F.lit(1), F.ceil((F.col("z") + F.col("star.z")) / (2 * more)))
     able = able.select("g", "id", (F.col("c") - least + 1).alias("prefix"))
     order = Window.partitionBy("g", "id").orderBy("df", "h")
-    first = ranked.join(able, ["g", "id"]).withColumn("at", F.row_number().over(order)).where("at <= prefix")
+    first = common.join(able, ["g", "id"]).withColumn("at", F.row_number().over(order)).where("at <= prefix")
     members = stage(first.select("g", "id", F.xxhash64("g", "h").alias("sub")), "sharing")
     # Elements that the same members share, such as those around one edit, give one group.
     alike = [F.count("*").alias("size"), *[F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]]
     subs = members.groupBy("g", "sub").agg(*alike).where("size > 1").groupBy("g", "size", "s1", "s2").agg(F.min("sub").alias("sub"))
     members = members.join(sized(stage(subs.select("sub"), "subs")), "sub")
-    smaller = members.join(rows.select("g", "id", "n", "d"), ["g", "id"]).select(F.col("sub").alias("g"), "id", "n", "d")
+    smaller = members.select("g", "sub", "id").join(rows.select("g", "id", "n", "d"), ["g", "id"]).select(F.col("sub").alias("g"), "id", "n", "d")
     return links, stage(smaller, "smaller-groups")
 
 
