@@ -15,6 +15,7 @@ from linkcast.plans import forecast as fc
 from linkcast.plans import precompensation as pre
 from linkcast.plans import reports
 from linkcast.plans.dataset import prepare
+from linkcast.plans.leastsquares import sequence_errors
 from linkcast.session import stage_root
 from linkcast.sources import sinks
 
@@ -26,7 +27,10 @@ SMALL = CFG.with_features(
 FULL = CFG.with_features(availability="asof")  # all horizons and feature families
 
 
-def sets(spark, sf, cfg=FULL):
+def sets(spark, sf, cfg=FULL, horizons=None):
+    """The data sets of the configuration's horizons; only those of ``horizons`` are prepared."""
+    if horizons:
+        cfg = cfg.with_features(horizons=horizons)
     return prepare(events(spark, sf), "value", ["ts", "event_id"], ["series"], cfg, check=False).sets
 
 
@@ -63,19 +67,19 @@ def simple_regression(spark, sf):
 
 @query("linear_regression")
 def linear_regression(spark, sf):
-    ds = sets(spark, sf)[5]
+    ds = sets(spark, sf, horizons=(5,))[5]
     return fc.results_row(fc.fit("linear", ds), ds)
 
 
 @query("random_forest")
 def random_forest(spark, sf):
-    ds = sets(spark, sf)[5]
+    ds = sets(spark, sf, horizons=(5,))[5]
     return fc.results_row(fc.fit("random_forest", ds), ds)
 
 
 @query("gradient_boosting")
 def gradient_boosting(spark, sf):
-    ds = sets(spark, sf)[5]
+    ds = sets(spark, sf, horizons=(5,))[5]
     return fc.results_row(fc.fit("gbt", ds), ds)
 
 
@@ -98,7 +102,7 @@ def level_reconstruction(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    ds = sets(spark, sf)[5]
+    ds = sets(spark, sf, horizons=(5,))[5]
     forest = fc.importance(fc.fit("random_forest", ds), 5, spark)
     linear = fc.importance(fc.fit("linear", ds), 5, spark)
     return reports.top_features(forest.unionByName(linear), 15)
@@ -109,7 +113,7 @@ def importance_csv(spark, sf):
     """Importance written per model and horizon, and read back."""
     import uuid
 
-    ds = sets(spark, sf)[5]
+    ds = sets(spark, sf, horizons=(5,))[5]
     path = f"{stage_root(spark)}/linkcast-importance-{uuid.uuid4().hex}"
     sinks.write_importance(fc.importance(fc.fit("random_forest", ds), 5, spark), path)
     schema = "feature string, importance double, rank int, model string, horizon int"
@@ -119,7 +123,7 @@ def importance_csv(spark, sf):
 @query("parameter_search")
 def parameter_search(spark, sf):
     """Trials of a sampled grid, judged on the validation rows."""
-    ds = sets(spark, sf)[5]
+    ds = sets(spark, sf, horizons=(5,))[5]
     grid = {"learning_rate": [0.05, 0.1], "n_estimators": [3, 5], "max_depth": [2, 3], "subsample": [0.8, 1.0]}
     return fc.tune("gbt", ds, grid, max_trials=3)[1]
 
@@ -132,7 +136,7 @@ def train_horizons(spark, sf):
 
 @query("batch_scoring")
 def batch_scoring(spark, sf):
-    ds = sets(spark, sf)[5]
+    ds = sets(spark, sf, horizons=(5,))[5]
     scored = fc.scored_levels(fc.fit("linear", ds).score(ds.part("test")))
     return scored.select("series", "seq", "level", "predicted_level", "residual")
 
@@ -149,10 +153,38 @@ def lookback_forecaster(spark, sf):
     return fc.results_row(fc.fit("linear", ds), ds).withColumn("lookback", F.lit(lookback))
 
 
+_STEPS = 10
+
+
+@query("lookback_sequence_output", f"""WITH {SIG},
+b AS (SELECT series, floor(n * 0.7::DOUBLE) AS v, floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) AS t
+      FROM (SELECT series, greatest(max(seq) + 1 - {_STEPS}, 0) AS n FROM sig GROUP BY series)),
+st AS (SELECT series, avg(x) AS c, stddev_pop(x) AS s FROM sig JOIN b USING (series) WHERE seq <= v - {_STEPS + 2} GROUP BY series),
+l AS (SELECT series, seq, x, unnest(range(1, {_STEPS + 1})) AS step FROM sig),
+w AS (SELECT *, lead(x, step) OVER (PARTITION BY series, step ORDER BY seq) AS y,
+             max(seq) OVER (PARTITION BY series) - {_STEPS} AS last FROM l),
+n AS (SELECT series, step, (x - c) / s AS f, (y - c) / s AS y, s,
+             CASE WHEN seq < v THEN 'train' WHEN seq < t THEN 'val' ELSE 'test' END AS split
+      FROM w JOIN b USING (series) JOIN st USING (series)
+      WHERE seq <= last AND (seq < v - {_STEPS + 1} OR seq >= v) AND (seq < t - {_STEPS + 1} OR seq >= t)),
+m AS (SELECT step, regr_slope(y, f) AS a, regr_intercept(y, f) AS b0 FROM n WHERE split = 'train' GROUP BY step),
+e AS (SELECT split, step::INTEGER AS step, (y - b0 - a * f) * s AS e, y * s AS ys FROM n JOIN m USING (step))
+SELECT split, step, {r('sqrt(avg(e * e))', 'rmse')}, {r('1 - sum(e * e) / (var_pop(ys) * count(*))', 'r2')}, count(*) AS n, 0.0::DOUBLE AS ridge
+FROM e GROUP BY split, step""")
+def lookback_sequence_output(spark, sf):
+    """Errors of every step of a sequence forecast, in decibels, from one pass over normalised windows."""
+    sig = db_signal(spark, sf)
+    bounds = sequence_split(sig, 1, _STEPS, CFG.split, purge=1 + _STEPS)
+    stats = sequence_stats(sig, bounds, 1, "standard", "x")
+    windows = label_sequences(make_sequences(sig, 1, _STEPS, True, "x"), bounds, ["series"], sig.n_series)
+    windows = normalize_sequences(windows, stats, ["series"], sig.n_series, ("X", "y"))
+    return rounded(sequence_errors(windows, "series", stats)[1])
+
+
 @query("error_by_trees")
 def error_by_trees(spark, sf):
     """Validation error after each tree, the basis of a patience rule."""
-    ds = sets(spark, sf)[5]
+    ds = sets(spark, sf, horizons=(5,))[5]
     return fc.error_by_trees(fc.fit("gbt", ds), ds.part("val"))
 
 

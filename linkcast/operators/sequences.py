@@ -99,10 +99,13 @@ def sequence_stats(
     return stats.withColumn("scale", F.when(scale < 1e-8, 1.0).otherwise(scale))
 
 
-def normalize_sequences(df: DataFrame, stats: DataFrame, keys: Sequence[str], n_series: int):
+def normalize_sequences(
+    df: DataFrame, stats: DataFrame, keys: Sequence[str], n_series: int, cols: Sequence[str] = ("X",)
+):
+    """The arrays of ``cols`` by their series' center and scale."""
     j = join_by_keys(df, stats, keys, n_series)
-    scaled = F.transform("X", lambda v: (v - F.col("center")) / F.col("scale"))
-    return j.withColumn("X", scaled).select(df.columns)
+    scaled = {c: F.transform(c, lambda v: (v - F.col("center")) / F.col("scale")) for c in cols}
+    return j.withColumns(scaled).select(df.columns)
 
 
 def denormalize(df: DataFrame, stats: DataFrame, keys: Sequence[str], n_series: int, col: str):

@@ -5,15 +5,16 @@ from __future__ import annotations
 import logging
 import random
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 from math import prod
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -45,6 +46,8 @@ GBT_PARAMS = {
     "feature_fraction": "featureSubsetStrategy",
 }
 UNLIMITED_DEPTH = 30  # the deepest tree that MLlib grows
+TRAIN_ROWS = 50_000  # training rows a partition holds while trees grow
+TREE_MEMORY_MB = 512  # statistics of nodes that grow in one pass
 
 
 def gbt_settings(params: Mapping) -> dict:
@@ -72,6 +75,8 @@ class Fitted:
     complexity: int
     training_time: float
     last_value: str | None = None  # of a naive forecast of levels: the newest sample known
+    grown: GBTRegressionModel | None = None  # all trees of a boosted model that was shortened
+    stage_errors: tuple[float, ...] = ()  # validation error after each grown tree
 
     def score(self, df: DataFrame) -> DataFrame:
         if self.model is None:
@@ -96,35 +101,73 @@ def _linear(ds: Dataset, params, seed) -> Fitted:
     return Fitted("Linear Regression", model, ds.features, len(ds.features) + 1, 0.0)
 
 
+@contextmanager
+def training_vectors(ds: Dataset, columns: Sequence[str] = ()) -> Iterator[tuple[VectorAssembler, DataFrame]]:
+    """The assembler and the assembled training rows, kept in partitions sized by rows.
+
+    Trees read them once per level; many small files would be a task each, every time.
+    """
+    assemble = _assemble(ds.features)
+    rows = ds.df if columns else ds.part("train")
+    parts = -(-max(1, rows.count()) // TRAIN_ROWS)
+    kept = assemble.transform(rows).select("features", "y", *columns).repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield assemble, kept
+    finally:
+        kept.unpersist()
+
+
 def _forest(ds: Dataset, params, seed) -> Fitted:
-    settings = dict(numTrees=100, maxDepth=10, featureSubsetStrategy="all") | dict(params)
+    settings = dict(
+        numTrees=100, maxDepth=10, featureSubsetStrategy="all", maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True,
+    ) | dict(params)
     est = RandomForestRegressor(labelCol="y", seed=seed, **settings)
-    model = Pipeline(stages=[_assemble(ds.features), est]).fit(ds.part("train"))
+    with training_vectors(ds) as (assemble, rows):
+        model = PipelineModel([assemble, est.fit(rows)])
     return Fitted("Random Forest", model, ds.features, model.stages[-1].totalNumNodes, 0.0)
 
 
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first ``n`` trees: what boosting had after so many steps."""
+    spark = SparkSession.active()
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    kinds = jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(kinds.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(jvm.double, n)
+    for i, tree in enumerate(model.trees[:n]):
+        trees[i] = tree._java_obj
+        weights[i] = float(model.treeWeights[i])
+    out = GBTRegressionModel(kinds.GBTRegressionModel(f"{model.uid}_{n}", trees, weights, model.numFeatures))
+    return out._set(featuresCol=model.getFeaturesCol(), predictionCol=model.getPredictionCol())
+
+
 def _boosting(ds: Dataset, params, seed) -> Fitted:
     """Boosted trees with early stopping.
 
     ``early_stopping_rounds`` (default 50) grows all trees, reads the validation
-    error after each and grows again only as many as were best. 0 leaves the
+    error after each in one pass and keeps as many of them as were best. 0 leaves the
     stopping to MLlib, which ends at the first tree that gains too little.
     """
     settings = dict(learning_rate=0.1, n_estimators=300, max_depth=5) | dict(params)
     patience = settings.pop("early_stopping_rounds", 50)
-    est = GBTRegressor(labelCol="y", seed=seed, **gbt_settings(settings))
-    assemble, trained = _assemble(ds.features), ds.part("train")
+    est = GBTRegressor(labelCol="y", seed=seed, maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True, **gbt_settings(settings))
     if not patience:
         est.setValidationIndicatorCol("is_val")
-        trained = ds.df.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
-    model = Pipeline(stages=[assemble, est]).fit(trained)
-    if patience:
-        val = assemble.transform(ds.part("val")).select("features", "y")
-        errors = model.stages[-1].evaluateEachIteration(val, "squared")
-        best = best_tree_count(errors, patience)
-        if best < len(errors):
-            model = Pipeline(stages=[assemble, est.copy({est.maxIter: best})]).fit(trained)
-    return Fitted("Gradient Boosting", model, ds.features, model.stages[-1].totalNumNodes, 0.0)
+        with training_vectors(ds, ["split"]) as (assemble, rows):
+            rows = rows.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
+            model = PipelineModel([assemble, est.fit(rows)])
+        return Fitted("Gradient Boosting", model, ds.features, model.stages[-1].totalNumNodes, 0.0)
+    with training_vectors(ds) as (assemble, rows):
+        grown = est.fit(rows)
+    val = assemble.transform(ds.part("val")).select("features", "y")
+    # Without validation rows there is nothing to read: all trees stay.
+    errors = grown.evaluateEachIteration(val, "squared") if val.limit(1).count() else []
+    best = best_tree_count(errors, patience) if errors else grown.getNumTrees
+    kept = grown if best == grown.getNumTrees else first_trees(grown, best)
+    return Fitted(
+        "Gradient Boosting", PipelineModel([assemble, kept]), ds.features, kept.totalNumNodes, 0.0,
+        grown=grown, stage_errors=tuple(errors),
+    )
 
 
 FORECASTERS: dict[str, Callable] = {
@@ -177,29 +220,37 @@ def results_row(fitted: Fitted, ds: Dataset) -> DataFrame:
     """One results row: errors per split, times, complexity and sizes."""
     spark = ds.df.sparkSession
     start = time.perf_counter()
-    fitted.score(ds.part("test")).write.format("noop").mode("overwrite").save()
+    scored = fitted.score(ds.part("test")).select("split", "y", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+    n_test = scored.count()
     seconds = time.perf_counter() - start
-    per = {r.split: r for r in metrics(fitted.score(ds.df), ["split"]).collect()}
+    others = fitted.score(ds.df.where(F.col("split") != "test")).select("split", "y", "prediction")
+    per = {r.split: r for r in metrics(scored.unionByName(others), ["split"]).collect()}
+    scored.unpersist()
     train, val, test = (per.get(s) for s in ("train", "val", "test"))
     get = lambda r, k: None if r is None else r[k]
-    n_test = get(test, "n") or 0
     row = (
         fitted.name, ds.horizon, ds.target_kind,
         get(train, "rmse"), get(val, "rmse"), get(test, "rmse"), get(test, "mae"), get(test, "r2"),
         get(test, "residual_variance"), get(test, "pred_variance"), get(test, "target_variance"),
         get(train, "residual_variance"), fitted.training_time,
         seconds / n_test * 1000 if n_test else 0.0,
-        fitted.complexity, get(train, "n") or 0, n_test,
+        fitted.complexity, get(train, "n") or 0, n_test, None,
     )
     return spark.createDataFrame([row], RESULT_SCHEMA)
 
 
+def failed_row(name: str, ds: Dataset, reason: str) -> DataFrame:
+    """A results row without numbers for a model that could not be fitted or judged."""
+    empty = [None] * (len(RESULT_SCHEMA.split(",")) - 4)
+    return ds.df.sparkSession.createDataFrame([(name, ds.horizon, ds.target_kind, *empty, reason)], RESULT_SCHEMA)
+
+
 RESULT_SCHEMA = (
     "model_name string, horizon int, target_kind string, train_rmse double, val_rmse double, "
     "test_rmse double, test_mae double, test_r2 double, residual_variance double, "
     "pred_variance double, target_variance double, precomp_variance_train double, "
     "training_time double, inference_time_per_sample_ms double, model_complexity long, "
-    "n_train_samples long, n_test_samples long"
+    "n_train_samples long, n_test_samples long, error string"
 )
 
 
@@ -245,7 +296,10 @@ def tune(
     seed: int = 42,
     parallel: int = 4,
 ) -> tuple[dict | None, DataFrame]:
-    """Best parameters by validation error (first wins) and the table of trials."""
+    """Best parameters by validation error (first wins) and the table of trials.
+
+    A trial that fails is a row without errors, with the reason.
+    """
     spark = ds.df.sparkSession
     points = sample_grid(GBT_GRID if grid is None else grid, max_trials, seed)
     ds.df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -255,21 +309,23 @@ def tune(
         try:
             fitted = fit(name, ds, params, seed)
             per = {r.split: r.rmse for r in metrics(fitted.score(ds.df), ["split"]).collect()}
-            return i, params, per["val"], per["train"], fitted.training_time
-        except Exception as exc:  # a failed trial is skipped, the search goes on
+            return i, params, per["val"], per["train"], fitted.training_time, None
+        except Exception as exc:  # the search goes on
             log.warning("trial %d failed: %s", i, exc)
-            return None
+            return i, params, None, None, None, str(exc)[:300]
 
     try:
         with ThreadPoolExecutor(parallel) as pool:
-            done = [t for t in pool.map(trial, enumerate(points)) if t is not None]
+            done = list(pool.map(trial, enumerate(points)))
     finally:
         ds.df.unpersist()
-    rows = [(i, {k: str(v) for k, v in p.items()}, v, t, s) for i, p, v, t, s in done]
+    rows = [(i, {k: str(v) for k, v in p.items()}, *rest) for i, p, *rest in done]
     table = spark.createDataFrame(
-        rows, "trial int, params map<string,string>, val_rmse double, train_rmse double, training_time double"
+        rows,
+        "trial int, params map<string,string>, val_rmse double, train_rmse double, training_time double, error string",
     )
-    best = min(done, key=lambda t: (t[2], t[0]), default=None)
+    judged = [t for t in done if t[2] is not None]
+    best = min(judged, key=lambda t: (t[2], t[0]), default=None)
     return (best[1] if best else None), table
 
 
@@ -281,8 +337,11 @@ def train_horizons(
     grid: Mapping | None = None,
     max_trials: int = 0,
     seed: int = 42,
-) -> dict[int, tuple[Fitted, DataFrame, DataFrame | None]]:
-    """Per horizon: the model, its results row and its feature importance."""
+) -> dict[int, tuple[Fitted | None, DataFrame, DataFrame | None]]:
+    """Per horizon: the model, its results row and its feature importance.
+
+    A horizon without training rows has no model and a row that says so.
+    """
     out = {}
     for h in horizons:
         if h not in sets:
@@ -290,7 +349,7 @@ def train_horizons(
             continue
         ds, chosen = sets[h], params
         if not ds.part("train").limit(1).count():
-            log.warning("horizon %d has no rows to train on; skipped", h)
+            out[h] = (None, failed_row(name, ds, "no rows to train on"), None)
             continue
         if max_trials:
             chosen, _ = tune(name, ds, grid, max_trials, seed)
@@ -301,16 +360,16 @@ def train_horizons(
 
 
 def error_by_trees(fitted: Fitted, df: DataFrame) -> DataFrame:
-    """Mean squared error after each tree of a boosted model."""
-    model = fitted.model.stages[-1]
+    """Mean squared error after each grown tree of a boosted model, from one scoring pass."""
+    model = fitted.grown or fitted.model.stages[-1]
     vectors = fitted.model.stages[0].transform(df)
     errors = model.evaluateEachIteration(vectors, "squared")
     rows = [(i + 1, float(e)) for i, e in enumerate(errors)]
     return df.sparkSession.createDataFrame(rows, "trees int, mse double")
 
 
-class EarlyStopping:
-    """Patience rule: stop after ``patience`` steps that gain no more than ``min_delta``."""
+class PatienceRule:
+    """Stop after ``patience`` steps that gain no more than ``min_delta``."""
 
     def __init__(self, patience: int = 10, min_delta: float = 0.0, mode: str = "min"):
         if mode not in ("min", "max"):
@@ -330,7 +389,7 @@ class EarlyStopping:
 
 def best_tree_count(errors: Sequence[float], patience: int = 50, min_delta: float = 0.0) -> int:
     """Trees to keep when the per-tree errors are read with a patience rule."""
-    rule = EarlyStopping(patience, min_delta)
+    rule = PatienceRule(patience, min_delta)
     for trees, error in enumerate(errors, 1):
         if rule.stop_after(trees, error):
             break

@@ -8,6 +8,7 @@ table has that column.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from linkcast.config import BASELINE_RMSE
 from linkcast.functions.scalar import improvement_pct, increase_pct, samples_to_ms
-from linkcast.plans.forecast import fit, log, results_row
+from linkcast.plans.forecast import failed_row, fit, log, results_row
 
 
 def append_results(parts: Sequence[DataFrame]) -> DataFrame:
@@ -23,18 +24,22 @@ def append_results(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def evaluation_matrix(sets: Mapping, models: Mapping[str, Mapping], seed: int = 42) -> DataFrame:
-    """Every model on every horizon; a failing pair is logged and left out."""
-    rows = []
-    for h, ds in sets.items():
-        for name, params in models.items():
-            try:
-                rows.append(results_row(fit(name, ds, params, seed), ds))
-            except Exception as exc:
-                log.warning("%s at horizon %s failed: %s", name, h, exc)
-    if not rows:
-        raise ValueError("no model could be evaluated")
-    return append_results(rows)
+def evaluation_matrix(sets: Mapping, models: Mapping[str, Mapping], seed: int = 42, parallel: int = 4) -> DataFrame:
+    """Every model on every horizon, some at a time; a pair that fails is a row with the reason."""
+
+    def judge(pair):
+        ds, name, params = pair
+        try:
+            return results_row(fit(name, ds, params, seed), ds)
+        except Exception as exc:
+            log.warning("%s at horizon %s failed: %s", name, ds.horizon, exc)
+            return failed_row(name, ds, str(exc)[:300])
+
+    pairs = [(ds, name, params) for ds in sets.values() for name, params in models.items()]
+    if not pairs:
+        raise ValueError("no model or no horizon to evaluate")
+    with ThreadPoolExecutor(parallel) as pool:
+        return append_results(list(pool.map(judge, pairs)))
 
 
 def _group(df: DataFrame) -> list[str]:

@@ -11,18 +11,24 @@ class Seen(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", [
-    "linear_regression", "random_forest", "gradient_boosting", "feature_importance", "importance_csv",
-    "train_horizons", "batch_scoring", "error_by_trees", "evaluation_matrix", "horizon_summary", "parameter_search",
+ONE = (5,)
+
+
+@pytest.mark.parametrize("name, horizons", [
+    *[(n, ONE) for n in (
+        "linear_regression", "random_forest", "gradient_boosting", "feature_importance", "importance_csv", "batch_scoring",
+        "error_by_trees", "parameter_search",
+    )],
+    ("train_horizons", HORIZONS), ("evaluation_matrix", HORIZONS), ("horizon_summary", HORIZONS),
 ])
-def test_all_horizons_and_families(spark, monkeypatch, name):
+def test_all_families_of_the_horizons_fitted(spark, monkeypatch, name, horizons):
     def prepare(df, value, order, keys, cfg, **_):
         raise Seen(cfg.features)
 
     monkeypatch.setattr(models, "prepare", prepare)
     with pytest.raises(Seen) as found:
         QUERIES[name](spark, SF)
-    assert found.value.args[0] == FeatureConfig(availability="asof") and found.value.args[0].horizons == HORIZONS
+    assert found.value.args[0] == FeatureConfig(availability="asof", horizons=horizons)
 
 
 @pytest.mark.parametrize("name", ["random_forest", "gradient_boosting", "error_by_trees"])
@@ -30,7 +36,7 @@ def test_default_trees(spark, monkeypatch, name):
     def fit(kind, ds, params=None, seed=42):
         raise Seen(params)
 
-    monkeypatch.setattr(models, "sets", lambda *_: {5: None})
+    monkeypatch.setattr(models, "sets", lambda *_, **__: {5: None})
     monkeypatch.setattr(models.fc, "fit", fit)
     with pytest.raises(Seen) as found:
         QUERIES[name](spark, SF)

@@ -115,9 +115,9 @@ def test_constant_columns_scale_by_one(make_signal):
 
 def test_validation(spark):
     bad = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (4.0,), (float("inf"),), (None,)], "v double")
-    with pytest.raises(ValueError, match="2 NaN.*1 infinite"):
+    with pytest.raises(ValueError, match="v has 2 missing values, v has 1 infinite values"):
         validate(bad, ["v"])
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         validate(bad.where("v > 1e9 and v < 1e8"), ["v"])
     assert validate(bad.where("v < 3"), ["v"])["n_rows"] == 2
 

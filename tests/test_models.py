@@ -45,8 +45,12 @@ def test_linear_equals_least_squares(linear_set):
 def test_boosting_stops_and_saves(linear_set, tmp_path):
     ds, _, _ = linear_set
     fitted = fc.fit("gbt", ds, {"n_estimators": 4, "max_depth": 2, "early_stopping_rounds": 2})
-    errors = fc.error_by_trees(fitted, ds.part("val")).orderBy("trees").collect()
-    assert 1 <= len(errors) <= 4
+    errors = [r.mse for r in fc.error_by_trees(fitted, ds.part("val")).orderBy("trees").collect()]
+    assert len(errors) == 4 and np.allclose(errors, fitted.stage_errors)
+    kept = fitted.model.stages[-1].getNumTrees
+    assert kept == fc.best_tree_count(errors, 2)
+    val = fitted.score(ds.part("val")).selectExpr("avg(pow(y - prediction, 2))").first()[0]
+    np.testing.assert_allclose(val, errors[kept - 1])
     path = str(tmp_path / "model")
     sinks.save_model(fitted.model, path)
     again = sinks.load_model(path).transform(ds.part("test")).select("prediction").toPandas()
@@ -54,8 +58,40 @@ def test_boosting_stops_and_saves(linear_set, tmp_path):
     pd.testing.assert_frame_equal(first, again)
 
 
+def test_the_first_trees_are_what_boosting_had(linear_set, tmp_path):
+    """The same seed grows the same trees, so a short run equals the start of a long one."""
+    ds, _, _ = linear_set
+    long = fc.fit("gbt", ds, {"n_estimators": 6, "max_depth": 2, "early_stopping_rounds": 6})
+    for n in (1, 3):
+        short = fc.fit("gbt", ds, {"n_estimators": n, "max_depth": 2, "early_stopping_rounds": n})
+        cut = fc.first_trees(long.grown, n)
+        assert cut.getNumTrees == n and cut.numFeatures == 3
+        vectors = long.model.stages[0].transform(ds.part("test"))
+        one = cut.transform(vectors).select("prediction").toPandas()
+        two = fc.first_trees(short.grown, n).transform(vectors).select("prediction").toPandas()
+        pd.testing.assert_frame_equal(one, two)
+
+
+def test_a_set_without_validation_rows_keeps_all_trees(linear_set):
+    ds, _, _ = linear_set
+    bare = Dataset(ds.df.where("split <> 'val'"), None, ds.features, 5, ds.keys)
+    fitted = fc.fit("gbt", bare, {"n_estimators": 3, "max_depth": 2})
+    assert fitted.model.stages[-1].getNumTrees == 3 and fitted.stage_errors == ()
+    row = fc.results_row(fitted, bare).first()
+    assert row.val_rmse is None and row.test_rmse > 0 and row.error is None
+
+
+def test_failing_pairs_are_rows(linear_set):
+    ds, _, _ = linear_set
+    table = reports.evaluation_matrix({5: ds}, {"naive": {}, "linear": {"maxIter": -1}}).collect()
+    assert {(r.model_name, r.test_rmse is None, r.error is None) for r in table} == {("Naive", False, True), ("linear", True, False)}
+    none = Dataset(ds.df.where("split = 'test'"), None, ds.features, 7, ds.keys)
+    done = fc.train_horizons({5: ds, 7: none}, "linear", [5, 7])
+    assert done[7][0] is None and done[7][1].first().error == "no rows to train on" and done[5][1].first().error is None
+
+
 def test_gbt_settings():
-    assert fc.gbt_settings({"max_depth": None, "subsample": 0.8}) == {"maxDepth": 10, "subsamplingRate": 0.8}
+    assert fc.gbt_settings({"max_depth": None, "subsample": 0.8}) == {"maxDepth": 30, "subsamplingRate": 0.8}
     assert fc.gbt_settings({"colsample_bytree": 1.0})["featureSubsetStrategy"] == "all"
     with pytest.raises(ValueError):
         fc.gbt_settings({"reg_alpha": 1.0})
@@ -69,21 +105,22 @@ def test_grid_samples():
     assert len(fc.sample_draws({"a": [1, 2]}, 5)) == 5
 
 
-def test_search_skips_failures(linear_set):
+def test_search_keeps_failures_as_rows(linear_set):
     ds, _, _ = linear_set
     best, trials = fc.tune("linear", ds, {"regParam": [0.0, 5.0], "maxIter": [10, -1]}, 10)
-    assert best["regParam"] == 0.0 and trials.count() == 2
+    assert best["regParam"] == 0.0 and trials.where("error IS NULL").count() == 2
+    assert trials.where("error IS NOT NULL AND val_rmse IS NULL").count() == 2
 
 
 def test_patience():
-    rule = fc.EarlyStopping(patience=2, min_delta=0.1)
+    rule = fc.PatienceRule(patience=2, min_delta=0.1)
     stops = [rule.stop_after(i, v) for i, v in enumerate([1.0, 0.95, 0.5, 0.45, 0.44])]
     assert stops == [False, False, False, False, True] and rule.best_step == 2
-    up = fc.EarlyStopping(patience=1, mode="max")
+    up = fc.PatienceRule(patience=1, mode="max")
     assert [up.stop_after(i, v) for i, v in enumerate([1, 2, 2])] == [False, False, True]
     assert fc.best_tree_count([3.0, 2.0, 1.0, 1.5, 1.6, 0.1], patience=2) == 3
     with pytest.raises(ValueError):
-        fc.EarlyStopping(mode="other")
+        fc.PatienceRule(mode="other")
 
 
 def test_unknown_names(linear_set):
