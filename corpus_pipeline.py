@@ -30,9 +30,18 @@ from linkcast.llm.tokens import vocabulary
 from linkcast.session import stage
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the input does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = lang.identify(docs, lang.train(docs), out_col="_language")
-    return found.where("NOT _language.rejected").drop("_language")
+    col = unused(docs, "found")
+    found = lang.identify(docs, lang.train(docs), out_col=col)
+    return found.where(f"NOT {col}.rejected").drop(col)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,22 +50,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = near_rows(docs).where("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    found = stage(rows.agg(F.bool_and("first").alias("_first"), F.count("*").alias("_n")), "copies")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest("text") == F.col("_digest"))
-    changed = stage(found.where("NOT _first OR _n > 1"), "changed")
-    left = docs.join(sized(changed.select("_id", "_digest")), same, "left_anti")
-    repeated = changed.where("_first").select("_id", "_digest")
+    rows = near_rows(docs).where("n_shingles > 0").groupBy("doc_id", "digest")
+    found = stage(rows.agg(F.bool_and("first").alias("first"), F.count("*").alias("n")), "copies")
+    changed = stage(found.where("NOT first OR n > 1"), "changed")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = docs.select(row, F.col("doc_id").cast("long").alias("a_id"), digest("text").alias("a_digest"))
+    same = F.col("a_id").eqNullSafe(F.col("doc_id")) & (F.col("a_digest") == F.col("digest"))
+    left = whole.join(sized(changed.select("doc_id", "digest")), same, "left_anti").select("row.*")
+    repeated = changed.where("first").select("doc_id", "digest")
     if not repeated.limit(1).count():
         return left
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = docs.join(sized(repeated), same).groupBy("_id", "_digest").agg(F.first(row).alias("row"))
+    # The least of equal rows, so that a task that runs again chooses the same.
+    one = whole.join(sized(repeated), same).groupBy("doc_id", "digest").agg(F.min("row").alias("row"))
     return left.unionByName(one.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     indexes = decontam.build(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontam.find_leaks(docs, indexes, out_col="_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+    col = unused(docs, "found")
+    return decontam.find_leaks(docs, indexes, out_col=col).where(F.size(col) == 0).drop(col)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
