@@ -39,7 +39,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 DIGITS = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![@A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![@A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?(?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
 LOCAL = r"(?<![0-9+().-])(?<!\+[0-9]{1,3} ?)(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
@@ -120,6 +121,15 @@ def _digits(value: Column) -> Column:
     return F.length(F.regexp_replace(value, "[^0-9]", ""))
 
 
+def iban(value: Column) -> Column:
+    """Whether the check digits of an international account number are right (ISO 7064, mod 97)."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    moved = F.split(F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4))), "")
+    number = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    add = lambda a, c: let(number(c), lambda v: F.when(v > 9, a * 100 + v).otherwise(a * 10 + v) % 97)
+    return F.aggregate(F.filter(moved, lambda c: c != ""), F.lit(0), add) == 1
+
+
 def _votes(kind: str, m: Column) -> list[Column]:
     """Votes of the labelers in their order: 1 for, -1 against, 0 none."""
     value, before, after = m["value"], m["before"], m["after"]
@@ -130,14 +140,14 @@ def _votes(kind: str, m: Column) -> list[Column]:
         "card": r"^(?:[0-9]{15,16}|(?:[0-9]{4}[ -]){3}[0-9]{4})$",
         "phone": r"^\+[0-9]{1,3}[ (]",
         "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?:AKIA|ghp_|sk-|xox).*)$",
-        "account": r"^[0-9]{15,16}$",
+        "account": r"^[A-Z]{2}",
         "local_phone": r"^\(",
     }
     strict = value.rlike(forms[kind])
     floor = {"secret": 8, "email": 5}.get(kind, 4)
     against = F.lit(-1 if kind in ("secret", "account") else 0)
-    if kind == "account":
-        strict, against = F.lit(False), F.lit(-1)  # its check digit is wrong
+    if kind == "account":  # a number whose check digit is wrong, or an international one
+        strict = strict & F.when(strict, iban(value)).otherwise(False)
     quoted = before.rlike(r"[=:]\s?[\"']?$") | (before.rlike(r"[\"']$") & after.rlike(r"^[\"']"))
     glued = before.rlike(r"[A-Za-z0-9]$") | after.rlike(r"^[A-Za-z0-9]")
     return [
@@ -148,8 +158,11 @@ def _votes(kind: str, m: Column) -> list[Column]:
     ]
 
 
-def _features(m: Column) -> Column:
-    """Categories of a span for the final classifier, one character each."""
+CATEGORIES = 5
+
+
+def _features(m: Column, form: Column) -> Column:
+    """Categories of a span for the final classifier, one character each; ``form`` is the vote on the value."""
     value = m["value"]
     share = F.floor(4 * _digits(value) / F.greatest(F.length(value), F.lit(1))).cast("string")
     size = F.least(F.floor(F.length(value) / 8), F.lit(9)).cast("string")
@@ -157,7 +170,7 @@ def _features(m: Column) -> Column:
         F.when(c == "", "e").when(c.rlike(at[0] + r"[A-Za-z0-9]" + at[1]), "w")
         .when(c.rlike(at[0] + r"\s" + at[1]), "s").when(c.rlike(at[0] + r"[\"'=:]" + at[1]), "q").otherwise("o")
     )
-    return F.concat(share, size, side(m["before"], ("", "$")), side(m["after"], ("^", "")))
+    return F.concat(share, size, side(m["before"], ("", "$")), side(m["after"], ("^", "")), (form + 1).cast("string"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,21 +189,21 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             look(F.contains("text", F.lit("+")), PHONE), lambda m: _digits(m["value"]).between(9, 15)
         ).alias("phone"),
         look(digit, SECRET).alias("secret"),
+        look(digit, IBAN).alias("iban"),
         look(digit, LOCAL).alias("local_phone"),
     )
     sized = F.filter("numbers", lambda m: _digits(m["value"]).between(12, 19))
     found = found.withColumn("sized", sized).select(
         "*",
         F.filter("sized", lambda m: luhn(m["value"])).alias("card"),
-        F.filter("sized", lambda m: ~luhn(m["value"])).alias("account"),
+        F.concat(F.filter("sized", lambda m: ~luhn(m["value"])), "iban").alias("account"),
     )
 
     def judged(k: int, kind: str) -> Column:
-        return F.transform(kind, lambda m: F.struct(
+        return F.transform(kind, lambda m: let(F.array(*_votes(kind, m)), lambda votes: F.struct(
             F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
-            F.lit(kind in BASE).alias("base"),
-            F.array(*_votes(kind, m)).alias("votes"), _features(m).alias("features"),
-        ))
+            F.lit(kind in BASE).alias("base"), votes.alias("votes"), _features(m, F.get(votes, 0)).alias("features"),
+        )))
 
     return found.select("doc_id", F.concat(*[judged(k, kind) for k, kind in enumerate(KINDS)]).alias("spans"))
 
@@ -229,7 +242,7 @@ def fit_classifier(spans: DataFrame, posterior: dict[tuple, float]) -> dict[str,
     """Log-odds of naive Bayes by "kind", and by "kind:position:category", from soft labels."""
     key = F.concat_ws(":", F.col("kind").cast("string"), F.concat_ws(",", F.col("votes").cast("array<string>")))
     table = {f"{k}:{','.join(map(str, v))}": p for (k, v), p in posterior.items()}
-    # At most kinds * 5 * 10 * 5 * 5 rows.
+    # At most kinds * 5 * 10 * 5 * 5 * 3 rows.
     sums = (
         spans.select("kind", "features", F.element_at(_literal_map(table), key).alias("p"))
         .groupBy("kind", "features")
@@ -263,7 +276,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def score(s: Column) -> Column:
         kind = s["kind"].cast("string")
         weights = [kind, *(
-            F.concat(kind, F.lit(f":{i}:"), F.substring(s["features"], i + 1, 1)) for i in range(4)
+            F.concat(kind, F.lit(f":{i}:"), F.substring(s["features"], i + 1, 1)) for i in range(CATEGORIES)
         )]
         log_odds = sum((F.coalesce(F.element_at(odds, w), F.lit(0.0)) for w in weights), F.lit(0.0))
         return F.round(1 / (1 + F.exp(-log_odds)), 6)
@@ -295,5 +308,6 @@ def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
     counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     base = F.filter("spans", lambda s: s["base"])
     return found.select(
-        "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+        "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+        *[number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS) if kind in EXTRA], F.size("spans").cast("long").alias("n_spans"),
     )
