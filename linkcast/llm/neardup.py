@@ -50,7 +50,8 @@ LEAST_ESTIMATE = 0.55
 MOST_BITS = int(BITS / 2 * (1 - math.exp(-4 * BANDS * ROWS * (1 - LEAST_ESTIMATE) / BITS)))
 BROADCAST_ROWS = 300_000  # of one or two numbers each
 BROADCAST_BYTES = 16 << 20
-SMALL = 24  # members of a group that are compared pair by pair
+SMALL = 24  # members of a group that are always compared pair by pair
+PAIRS = 16  # pairs per member of open buckets that a round may compare in larger groups
 
 SIGNATURE = "doc_id long, digest binary, n long, high long, low long, keys array<long>, sketch array<long>"
 
@@ -248,11 +249,26 @@ def few_bytes(df: DataFrame, size: Column) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
+def pairwise_size(rows: DataFrame, members: int) -> int:
+    """Groups up to this size are compared pair by pair: all their pairs are linear in the members."""
+    size = F.col("size")
+    classes = rows.groupBy("g").agg(F.first("size").alias("size")).groupBy(F.ceil(F.log2("size")).alias("k")).agg(
+        F.sum(size * (size - 1) / 2).alias("pairs")
+    )
+    limit, total = SMALL, 0.0
+    for k, pairs in sorted(map(tuple, classes.collect())):
+        total += pairs
+        if total > PAIRS * members:
+            break
+        limit = max(limit, 2**k)
+    return limit
+
+
 def late_links(mixed: DataFrame, sets: DataFrame, sketches: DataFrame, links: DataFrame, labels: DataFrame, percent: int):
     """(links, labels) with the links between members of different components in open buckets.
 
-    Buckets that share members form a group. A group of up to ``SMALL`` members is compared pair by
-    pair. A larger one is narrowed down: see ``narrow``. Its smaller groups hold the members that
+    Buckets that share members form a group. Small groups are compared pair by pair (``pairwise_size``).
+    A larger one is narrowed down: see ``narrow``. Its smaller groups hold the members that
     share an element of their differences, which is at most half of it, so the rounds come to an end.
     """
     ends = mixed.groupBy("key").agg(F.min("id").alias("a"))
@@ -261,12 +277,13 @@ def late_links(mixed: DataFrame, sets: DataFrame, sketches: DataFrame, links: Da
     groups = sets.join(sized(stage(groups, "group-ids")), "id").select(
         "g", "id", (F.octet_length("hashes") / 8).cast("long").alias("n"), F.col("hashes").alias("d")
     )
-    bits = sketches.select("id", "sketch")
+    bits, members = sketches.select("id", "sketch"), sets.count()
     while True:
         rows = with_roots(groups, labels)
         if not rows.limit(1).count():
             return links, labels
-        small = rows.where(F.col("size") <= SMALL)
+        limit = pairwise_size(rows, members)
+        small = rows.where(F.col("size") <= limit)
         left, right = (
             small.select("g", F.col("id").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}"), (F.octet_length("d") / 8).cast("long").alias(f"m_{c}"))
             for c in "ab"
@@ -278,7 +295,7 @@ def late_links(mixed: DataFrame, sets: DataFrame, sketches: DataFrame, links: Da
         of = lambda c: bits.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
         close = pairs.join(of("a"), "a").join(of("b"), "b").where(differing(F.col("sketch_a"), F.col("sketch_b")) <= MOST_BITS)
         late = confirm(close.select("a", "b"), sets, percent)
-        groups = rows.where(F.col("size") > SMALL)
+        groups = rows.where(F.col("size") > limit)
         if groups.limit(1).count():
             sure, groups = narrow(groups, percent)
             late = late.unionByName(sure)
