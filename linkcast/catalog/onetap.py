@@ -49,7 +49,7 @@ def _judged(model: str, prediction: str, size: int) -> str:
 FROM s JOIN m USING (horizon) GROUP BY horizon"""
 
 
-def _sets(spark, sf):
+def one_tap_sets(spark, sf):
     cfg = replace(ONE, scaling=None)
     return prepare(events(spark, sf), "value", ["ts", "event_id"], ["series"], cfg, check=False).sets
 
@@ -57,14 +57,14 @@ def _sets(spark, sf):
 @query("one_tap_horizons", f"WITH {_ROWS} {_judged('Linear Regression', 'a * f + b', 2)}")
 def one_tap_horizons(spark, sf):
     """A linear model per horizon and its results."""
-    done = fc.train_horizons(_sets(spark, sf), "linear", HORIZONS)
+    done = fc.train_horizons(one_tap_sets(spark, sf), "linear", HORIZONS)
     return rounded(reports.append_results([row for _, row, _ in done.values()]).select(*RESULT))
 
 
 @query("one_tap_matrix", f"WITH {_ROWS} {_judged('Linear Regression', 'a * f + b', 2)} UNION ALL {_judged('Naive', '0.0', 0)}")
 def one_tap_matrix(spark, sf):
     """Linear and naive model on every horizon."""
-    return rounded(reports.evaluation_matrix(_sets(spark, sf), {"naive": {}, "linear": {}}).select(*RESULT))
+    return rounded(reports.evaluation_matrix(one_tap_sets(spark, sf), {"naive": {}, "linear": {}}).select(*RESULT))
 
 
 @query("one_tap_scoring", f"""WITH {_ROWS} SELECT series, seq + 5 AS seq, {r('x + y', 'level')},
@@ -72,7 +72,7 @@ def one_tap_matrix(spark, sf):
 FROM s JOIN m USING (horizon) WHERE split = 'test' AND horizon = 5""")
 def one_tap_scoring(spark, sf):
     """Predicted levels of the test rows."""
-    ds = _sets(spark, sf)[5]
+    ds = one_tap_sets(spark, sf)[5]
     scored = fc.scored_levels(fc.fit("linear", ds).score(ds.part("test")))
     return rounded(scored.select("series", "seq", "level", "predicted_level", "residual"))
 
@@ -114,7 +114,7 @@ def one_tap_predictions(spark, sf):
 def one_tap_importance(spark, sf):
     """The weight of the only feature, per horizon."""
     out = None
-    for h, ds in _sets(spark, sf).items():
+    for h, ds in one_tap_sets(spark, sf).items():
         part = fc.importance(fc.fit("linear", ds), h, spark)
         out = part if out is None else out.unionByName(part)
     return rounded(out)

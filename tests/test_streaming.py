@@ -5,7 +5,6 @@ import uuid
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from linkcast.streaming import online, parity, runs, scoring, windowed
 
