@@ -31,7 +31,7 @@ def test_stage(spark, name, fn):
     assert sorted(map(str, kept.select(*docs.columns).collect())) == sorted(map(str, plain.collect()))
     ids = [r.doc_id for r in plain.collect()]
     assert {*range(20), 23, 24} <= set(ids)  # clean documents stay
-    assert ids.count(24) == (1 if name in ("line_dedup", "near_dedup") else 2)
+    assert ids.count(24) == (1 if name == "near_dedup" else 2)
     assert fn(spark, docs.limit(0), SF).count() == 0
 
 
