@@ -51,7 +51,7 @@ MOST_BITS = int(BITS / 2 * (1 - math.exp(-4 * BANDS * ROWS * (1 - LEAST_ESTIMATE
 BROADCAST_ROWS = 300_000  # of one or two numbers each
 BROADCAST_BYTES = 16 << 20
 SMALL = 24  # members of a group that are always compared pair by pair
-PAIRS = 16  # pairs per member of open buckets that a round may compare in larger groups
+PAIRS = 12  # pairs per member of open buckets that a round may compare in larger groups
 
 SIGNATURE = "doc_id long, digest binary, n long, high long, low long, keys array<long>, sketch array<long>"
 
@@ -250,11 +250,11 @@ def few_bytes(df: DataFrame, size: Column) -> DataFrame:
 
 
 def pairwise_size(rows: DataFrame, members: int) -> int:
-    """Groups up to this size are compared pair by pair: all their pairs are linear in the members."""
-    size = F.col("size")
-    classes = rows.groupBy("g").agg(F.first("size").alias("size")).groupBy(F.ceil(F.log2("size")).alias("k")).agg(
-        F.sum(size * (size - 1) / 2).alias("pairs")
-    )
+    """Groups up to this size are compared pair by pair: all their pairs of two components are linear in the members."""
+    parts = rows.groupBy("g", "root").agg(F.count("*").alias("c"), F.first("size").alias("size"))
+    groups = parts.groupBy("g").agg(F.first("size").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inside"))
+    across = (F.col("size") * F.col("size") - F.col("inside")) / 2
+    classes = groups.groupBy(F.ceil(F.log2("size")).alias("k")).agg(F.sum(across).alias("pairs"))
     limit, total = SMALL, 0.0
     for k, pairs in sorted(map(tuple, classes.collect())):
         total += pairs
