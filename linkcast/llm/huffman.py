@@ -1,6 +1,6 @@
 """Token ids of a corpus in Huffman-coded binary files, and back.
 
-``write_tokens`` puts the documents in ascending order of their ids (range partitions by id, text and row, one
+``write_tokens`` puts the documents in ascending order of their ids (range partitions by id and row, one
 shard each), encodes the texts, counts all ids over the corpus, builds one canonical code
 with lengths of at most ``max_bits`` from the counts, and writes
 
@@ -182,9 +182,9 @@ def write_tokens(
                 pa.array([0]), pa.array([total.astype("<i8").tobytes()], pa.binary()),
             ], names=["shard", "seq", "doc_id", "before", "n_ids", "ids"])
 
-    # A hot id, or all rows without one, are spread by their texts and, if those are equal too, by row.
-    keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    ordered = keyed.repartitionByRange(shards, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
+    # A hot id, or all rows without one, are spread by row. The sample for the ranges reads no text.
+    keyed = rows.withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(shards, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     plain = f"{stage_root(spark)}/linkcast-ids-{uuid.uuid4().hex}"
     ordered.select("doc_id", "text").mapInArrow(tokenize, ROW).write.option("compression", "zstd").parquet(plain)
     written = spark.read.schema(ROW).parquet(plain)
