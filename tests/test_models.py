@@ -226,3 +226,11 @@ def test_naive_level_is_the_last_value(spark):
     df = spark.createDataFrame([(1.0, 2.0, 4.0)], "x0 double, x1 double, y double")
     fitted = fc.FORECASTERS["naive"](Dataset(df, None, ["x0", "x1"], 1, (), "level"), {}, 1)
     assert fitted.score(df).first().prediction == 2.0
+
+
+def test_tree_partitions_stop_at_the_cores(linear_set, spark, monkeypatch):
+    """Each partition shuffles the statistics of all nodes: rows alone must not add partitions."""
+    monkeypatch.setattr(fc, "TRAIN_ROWS", 10)
+    with fc.training_vectors(linear_set[0]) as (_, rows):
+        assert rows.count() == 400
+        assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
