@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from conftest import by_series
 
+from linkcast.operators import ordering
 from linkcast.operators.spectrum import Spectrum
 from linkcast.operators.windows import Diff, Ema, FastFading, Lags, Rolling, RollingAcf, Targets, Trend, add_features, slow_ema
 
@@ -175,3 +176,12 @@ def test_bad_arguments():
         Ema((0.0,))
     with pytest.raises(ValueError):
         RollingAcf((50,))
+
+
+def test_range_partitions_do_not_grow_with_small_ranges(spark, monkeypatch):
+    asked, inner = [], ordering._index_ranges
+    monkeypatch.setattr(ordering, "_index_ranges", lambda *args: asked.append(args[-1]) or inner(*args))
+    df = spark.range(3_000).selectExpr("'a' AS k", "id")
+    sig = ordering.index_series(df, ["k"], ["id"], ["id"], short_series=0, range_rows=1)
+    assert asked == [ordering.MAX_RANGES]
+    assert sig.df.where("seq = id").count() == 3_000
