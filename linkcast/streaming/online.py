@@ -3,7 +3,9 @@
 The features are those of the batch families (`operators.windows`): first difference, lagged
 differences, trailing statistics and exponential averages. State per link:
 
-* ``pending``: rows that the watermark has not passed, which earlier rows may still precede;
+* ``pending``: rows that the watermark has not passed, which earlier rows may still precede, in pieces by
+  six hours of time, so that rows are added without reading any and Python never holds more than
+  ``SLICE`` rows and those of six hours;
 * ``ring``: the newest samples in order, as many as the longest feature reaches back, with the
   number of samples so far and the running averages.
 
@@ -30,7 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 RING = "seq long, ring array<double>, averages array<double>"
-PENDING = "at long, row long, x double"
+PIECE = "bucket long, piece long"
+PENDING = "at array<long>, row array<long>, x array<double>"
+BUCKET = 6 * 3_600_000_000  # microseconds of time whose rows are put in order at once
+TYPES = ("int64", "int64", "float64")
+SLICE = 20_000  # rows that are written to the state, or given out, at once
 
 
 @dataclass(frozen=True)
@@ -105,49 +111,101 @@ class OnlineFeatures(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.ring = handle.getValueState("ring", RING)
-        self.pending = handle.getListState("pending", PENDING)
+        self.pending = handle.getMapState("pending", PIECE, PENDING)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        some = [pdf[["at", "row", "x"]] for pdf in rows]
-        waiting = pd.concat([self._waiting(), *some], ignore_index=True)
-        yield from self._release(key, waiting, timerValues)
+        last = {bucket: pieces[-1] for bucket, pieces in self._pieces().items()}
+        some, n = [], 0
+        for pdf in rows:
+            some.append(pdf[["at", "row", "x"]])
+            n += len(pdf)
+            if n >= SLICE:
+                self._keep(pd.concat(some, ignore_index=True), last)
+                some, n = [], 0
+        if n:
+            self._keep(pd.concat(some, ignore_index=True), last)
+        yield from self._release(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, self._waiting(), timerValues)
+        yield from self._release(key, timerValues)
 
     def close(self) -> None:
         pass
 
-    def _waiting(self) -> pd.DataFrame:
-        rows = list(self.pending.get()) if self.pending.exists() else []
-        return pd.DataFrame(rows, columns=["at", "row", "x"]).astype({"at": "int64", "row": "int64", "x": "float64"})
-
-    def _release(self, key, waiting: pd.DataFrame, timerValues) -> Iterator[pd.DataFrame]:
+    def _pieces(self) -> dict[int, list[int]]:
+        """The pieces of every bucket, both in order."""
+        found: dict[int, list[int]] = {}
+        if self.pending.exists():
+            for bucket, piece in sorted(tuple(k) for k in self.pending.keys()):
+                found.setdefault(bucket, []).append(piece)
+        return found
+
+    def _put(self, bucket: int, piece: int, rows: tuple) -> None:
+        self.pending.updateValue((bucket, piece), tuple(column.tolist() for column in rows))
+
+    def _keep(self, rows: pd.DataFrame, last: dict[int, int]) -> None:
+        """Add rows as pieces behind the ``last`` one of each bucket."""
+        columns = [rows[c].to_numpy(t) for c, t in zip(("at", "row", "x"), TYPES)]
+        home = columns[0] // BUCKET
+        order = np.argsort(home, kind="stable")
+        columns, home = [c[order] for c in columns], home[order]
+        cuts = [0, *(np.flatnonzero(np.diff(home)) + 1), len(home)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            bucket = int(home[lo])
+            last[bucket] = last.get(bucket, -1) + 1
+            self._put(bucket, last[bucket], tuple(c[lo:hi] for c in columns))
+
+    def _bucket(self, bucket: int, pieces: list[int]) -> tuple:
+        """The columns of a bucket's rows as they came."""
+        some = [self.pending.getValue((bucket, p)) for p in pieces]
+        return tuple(np.concatenate([np.array(s[i], t) for s in some]) for i, t in enumerate(TYPES))
+
+    def _release(self, key, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        due = waiting["at"] <= mark
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        later = waiting[~due]
-        if len(later):
-            self.pending.put([(int(a), int(r), float(x)) for a, r, x in later.itertuples(index=False)])
+        given = self.ring.get() if self.ring.exists() else (0, [], [0.0] * len(self.spec.alphas))
+        state, some, n, earliest = given, [], 0, None
+        for bucket, pieces in self._pieces().items():
+            rows = self._bucket(bucket, pieces)
+            due = rows[0] <= mark
+            if due.any():
+                order = np.lexsort((rows[1], rows[0]))
+                some.append(tuple(c[order][due[order]] for c in rows[1:]))
+                n += int(due.sum())
+                for piece in pieces:
+                    self.pending.removeKey((bucket, piece))
+                if not due.all():
+                    self._put(bucket, pieces[0], tuple(c[~due] for c in rows))
+            if not due.all():
+                # Later buckets wait as well, and need not be read.
+                earliest = int(rows[0][~due].min())
+                break
+            if n >= SLICE:
+                out, state = self._features(key, some, state)
+                some, n = [], 0
+                yield out
+        if n:
+            out, state = self._features(key, some, state)
+            yield out
+        if state is not given:
+            self.ring.update(state)
+        if earliest is not None:
             # Fires once the watermark is past the earliest waiting row.
-            self.handle.registerTimer(int(later["at"].min() // 1000))
-        elif self.pending.exists():
-            self.pending.clear()
-        ready = waiting[due].sort_values(["at", "row"], kind="stable")
-        if not len(ready):
-            return
-        seq, ring, averages = self.ring.get() if self.ring.exists() else (0, [], [0.0] * len(self.spec.alphas))
-        x = ready["x"].to_numpy(float)
+            self.handle.registerTimer(earliest // 1000)
+
+    def _features(self, key, ready: list[tuple], state) -> tuple[pd.DataFrame, tuple]:
+        """The features of rows in order, and the state after them."""
+        seq, ring, averages = int(state[0]), *state[1:]
+        row, x = (np.concatenate(columns) for columns in zip(*ready))
         before = np.array(ring, float)
         columns, after = features_of(self.spec, before, x, np.array(averages, float), seq == 0)
         keep = np.concatenate([before, x])[-self.spec.reach:]
-        self.ring.update((int(seq) + len(x), keep.tolist(), after.tolist()))
         out = pd.DataFrame({
-            self.key: [key[0]] * len(x), "row": ready["row"].to_numpy(), "seq": np.arange(seq, seq + len(x)),
+            self.key: [key[0]] * len(x), "row": row, "seq": np.arange(seq, seq + len(x)),
             self.spec.base: x, **dict(zip(self.spec.names(), columns)),
         })
-        yield out
+        return out, (seq + len(x), keep.tolist(), after.tolist())
 
 
 def online_features(

@@ -154,3 +154,56 @@ def test_settings_are_put_back(spark):
         assert spark.conf.get(runs.PROVIDER) == runs.ROCKSDB
         raise ValueError
     assert spark.conf.get(runs.PROVIDER, None) == before and spark.conf.get("spark.linkcast.none", None) is None
+
+
+class Held(dict):
+    """Map, value and timers of one key, and the most rows that were read or written at once."""
+
+    def __init__(self):
+        super().__init__()
+        self.value, self.most, self.timers = None, 0, []
+
+    getMapState = getValueState = lambda self, *args: self
+    listTimers = lambda self: self.timers
+    deleteTimer = lambda self, at: None
+    registerTimer = lambda self, at: self.timers.append(at)
+    exists = lambda self: len(self) > 0 or self.value is not None
+    get = lambda self: self.value
+    removeKey = dict.__delitem__
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, key, value):
+        self.most = max(self.most, len(value[0]))
+        self[key] = value
+
+    getValue = dict.__getitem__
+
+
+def test_online_state_is_never_held_whole(monkeypatch):
+    """Rows come and go in slices, however many of a link wait for the watermark."""
+    monkeypatch.setattr(online, "SLICE", 100)
+    monkeypatch.setattr(online, "BUCKET", 3_600_000_000)
+    spec, n = online.Spec((1,), (3,), (0.3,)), 5_000
+    rng = np.random.default_rng(4)
+    order = rng.permutation(n)
+    x = rng.normal(size=n)
+    pdf = pd.DataFrame({"at": order * 60_000_000, "row": order, "x": x[order]})
+    processor, pending, ring = online.OnlineFeatures("link", spec), Held(), Held()
+    processor.init(pending)
+    processor.pending, processor.ring = pending, ring
+    clock = type("Clock", (), {"mark": -1, "getCurrentWatermarkInMs": lambda self: self.mark})()
+    batches = (pdf[k:k + 100] for k in range(0, n, 100))
+    assert not list(processor.handleInputRows(("a",), batches, clock))
+    assert pending.most <= 100
+    clock.mark = (n - 105) * 60_000
+    frames = list(processor.handleExpiredTimer(("a",), clock, None))
+    assert max(map(len, frames)) <= 160 and len(frames) > 30
+    clock.mark = n * 60_000
+    frames += list(processor.handleExpiredTimer(("a",), clock, None))
+    got = pd.concat(frames)
+    assert got["seq"].tolist() == got["row"].tolist() == list(range(n)) and not len(pending)
+    whole, _ = online.features_of(spec, np.zeros(0), x, np.zeros(1), True)
+    for name, column in zip(spec.names(), whole):
+        np.testing.assert_allclose(got[name], column, rtol=1e-9)
