@@ -23,7 +23,7 @@ t AS (SELECT *, x - p AS residual FROM k WHERE i >= {N_TRAIN})"""
 
 def naive_residuals(spark, sf):
     """Residuals of the naive forecast at every latency."""
-    rows = pre.sweep_rows(db_signal(spark, sf), SWEEP_LATENCIES, N_TRAIN, CFG)
+    rows = pre.sweep_rows(db_signal(spark, sf), SWEEP_LATENCIES, N_TRAIN, CFG, inputs=False)
     return pre.naive_residuals(rows, ["series"])
 
 

@@ -28,13 +28,18 @@ def lag_config(latencies: Sequence[int], cfg: Config = Config()) -> Config:
 
 
 def sweep_rows(
-    sig: Signal, latencies: Sequence[int] = SWEEP_LATENCIES, n_train: int = 10_000, cfg: Config = Config()
+    sig: Signal, latencies: Sequence[int] = SWEEP_LATENCIES, n_train: int = 10_000, cfg: Config = Config(),
+    inputs: bool = True,
 ) -> DataFrame:
-    """Complete rows of all latencies; the first ``n_train`` of each train."""
+    """Complete rows of all latencies; the first ``n_train`` of each train.
+
+    Without ``inputs`` the lags of a row are not written, which the naive forecast does not read.
+    """
     lags = replace(lag_config(latencies, cfg), scaling=None)
     wide = stage(wide_features(sig, lags), "sweep")
     return stacked_sets(
-        sig, wide, lags, lambda df, keys, n: count_split(df, keys, n_train, n)
+        sig, wide, lags, lambda df, keys, n: count_split(df, keys, n_train, n),
+        None if inputs else [*sig.keys, "horizon", "seq", "split", "level", "level_lag", "y"],
     )[0]
 
 

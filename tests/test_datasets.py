@@ -230,3 +230,16 @@ def test_validation_names_the_columns(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), float("inf"))], "a double, b double")
     with pytest.raises(ValueError, match="a has 1 missing values, b has 1 missing values, b has 1 infinite"):
         validate(df, ["a", "b"])
+
+
+def test_naive_sweep_writes_no_inputs(make_signal):
+    """The rows are those of the full sweep; the ten lags of each are left out of the written table."""
+    from linkcast.catalog.common import CFG
+    from linkcast.plans import precompensation as pre
+
+    sig = make_signal({"a": np.sin(np.arange(200) / 7.0), "b": np.arange(90) ** 0.5})
+    whole = pre.sweep_rows(sig, (1, 5, 20), 40, CFG)
+    narrow = pre.sweep_rows(sig, (1, 5, 20), 40, CFG, inputs=False)
+    assert set(narrow.columns) == {"series", "horizon", "seq", "split", "level", "level_lag", "y"}
+    both = [pre.naive_residuals(df, ["series"]).orderBy("latency", "series", "seq").collect() for df in (whole, narrow)]
+    assert both[0] == both[1] and len(both[0]) > 300
