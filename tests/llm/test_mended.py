@@ -164,3 +164,19 @@ def test_large_families_against_all_pairs(spark, monkeypatch, n, words, least, m
     assert [found[k] for k in range(len(texts))] == want
     assert 2 < len(set(want)) < len(texts)
     assert sum(widest) < 60 * len(texts)  # of some hundred pairs per text
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_signs_after_a_word_are_not_merged_with_it_again(path):
+    """Words that differ in their trailing signs only go to the tokenizer once, in short calls."""
+    ours, met = Encoder(path, path == BYTES), []
+    encode_new = ours._encode_new
+    ours._encode_new = lambda words: met.extend(words) or encode_new(words)
+    text = "one word word!! word&&&,, word.' word's word's!! word'!! don't, ²!! _!! word_!! 7%%% <|x|>!! " + "\n".join(f"w{k}!?" for k in range(700))
+    for _ in range(3):
+        assert np.frombuffer(ours.encode([text])[0], "<u4").tolist() == whole(path, text)
+    assert not {"word!!", "word&&&,,", "7%%%", "w5!?"} & {w.strip() for w in met}
+    calls, library = [], ours.tokenizer
+    ours.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, texts, **k: calls.extend(map(len, texts)) or library.encode_batch_fast(texts, **k)})()
+    encode_new([f" abcdefgh{'x' * (k % 7)}{k}" for k in range(4096)])
+    assert max(calls) < 8192
