@@ -1,5 +1,7 @@
 """Window features against numpy and pandas, and independence of the block size."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -185,3 +187,16 @@ def test_range_partitions_do_not_grow_with_small_ranges(spark, monkeypatch):
     sig = ordering.index_series(df, ["k"], ["id"], ["id"], short_series=0, range_rows=1)
     assert asked == [ordering.MAX_RANGES]
     assert sig.df.where("seq = id").count() == 3_000
+
+
+def test_autocorrelation_looks_back_once_per_distance(make_signal):
+    """Sums share their look backs, and later windows do not carry what only they need."""
+    sig = make_signal({"a": np.arange(300.0) % 7})
+    df = add_features(sig, [RollingAcf(base="x"), Trend(base="x"), Diff("x"), Rolling(base="x")])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Window ")]
+    reads = {c for line in windows for c in re.findall(r"AS (_acf_\w+_at\d+)#", line)}
+    assert len([c for c in reads if c.startswith("_acf_sums_at")]) <= 13
+    assert not [c for c in reads if re.match(r"_acf_[sqdzpw]\d*_at", c)]
+    trend = next(i for i, line in enumerate(windows) if "AS x_trend#" in line)
+    assert all("_acf_" not in line for line in windows[: trend + 1])
