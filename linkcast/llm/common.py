@@ -51,6 +51,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed(df: DataFrame, rows: int, per: int) -> DataFrame:
+    """In as few partitions as ``rows`` rows are worth at ``per`` each; small ones cost more than their rows."""
+    return df.coalesce(max(1, -(-rows // per)))
+
+
 def slices(batch: pa.RecordBatch, column: int, rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, of at most ``rows`` rows and about ``size`` bytes of a text column; one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

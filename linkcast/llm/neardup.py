@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkcast.llm.common import LAST_ID, documents, query, slices
+from linkcast.llm.common import LAST_ID, documents, packed, query
 from linkcast.llm.components import components
 from linkcast.llm.shingles import MinHasher, set_hash, shingles
 from linkcast.session import stage
@@ -52,6 +52,8 @@ BROADCAST_ROWS = 300_000  # of one or two numbers each
 BROADCAST_BYTES = 16 << 20
 SMALL = 24  # members of a group that are always compared pair by pair
 PAIRS = 12  # pairs per member of open buckets that a round may compare in larger groups
+# Rows that a partition is worth: numbers; elements of sets; sketches or short sets; pairs with both of their sets.
+NUMBERS, ELEMENTS, SHORT, FULL = 300_000, 500_000, 50_000, 5_000
 
 SIGNATURE = "doc_id long, digest binary, n long, high long, low long, keys array<long>, sketch array<long>"
 
@@ -61,6 +63,11 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def written(df: DataFrame, name: str, rows: int, per: int = NUMBERS) -> DataFrame:
+    """``stage`` of at most about ``rows`` rows, in no more partitions than these are worth."""
+    return packed(stage(packed(df, rows, per), name), rows, per)
+
+
 def signatures(texts: DataFrame, width: int = 5) -> DataFrame:
     """SIGNATURE of every (doc_id, digest, text)."""
     longs = pa.list_(pa.int64())
@@ -90,35 +97,33 @@ def signatures(texts: DataFrame, width: int = 5) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
-    """(id, hashes): the sorted set of each text as bytes."""
+    """(id, hashes): the sorted set of each text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                raw = [shingles(t, width).tobytes() for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(raw, pa.binary())], names=["id", "hashes"])
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                found = [shingles(t, width) for t in some.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column(0), held], names=["id", "hashes"])
 
-    return texts.mapInArrow(sets, "id long, hashes binary")
+    return texts.mapInArrow(sets, "id long, hashes array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The written pairs (a, b) whose full sets are similar enough.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], names=["a", "b"]
-            ).filter(pa.array(linked, pa.bool_()))
-
-    of = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"hashes_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hashes_a", "hashes_b")
-    return both.mapInArrow(check, "a long, b long")
+    Few pairs are broadcast, so that of all sets only those that are asked for move.
+    """
+    rows = pairs.count()
+    some = F.broadcast if rows <= BROADCAST_ROWS else lambda df: df
+    left = sets.withColumnsRenamed({"id": "a", "hashes": "hashes_a"}).join(some(pairs), "a")
+    asked = packed(pairs, rows, NUMBERS).select("b").distinct()
+    right = sets.withColumnsRenamed({"id": "b", "hashes": "hashes_b"}).join(some(asked), "b", "left_semi")
+    overlap = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    both = left.join(right, "b").select("a", "b", (F.size("hashes_a") + F.size("hashes_b")).alias("n"), overlap.alias("overlap"))
+    return packed(both, rows, FULL).where(100 * F.col("overlap") >= percent * (F.col("n") - F.col("overlap"))).select("a", "b")
 
 
 def differing(left: Column, right: Column) -> Column:
@@ -128,60 +133,40 @@ def differing(left: Column, right: Column) -> Column:
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, root) of the buckets whose members are in several components."""
-    within = stage(
-        members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "bucket-roots"
+    rows = members.count()
+    within = written(
+        members.join(sized(labels), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "bucket-roots", rows
     )
     mixed = within.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    return stage(within.join(mixed, "key", "left_semi"), "open-buckets")
+    return written(within.join(mixed, "key", "left_semi"), "open-buckets", rows)
 
 
 def exploded(rows: DataFrame) -> DataFrame:
     """(g, id, h) of every element of the sets ``d`` of (g, id, d)."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, 2, 256, 1 << 20):
-                found = [np.frombuffer(s, np.int64) for s in some.column(2).to_pylist()]
-                sizes = [len(x) for x in found]
-                if sum(sizes):
-                    each = pa.array(np.repeat(np.arange(len(found)), sizes))
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column(0).take(each), some.column(1).take(each), pa.array(np.concatenate(found))], names=["g", "id", "h"]
-                    )
-
-    return rows.select("g", "id", "d").mapInArrow(explode, "g long, id long, h long")
+    return rows.select("g", "id", F.explode("d").alias("h"))
 
 
 def differences(rows: DataFrame) -> DataFrame:
     """(g, id, root, n, d, m): the ``m`` elements in which ``d`` and the group's ``centre`` differ."""
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, 4, 256, 1 << 20):
-                found = []
-                for d, centre in zip(some.column(4).to_pylist(), some.column(5).to_pylist()):
-                    there = np.array(centre or [], np.int64).view(np.uint64)
-                    found.append(np.setxor1d(np.frombuffer(d, np.uint64), there, assume_unique=True))
-                yield pa.RecordBatch.from_arrays([
-                    *some.columns[:4], pa.array([x.tobytes() for x in found], pa.binary()),
-                    pa.array([len(x) for x in found], pa.int64()),
-                ], names=["g", "id", "root", "n", "d", "m"])
-
-    columns = rows.select("g", "id", "root", "n", "d", "centre")
-    return columns.mapInArrow(differ, "g long, id long, root long, n long, d binary, m long")
+    centre = F.coalesce("centre", F.array().cast("array<long>"))
+    differing_elements = F.concat(F.array_except("d", centre), F.array_except(centre, F.col("d")))
+    return rows.select("g", "id", "root", "n", differing_elements.alias("d")).withColumn("m", F.size("d").cast("long"))
 
 
 def with_roots(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """(g, id, n, d, root, size) of the groups that hold several components."""
     rows = stage(
-        groups.join(labels, "id", "left").select("g", "id", "n", "d", F.coalesce("root", "id").alias("root")), "groups"
+        groups.join(sized(labels), "id", "left").select("g", "id", "n", "d", F.coalesce("root", "id").alias("root")), "groups"
+    )
+    number = rows.count()
+    sizes = packed(rows.select("g", "root"), number, NUMBERS).groupBy("g").agg(
+        F.count("*").alias("size"), F.min("root").alias("r"), F.max("root").alias("s")
     )
-    sizes = rows.groupBy("g").agg(F.count("*").alias("size"), F.min("root").alias("r"), F.max("root").alias("s"))
-    mixed = stage(sizes.where("r < s").select("g", "size"), "mixed-groups")
+    mixed = written(sizes.where("r < s").select("g", "size"), "mixed-groups", number)
     return stage(rows.join(sized(mixed), "g"), "open-groups")
 
 
-def with_partners(able: DataFrame, common: DataFrame, more: int) -> DataFrame:
+def with_partners(able: DataFrame, common: DataFrame, more: int, number: int) -> DataFrame:
     """The members (g, id, z, star, inside) with ``c`` common elements that can have a link to look for.
 
     Common elements bound the overlap: partners have z1 <= reach2 and z2 <= reach1, with reach = 2 * more * c - z.
@@ -191,15 +176,15 @@ def with_partners(able: DataFrame, common: DataFrame, more: int) -> DataFrame:
     """
     per_member = common.groupBy("g", "id").agg(F.count("*").alias("c"))
     rows = able.join(per_member, ["g", "id"]).withColumn("reach", 2 * more * F.col("c") - F.col("z"))
-    rows = stage(rows.where("reach >= star.z"), "reaches")
-    kinds = stage(rows.select("g", "inside", "z", "reach").distinct(), "kinds")
+    rows = written(rows.where("reach >= star.z"), "reaches", number)
+    kinds = written(rows.select("g", "inside", "z", "reach").distinct(), "kinds", number)
     points = kinds.select("g", F.col("z").alias("at"), F.lit(0).alias("asks"), "inside", "z", "reach")
     asks = kinds.select("g", F.col("reach").alias("at"), F.lit(1).alias("asks"), "inside", "z", "reach")
     before = Window.partitionBy("g").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
     best = lambda inside: F.max(F.when((F.col("asks") == 0) & (F.col("inside") == inside), F.col("reach"))).over(before)
     seen = points.unionByName(asks).withColumn("within", best(True)).withColumn("without", best(False))
     enough = F.when(F.col("inside"), F.col("without")).otherwise(F.greatest("within", "without")) >= F.col("z")
-    found = stage(seen.where(F.col("asks").eqNullSafe(1) & enough).select("g", "inside", "z", "reach"), "partners")
+    found = written(seen.where(F.col("asks").eqNullSafe(1) & enough).select("g", "inside", "z", "reach"), "partners", number)
     return rows.join(sized(found), ["g", "inside", "z", "reach"], "left_semi").drop("reach")
 
 
@@ -211,36 +196,40 @@ def narrow(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     without a look, to the member of the least z. All others must share elements of D.
     """
     more, less = 100 + percent, 100 - percent
-    held = exploded(large).groupBy("g", "h").agg(F.count("*").alias("c"))
-    sizes = stage(large.groupBy("g").agg(F.first("size").alias("size")), "group-sizes")
-    centres = stage(
-        held.join(sized(sizes), "g").where("2 * c > size").groupBy("g").agg(F.array_sort(F.collect_list("h")).alias("centre")), "centres"
-    )
+    number, elements = large.agg(F.count("*"), F.sum(F.size("d"))).first()
+    held = packed(exploded(large).groupBy("g", "h").agg(F.count("*").alias("c")), elements, ELEMENTS)
+    of_groups = packed(large.select("g", "size"), number, NUMBERS)
+    sizes = written(of_groups.groupBy("g").agg(F.first("size").alias("size")), "group-sizes", number)
+    centres = held.join(sized(sizes), "g").where("2 * c > size").groupBy("g").agg(F.collect_list("h").alias("centre"))
+    centres = stage(packed(centres, elements, ELEMENTS), "centres")
     rows = stage(differences(large.join(few_bytes(centres, 8 * F.size("centre")), "g", "left")), "differences")
     z = more * F.col("m") - less * F.col("n")
     rows = rows.withColumn("z", z)
-    middle = stage(rows.groupBy("g").agg(F.min(F.struct("z", "id", "root")).alias("star")), "stars")
-    near = rows.join(sized(middle), "g")
+    elements = rows.agg(F.sum("m")).first()[0]
+    numbers = packed(rows.select("g", "id", "root", "z"), number, NUMBERS)
+    middle = written(numbers.groupBy("g").agg(F.min(F.struct("z", "id", "root")).alias("star")), "stars", number)
+    near = numbers.join(sized(middle), "g")
     links = near.where("z + star.z <= 0 AND id <> star.id").select(F.least("id", "star.id").alias("a"), F.greatest("id", "star.id").alias("b"))
     able = near.selectExpr("g", "id", "z", "star", "root = star.root OR z + star.z <= 0 AS inside")
-    common = stage(exploded(rows), "difference-elements")
+    common = packed(stage(exploded(rows), "difference-elements"), elements, ELEMENTS)
     for _ in range(2):  # the elements of members without a partner count no longer
         df = common.groupBy("g", "h").agg(F.count("*").alias("df")).where("df > 1")
-        common = stage(common.select("g", "id", "h").join(df, ["g", "h"]), "common-elements")
-        able = stage(with_partners(able.drop("c"), common, more), "able")
-        common = common.join(able.select("g", "id"), ["g", "id"], "left_semi")
+        common = written(common.select("g", "id", "h").join(df, ["g", "h"]), "common-elements", elements, ELEMENTS)
+        able = written(with_partners(able.drop("c"), common, more, number), "able", number)
+        common = common.join(sized(able.select("g", "id")), ["g", "id"], "left_semi")
     # The rarest elements first: partners share one of the first m - overlap + 1, which begin with those of one member only.
     least = F.greatest(F.lit(1), F.ceil((F.col("z") + F.col("star.z")) / (2 * more)))
     able = able.select("g", "id", (F.col("c") - least + 1).alias("prefix"))
     order = Window.partitionBy("g", "id").orderBy("df", "h")
-    first = common.join(able, ["g", "id"]).withColumn("at", F.row_number().over(order)).where("at <= prefix")
-    members = stage(first.select("g", "id", F.xxhash64("g", "h").alias("sub")), "sharing")
+    first = common.join(sized(able), ["g", "id"]).withColumn("at", F.row_number().over(order)).where("at <= prefix")
+    members = written(first.select("g", "id", F.xxhash64("g", "h").alias("sub")), "sharing", elements, ELEMENTS)
     # Elements that the same members share, such as those around one edit, give one group.
     alike = [F.count("*").alias("size"), *[F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]]
     subs = members.groupBy("g", "sub").agg(*alike).where("size > 1").groupBy("g", "size", "s1", "s2").agg(F.min("sub").alias("sub"))
-    members = members.join(sized(stage(subs.select("sub"), "subs")), "sub")
-    smaller = members.select("g", "sub", "id").join(rows.select("g", "id", "n", "d"), ["g", "id"]).select(F.col("sub").alias("g"), "id", "n", "d")
-    return links, stage(smaller, "smaller-groups")
+    members = members.join(sized(written(subs.select("sub"), "subs", elements, ELEMENTS)), "sub").select("g", "sub", "id")
+    members = written(members, "sub-members", elements, ELEMENTS)
+    smaller = members.join(rows.select("g", "id", "n", "d"), ["g", "id"]).select(F.col("sub").alias("g"), "id", "n", "d")
+    return links, stage(packed(smaller, members.count(), SHORT), "smaller-groups")
 
 
 def few_bytes(df: DataFrame, size: Column) -> DataFrame:
@@ -251,6 +240,7 @@ def few_bytes(df: DataFrame, size: Column) -> DataFrame:
 
 def pairwise_size(rows: DataFrame, members: int) -> int:
     """Groups up to this size are compared pair by pair: all their pairs of two components are linear in the members."""
+    rows = packed(rows.select("g", "root", "size"), rows.count(), NUMBERS)
     parts = rows.groupBy("g", "root").agg(F.count("*").alias("c"), F.first("size").alias("size"))
     groups = parts.groupBy("g").agg(F.first("size").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inside"))
     across = (F.col("size") * F.col("size") - F.col("inside")) / 2
@@ -273,28 +263,30 @@ def late_links(mixed: DataFrame, sets: DataFrame, sketches: DataFrame, links: Da
     """
     ends = mixed.groupBy("key").agg(F.min("id").alias("a"))
     edges = mixed.join(ends, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    groups = components(edges).select("id", F.col("root").alias("g"))
+    groups = components(edges, mixed.count()).select("id", F.col("root").alias("g"))
     groups = sets.join(sized(stage(groups, "group-ids")), "id").select(
-        "g", "id", (F.octet_length("hashes") / 8).cast("long").alias("n"), F.col("hashes").alias("d")
+        "g", "id", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("d")
     )
-    bits, members = sketches.select("id", "sketch"), sets.count()
+    members = sketches.count()
+    bits = packed(sketches.select("id", "sketch"), members, SHORT)
     while True:
         rows = with_roots(groups, labels)
         if not rows.limit(1).count():
             return links, labels
         limit = pairwise_size(rows, members)
-        small = rows.where(F.col("size") <= limit)
+        small = rows.where(F.col("size") <= limit).select("g", "id", "root", "n", F.size("d").alias("m"))
+        small = packed(small, rows.count(), SHORT)
         left, right = (
-            small.select("g", F.col("id").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}"), (F.octet_length("d") / 8).cast("long").alias(f"m_{c}"))
+            small.select("g", F.col("id").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}"), F.col("m").alias(f"m_{c}"))
             for c in "ab"
         )
         # Sets that differ by so many elements in size differ in as many at least.
         fits = (100 + percent) * F.abs(F.col("m_a") - F.col("m_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
         pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits)
-        pairs = stage(pairs.select("a", "b").distinct(), "open-pairs")
+        pairs = written(pairs.select("a", "b").distinct(), "open-pairs", PAIRS * members)
         of = lambda c: bits.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
         close = pairs.join(of("a"), "a").join(of("b"), "b").where(differing(F.col("sketch_a"), F.col("sketch_b")) <= MOST_BITS)
-        late = confirm(close.select("a", "b"), sets, percent)
+        late = confirm(written(close.select("a", "b"), "close-pairs", PAIRS * members), sets, percent)
         groups = rows.where(F.col("size") > limit)
         if groups.limit(1).count():
             sure, groups = narrow(groups, percent)
@@ -304,7 +296,7 @@ def late_links(mixed: DataFrame, sets: DataFrame, sketches: DataFrame, links: Da
         late = stage(late, "late-links")
         if late.limit(1).count():
             links = links.unionByName(late)
-            labels = components(links)
+            labels = components(links, links.count())
         if groups is None:
             return links, labels
 
@@ -322,46 +314,52 @@ def near_rows(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_c
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest"), F.col(text_col).alias("text"))
     signed = stage(signatures(texts), "signatures")
+    number = signed.count()
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest"))
     sets_of = signed.where("n > 0").groupBy("high", "low").agg(smallest.alias("rep")).select("high", "low", "rep.*")
-    nodes = stage(
-        sets_of.orderBy("nameless", "doc_id", "high", "low").select(
-            F.monotonically_increasing_id().alias("id"), "high", "low", F.col("doc_id").alias("rep_doc"),
-            F.col("digest").alias("rep_digest"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("at"),
-        ), "nodes",
+    ordered = sets_of.orderBy("nameless", "doc_id", "high", "low").select(
+        F.monotonically_increasing_id().alias("id"), "high", "low", F.col("doc_id").alias("rep_doc"),
+        F.col("digest").alias("rep_digest"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("at"),
     )
-    named = stage(
+    nodes = stage(packed(ordered, number, SHORT // 2), "nodes")
+    named = (
         signed.select("doc_id", "digest", "n", "high", "low")
         .join(nodes.select("high", "low", "id", "rep_doc", "rep_digest"), ["high", "low"], "left")
         .select(
             "doc_id", "digest", "n", "id", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("rep_doc")).alias("rep_doc"),
             (F.col("id").isNull() | F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("digest") == F.col("rep_digest")))
             .alias("is_rep"),
-        ), "representatives",
+        )
     )
+    named = stage(packed(named, number, SHORT // 2), "representatives")
     reps = nodes.select("id", "at", F.col("rep_digest").alias("digest"))
     at = F.coalesce("doc_id", F.lit(LAST_ID))
     distinct = signed.where("n > 0").withColumn("at", at).join(reps, ["at", "digest"])
     banded = distinct.select(F.explode("keys").alias("key"), "id")
     hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    members = stage(banded.join(hubs.select("key", "hub"), "key"), "buckets")
-    ids = stage(members.select("id").distinct(), "bucket-ids")
-    few = sized(ids)
-    sketches = stage(
-        distinct.join(few, "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"]), "sketches"
+    members = stage(packed(banded.join(hubs.select("key", "hub"), "key"), BANDS * number, NUMBERS), "buckets")
+    filled = members.count()
+    members = packed(members, filled, NUMBERS)
+    ids = written(members.select("id").distinct(), "bucket-ids", filled)
+    few, several = sized(ids), ids.count()
+    sketches = written(
+        distinct.join(few, "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"]), "sketches", several, SHORT
     )
     wanted = sized(stage(reps.join(few, "id", "left_semi"), "wanted-rows"))
     rows_of = texts.withColumn("at", at).join(wanted, ["at", "digest"]).select("id", "text")
-    sets = stage(shingle_sets(rows_of).dropDuplicates(["id"]), "shingle-sets")
+    sets = stage(shingle_sets(rows_of), "shingle-sets")
+    if sets.count() > several:  # repeated rows
+        sets = stage(sets.dropDuplicates(["id"]), "distinct-sets")
 
-    of = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    of = lambda c: sketches.select(*[F.col(x).alias(f"{x}_{c}" if x != "id" else c) for x in ("id", "n", "sketch")])
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    close = stage(
-        pairs.join(of("a"), "a").join(of("b"), "b")
-        .where(differing(F.col("sketch_a"), F.col("sketch_b")) <= MOST_BITS).select("a", "b"), "candidates",
+    close = pairs.join(of("a"), "a").join(of("b"), "b").where(
+        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (differing(F.col("sketch_a"), F.col("sketch_b")) <= MOST_BITS)
     )
+    close = written(close.select("a", "b"), "candidates", filled)
     links = stage(confirm(close, sets, percent), "links")
-    labels = components(links)
+    labels = components(links, links.count())
 
     links, labels = late_links(open_buckets(members, labels), sets, sketches, links, labels, percent)
     # A component's root is its smallest number, which has its smallest id.
