@@ -154,9 +154,9 @@ def differences(rows: DataFrame) -> DataFrame:
 
 
 def with_roots(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(g, id, n, d, root, size) of the groups that hold several components."""
+    """(g, id, n, d, z, reach, root, size) of the groups that hold several components."""
     rows = stage(
-        groups.join(sized(labels), "id", "left").select("g", "id", "n", "d", F.coalesce("root", "id").alias("root")), "groups"
+        groups.join(sized(labels), "id", "left").select("g", "id", "n", "d", "z", "reach", F.coalesce("root", "id").alias("root")), "groups"
     )
     number = rows.count()
     sizes = packed(rows.select("g", "root"), number, NUMBERS).groupBy("g").agg(
@@ -219,16 +219,21 @@ def narrow(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         common = common.join(sized(able.select("g", "id")), ["g", "id"], "left_semi")
     # The rarest elements first: partners share one of the first m - overlap + 1, which begin with those of one member only.
     least = F.greatest(F.lit(1), F.ceil((F.col("z") + F.col("star.z")) / (2 * more)))
-    able = able.select("g", "id", (F.col("c") - least + 1).alias("prefix"))
+    able = able.select("g", "id", "z", "c", (F.col("c") - least + 1).alias("prefix"))
     order = Window.partitionBy("g", "id").orderBy("df", "h")
     first = common.join(sized(able), ["g", "id"]).withColumn("at", F.row_number().over(order)).where("at <= prefix")
-    members = written(first.select("g", "id", F.xxhash64("g", "h").alias("sub")), "sharing", elements, ELEMENTS)
-    # Elements that the same members share, such as those around one edit, give one group.
-    alike = [F.count("*").alias("size"), *[F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]]
-    subs = members.groupBy("g", "sub").agg(*alike).where("size > 1").groupBy("g", "size", "s1", "s2").agg(F.min("sub").alias("sub"))
-    members = members.join(sized(written(subs.select("sub"), "subs", elements, ELEMENTS)), "sub").select("g", "sub", "id")
+    # Two members share no more than what follows their first common element, so each then has a reach for the other's z.
+    reach = 2 * more * (1 + F.col("c") - F.col("at")) - F.col("z")
+    first = first.select("g", "id", F.xxhash64("g", "h").alias("sub"), "df", "h", "z", reach.alias("reach"))
+    members = written(first, "sharing", elements, ELEMENTS)
+    # Elements that the same members share, such as those around one edit, give one group, that of the first one.
+    bounds = [F.min("z").alias("low"), F.max("reach").alias("far"), F.first("df").alias("df"), F.first("h").alias("h")]
+    alike = [F.count("*").alias("size"), *bounds, *[F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]]
+    subs = members.groupBy("g", "sub").agg(*alike).where("size > 1").groupBy("g", "size", "s1", "s2").agg(F.min(F.struct("df", "h", "sub", "low", "far")).alias("of"))
+    members = members.join(sized(written(subs.select("of.sub", "of.low", "of.far"), "subs", elements, ELEMENTS)), "sub")
+    members = members.where("z <= far AND reach >= low").select("g", "sub", "id", "z", "reach")
     members = written(members, "sub-members", elements, ELEMENTS)
-    smaller = members.join(rows.select("g", "id", "n", "d"), ["g", "id"]).select(F.col("sub").alias("g"), "id", "n", "d")
+    smaller = members.join(rows.select("g", "id", "n", "d"), ["g", "id"]).select(F.col("sub").alias("g"), "id", "n", "d", "z", "reach")
     return links, stage(packed(smaller, members.count(), SHORT), "smaller-groups")
 
 
@@ -265,7 +270,8 @@ def late_links(mixed: DataFrame, sets: DataFrame, sketches: DataFrame, links: Da
     edges = mixed.join(ends, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     groups = components(edges, mixed.count()).select("id", F.col("root").alias("g"))
     groups = sets.join(sized(stage(groups, "group-ids")), "id").select(
-        "g", "id", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("d")
+        "g", "id", F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("d"),
+        F.lit(None).cast("long").alias("z"), F.lit(None).cast("long").alias("reach"),
     )
     members = sketches.count()
     bits = packed(sketches.select("id", "sketch"), members, SHORT)
@@ -274,14 +280,16 @@ def late_links(mixed: DataFrame, sets: DataFrame, sketches: DataFrame, links: Da
         if not rows.limit(1).count():
             return links, labels
         limit = pairwise_size(rows, members)
-        small = rows.where(F.col("size") <= limit).select("g", "id", "root", "n", F.size("d").alias("m"))
+        small = rows.where(F.col("size") <= limit).select("g", "id", "root", "n", F.size("d").alias("m"), "z", "reach")
         small = packed(small, rows.count(), SHORT)
         left, right = (
-            small.select("g", F.col("id").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}"), F.col("m").alias(f"m_{c}"))
+            small.select("g", F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("root", "n", "m", "z", "reach")])
             for c in "ab"
         )
         # Sets that differ by so many elements in size differ in as many at least.
         fits = (100 + percent) * F.abs(F.col("m_a") - F.col("m_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+        # In a group of a round, members without a look from both sides meet in that of an earlier common element, or nowhere.
+        fits &= F.coalesce(F.expr("z_a <= reach_b AND z_b <= reach_a"), F.lit(True))
         pairs = left.join(right, "g").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits)
         pairs = written(pairs.select("a", "b").distinct(), "open-pairs", PAIRS * members)
         of = lambda c: bits.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
