@@ -9,9 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkcast.llm import huffman, language, neardup, packing
+from linkcast.llm import components as components_module, huffman, language, neardup, packing
 from linkcast.llm.tokens import Encoder, vocabulary
-from linkcast.session import stage_root
+from linkcast.session import stage, stage_root
 
 BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 FRESH = {path: Tokenizer.from_file(path) for path in (BYTES, WORDS)}
@@ -180,3 +180,31 @@ def test_signs_after_a_word_are_not_merged_with_it_again(path):
     ours.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, texts, **k: calls.extend(map(len, texts)) or library.encode_batch_fast(texts, **k)})()
     encode_new([f" abcdefgh{'x' * (k % 7)}{k}" for k in range(4096)])
     assert max(calls) < 8192
+
+
+def test_near_duplicates_in_many_partitions_take_few_tasks(spark, monkeypatch):
+    """Tables of few rows are few files however many partitions a shuffle has, and members out of reach are left out."""
+    rng = np.random.default_rng(503)
+    texts = family(rng, 300, 120, 3, 8, 2) + family(rng, 30, 40, 0, 2)
+    files, rows = {}, {}
+
+    def counted(df, name="stage", by=()):
+        out = stage(df, name, by)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    for module in (neardup, components_module):
+        monkeypatch.setattr(module, "stage", counted)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("64", "false")):
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+        found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert [found[k] for k in range(len(texts))] == brute(texts)
+    assert max(files.values()) <= 8, files
+    assert rows["smaller-groups"] < rows["sharing"] / 2
