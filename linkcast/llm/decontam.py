@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkcast.llm.common import documents, query, slices
+from linkcast.llm.common import documents, query, slices, tidy
 
 K1, B = 1.2, 0.75
 SHINGLE = 3
@@ -277,7 +277,7 @@ def find_leaks(
                         [*some.columns[:-1], pa.array(found, LEAK_ARROW)], names=some.schema.names
                     )
 
-        out = out.mapInArrow(search, T.StructType([*kept.schema.fields, T.StructField(out_col, LEAK)]))
+        out = out.mapInArrow(tidy(search), T.StructType([*kept.schema.fields, T.StructField(out_col, LEAK)]))
     return out
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from linkcast.llm.common import documents, query, slices
+from linkcast.llm.common import documents, query, slices, tidy
 from linkcast.session import stage
 
 BUCKETS = 4096
@@ -202,7 +202,7 @@ def train(
         ("pieces", pa.list_(pa.string())),
     ])
     seen = known.select("text", "lang", F.xxhash64("text").alias("h"))
-    seen = stage(seen.mapInArrow(measure, "lang string, rank int, bucket int, n long, tf binary, pieces array<string>"), "language")
+    seen = stage(seen.mapInArrow(tidy(measure), "lang string, rank int, bucket int, n long, tf binary, pieces array<string>"), "language")
     shared.unpersist()
     df = dict(seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n")).collect())
     total = df.pop(BUCKETS)
@@ -249,7 +249,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
                 )
 
     schema = T.StructType([*kept.schema.fields, T.StructField(out_col, RESULT)])
-    return kept.mapInArrow(predict, schema)
+    return kept.mapInArrow(tidy(predict), schema)
 
 
 @query("op6_language")

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkcast.llm.common import LAST_ID, documents, packed, query
+from linkcast.llm.common import LAST_ID, documents, packed, query, tidy
 from linkcast.llm.components import components
 from linkcast.llm.shingles import MinHasher, set_hash, shingles
 from linkcast.session import stage
@@ -93,7 +93,7 @@ def signatures(texts: DataFrame, width: int = 5) -> DataFrame:
                     pa.array(low, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs),
                 ], names=["doc_id", "digest", "n", "high", "low", "keys", "sketch"])
 
-    return texts.mapInArrow(sign, SIGNATURE)
+    return texts.mapInArrow(tidy(sign), SIGNATURE)
 
 
 def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
@@ -108,7 +108,7 @@ def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
                 held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([some.column(0), held], names=["id", "hashes"])
 
-    return texts.mapInArrow(sets, "id long, hashes array<long>")
+    return texts.mapInArrow(tidy(sets), "id long, hashes array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkcast.llm.common import documents, query, slices
-from linkcast.llm.tokens import encoder, vocabulary
+from linkcast.llm.common import documents, query, slices, tidy
+from linkcast.llm.tokens import encoder, forget, vocabulary
 from linkcast.session import stage
 
 CAPACITY = 2048
@@ -67,7 +67,7 @@ def cut_pieces(
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, PIECE_SCHEMA)
+    return rows.mapInArrow(tidy(cut), PIECE_SCHEMA)
 
 
 def load(sizes: list[int], items: list[int]) -> int:
@@ -166,6 +166,7 @@ def _solve(items: DataFrame, capacity: int, islands: int, epochs: int, populatio
 
     def epoch(k: int):
         def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            forget()  # the pieces are written, and this worker may have cut some
             if left.empty:
                 return pd.DataFrame({c: [] for c in ("cell", "island", "bins", "fit", "solution")})
             sizes = in_order(left)["length"].to_numpy()
