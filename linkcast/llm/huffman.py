@@ -35,15 +35,18 @@ from linkcast.llm.tokens import encoder, vocabulary
 from linkcast.session import stage_root
 
 CHECKPOINT = 64
-COUNTS = -1  # in the place of a row's number: the counts of a shard
+COUNTS = -1  # in the place of a block's number: the counts of a shard
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 50_000
+RECENT_WORDS = 400_000
 
-ROW = "shard int, seq long, doc_id long, before long, n_ids long, ids binary"
-BLOCK = (
-    "shard int, block long, before long, n_ids long, doc_ids array<long>, doc_sizes array<long>, "
-    "checkpoints binary, payload binary"
-)
+HEAD = "shard int, block long, before long, n_ids long, doc_ids array<long>, doc_sizes array<long>"
+PLAIN_BLOCK = f"{HEAD}, ids binary"
+BLOCK = f"{HEAD}, checkpoints binary, payload binary"
+HEAD_FIELDS = [
+    ("shard", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()),
+    ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())),
+]
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -159,36 +162,43 @@ def write_tokens(
     width = max(1, (int(vocabulary_size - 1).bit_length() + 7) // 8)
     end = np.array([end_id], "<u4").tobytes()
 
+    staged = pa.schema([*HEAD_FIELDS, ("ids", pa.binary())])
+
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, keeps_space)
+        enc = encoder(path, keeps_space, RECENT_WORDS)
         shard, seq, before = TaskContext.get().partitionId(), 0, 0
         total = np.zeros(vocabulary_size, np.int64)
+        docs, sizes, raw, size = [], [], [], 0  # of the open block
+
+        def block() -> pa.RecordBatch:
+            ids = b"".join(raw)
+            total[:] += np.bincount(np.frombuffer(ids, "<u4"), minlength=vocabulary_size)
+            row = (shard, seq - len(docs), before - size, size, docs, sizes, _planes(ids, width))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, staged)], schema=staged)
+
         for batch in batches:
             for some in slices(batch, 1):
-                found = enc.encode(some.column(1).to_pylist())
-                n = np.array([len(b) // 4 + 1 for b in found], np.int64)
-                total += np.bincount(np.frombuffer(b"".join(found), "<u4"), minlength=vocabulary_size)
-                total[end_id] += len(found)
-                first = before + np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(n), shard, np.int32)), pa.array(np.arange(seq, seq + len(n))),
-                    some.column(0), pa.array(first), pa.array(n),
-                    pa.array([_planes(b + end, width) for b in found], pa.binary()),
-                ], names=["shard", "seq", "doc_id", "before", "n_ids", "ids"])
-                seq, before = seq + len(n), before + int(n.sum())
-        if seq:  # the counts of the shard, as one more row
-            yield pa.RecordBatch.from_arrays([
-                pa.array([shard], pa.int32()), pa.array([COUNTS]), pa.array([None], pa.int64()), pa.array([before]),
-                pa.array([0]), pa.array([total.astype("<i8").tobytes()], pa.binary()),
-            ], names=["shard", "seq", "doc_id", "before", "n_ids", "ids"])
+                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
+                    if size >= block_ids:
+                        yield block()
+                        docs, sizes, raw, size = [], [], [], 0
+                    n = len(ids) // 4 + 1
+                    docs.append(doc)
+                    sizes.append(n)
+                    raw += (ids, end)
+                    seq, before, size = seq + 1, before + n, size + n
+        if docs:  # then the counts of the shard, as one more row
+            yield block()
+            row = (shard, COUNTS, before, 0, None, None, total.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, staged)], schema=staged)
 
     # A hot id, or all rows without one, are spread by row. The sample for the ranges reads no text.
     keyed = rows.withColumn("row", F.monotonically_increasing_id())
     ordered = keyed.repartitionByRange(shards, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     plain = f"{stage_root(spark)}/linkcast-ids-{uuid.uuid4().hex}"
-    ordered.select("doc_id", "text").mapInArrow(tokenize, ROW).write.option("compression", "zstd").parquet(plain)
-    written = spark.read.schema(ROW).parquet(plain)
-    ids = written.where(F.col("seq") != COUNTS)
+    ordered.select("doc_id", "text").mapInArrow(tokenize, PLAIN_BLOCK).write.option("compression", "zstd").parquet(plain)
+    written = spark.read.schema(PLAIN_BLOCK).parquet(plain)
+    ids = written.where(F.col("block") != COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary_size, np.int64)
@@ -198,7 +208,7 @@ def write_tokens(
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    counts = written.where(F.col("seq") == COUNTS).select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()
+    counts = written.where(F.col("block") == COUNTS).select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()
     counts.sort()
     known = np.array([c[0] for c in counts], np.int64)
     lengths = code_lengths(np.array([c[1] for c in counts], np.int64), max_bits)
@@ -214,36 +224,18 @@ def write_tokens(
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, heads = shared.value
-        group: list[dict] = []
-
-        def block() -> pa.RecordBatch:
-            checkpoints, payload = code.encode(np.concatenate([_from_planes(r["ids"], width) for r in group]))
-            row = {
-                "shard": group[0]["shard"], "block": group[0]["seq"],
-                "before": heads[group[0]["shard"]] + group[0]["before"], "n_ids": sum(r["n_ids"] for r in group),
-                "doc_ids": [r["doc_id"] for r in group], "doc_sizes": [r["n_ids"] for r in group],
-                "checkpoints": checkpoints, "payload": payload,
-            }
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
-        size = 0
         for batch in batches:
-            for some in slices(batch, 5, 256):
-                for row in some.to_pylist():
-                    if group and (size >= block_ids or row["shard"] != group[0]["shard"]
-                                  or row["seq"] != group[-1]["seq"] + 1):
-                        yield block()
-                        group, size = [], 0
-                    group.append(row)
-                    size += row["n_ids"]
-        if group:
-            yield block()
+            for at in range(batch.num_rows):
+                shard, block, before, n, docs, sizes, planes = batch.slice(at, 1).columns
+                head = heads[shard[0].as_py()]
+                checkpoints, payload = code.encode(_from_planes(planes[0].as_py(), width))
+                columns = [
+                    shard, block, pa.array([head + before[0].as_py()]), n, docs, sizes,
+                    pa.array([checkpoints], pa.binary()), pa.array([payload], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    schema = pa.schema([
-        ("shard", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()),
-        ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())),
-        ("checkpoints", pa.binary()), ("payload", pa.binary()),
-    ])
+    schema = pa.schema([*HEAD_FIELDS, ("checkpoints", pa.binary()), ("payload", pa.binary())])
     ids.mapInArrow(blocks, BLOCK).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 

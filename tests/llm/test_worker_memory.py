@@ -1,5 +1,7 @@
 """What Python workers hold while they encode, and what they write per document."""
 
+import uuid
+import zlib
 from pathlib import Path
 from unittest.mock import MagicMock
 
@@ -8,8 +10,9 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from linkcast.llm import common, packing, tokens
+from linkcast.llm import common, huffman, packing, tokens
 from linkcast.llm.tokens import Encoder, encoder, vocabulary
+from linkcast.session import stage_root
 
 BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 
@@ -37,6 +40,22 @@ def test_islands_let_the_encoders_go(spark, monkeypatch):
     assert found["bins"].tolist() == [1] and not tokens._ENCODERS
 
 
+def test_ids_are_staged_by_block(spark):
+    """One row per block and one of counts per shard, not one per document."""
+    root = Path(stage_root(spark).removeprefix("file:"))
+    known = set(root.glob("linkcast-ids-*"))
+    rows = [(k, f"the text number {k}") for k in range(500)]
+    folder = f"{stage_root(spark)}/by-block-{uuid.uuid4().hex}"
+    huffman.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), folder, BYTES, True, 2, 50_257, block_ids=1_000)
+    (staged,) = set(root.glob("linkcast-ids-*")) - known
+    blocks = spark.read.parquet(str(staged)).where("block >= 0").collect()
+    assert len(blocks) < 10 and sum(len(b.doc_ids) for b in blocks) == 500
+    assert all(b.n_ids >= 1_000 for b in sorted(blocks, key=lambda b: b.before)[:-1])
+    enc, found = Encoder(BYTES, True), huffman.read_tokens(spark, folder, digest_only=True).orderBy("start").collect()
+    want = [zlib.crc32(np.array([*enc._ids(t), 2], "<u4").tobytes()) for _, t in rows]
+    assert [(r.doc_id, r.ids_crc32) for r in found] == [(k, c) for k, (c, _) in enumerate(zip(want, rows))]
+
+
 @pytest.mark.parametrize("path, keeps", [(BYTES, True), (WORDS, False)])
 def test_words_of_odd_white_space_beside_usual_ones(path, keeps):
     enc = Encoder(path, keeps)
@@ -45,6 +64,25 @@ def test_words_of_odd_white_space_beside_usual_ones(path, keeps):
         assert enc.encode(texts) == [np.array(enc._ids(t), "<u4").tobytes() for t in texts]
 
 
+def test_batches_of_blocks_are_bounded(spark):
+    """Spark cuts Arrow batches of large binary rows by their size, too."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    rows = spark.range(0, 1500, 1, 1).selectExpr("cast(repeat('x', 131072) as binary) AS b")
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) < 160 << 20
+
+
+def test_words_met_lately_are_not_encoded_again():
+    enc = Encoder(BYTES, True, recent=4)
+    counted, learn = [], enc._encode_new
+    enc._encode_new = lambda words: counted.append(len(words)) or learn(words)
+    for text in (" alpha beta, gamma", " alpha beta", " gamma", " one two three four five six", " seven eight nine ten", " alpha"):
+        assert enc.encode([text]) == [np.array(enc._ids(text), "<u4").tobytes()]
+    assert counted == [3, 0, 0, 6, 4, 0] and len(enc.recent) + len(enc.older) <= 14
+
+
 def held() -> int:
     """Anonymous memory of this process in MB."""
     rows = dict(line.split(":", 1) for line in Path("/proc/self/smaps_rollup").read_text().splitlines()[1:])
