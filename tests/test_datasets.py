@@ -243,3 +243,24 @@ def test_naive_sweep_writes_no_inputs(make_signal):
     assert set(narrow.columns) == {"series", "horizon", "seq", "split", "level", "level_lag", "y"}
     both = [pre.naive_residuals(df, ["series"]).orderBy("latency", "series", "seq").collect() for df in (whole, narrow)]
     assert both[0] == both[1] and len(both[0]) > 300
+
+
+def test_sets_of_several_horizons_are_read_from_the_wide_table(spark, make_signal, monkeypatch):
+    """Only points and scaler are written, and the rows are those of the written sets."""
+    from linkcast.plans import dataset
+
+    sig = make_signal({"a": RNG.normal(size=400), "b": RNG.normal(size=300)})
+    cfg = BASE.with_features(
+        horizons=(5, 20), availability="asof", enable_acf=False, enable_spectral=False, rolling_windows=(5,),
+    )
+    wide = dataset.stage(dataset.wide_features(sig, cfg), "features")
+    rows, _ = dataset.stacked_sets(sig, wide, cfg)
+    written = []
+    stage = dataset.stage
+    monkeypatch.setattr(dataset, "stage", lambda df, name, *a: (written.append(name), stage(df, name, *a))[1])
+    sets = dataset.read_sets(sig, wide, cfg)
+    assert sorted(written) == ["points", "scaler"]
+    for h in (5, 20):
+        want = dataset.one_set(rows, None, sig, h, cfg).df.orderBy("series", "seq").toPandas()
+        pd.testing.assert_frame_equal(sets[h].df.orderBy("series", "seq").toPandas(), want)
+        assert sets[h].scaler.count() == 2 * len(sets[h].features)
