@@ -3,9 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import SF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
+from linkcast.catalog import QUERIES, models
 from linkcast.plans import forecast as fc
 from linkcast.plans import trees
 from linkcast.plans.dataset import Dataset
@@ -78,3 +80,17 @@ def test_stopping_keeps_the_best_trees(bent):
     assert len(short.stage_errors) < len(whole.stage_errors) == 150
     assert short.complexity == whole.complexity
     np.testing.assert_allclose(numbers(short.score(bent.df)), numbers(whole.score(bent.df)))
+
+
+def test_search_runs_its_default_grid_and_trials(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def sample(grid, max_trials, seed):
+        raise Seen(grid, max_trials)
+
+    monkeypatch.setattr(models, "sets", lambda *_, **__: {5: Dataset(spark.range(1), None, [], 5, ())})
+    monkeypatch.setattr(models.fc, "sample_grid", sample)
+    with pytest.raises(Seen) as found:
+        QUERIES["parameter_search"](spark, SF)
+    assert found.value.args == (fc.GBT_GRID, 50)
